@@ -162,3 +162,59 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
 def as_bytes(values) -> list[bytes]:
     """Texts as UTF-8; a null is empty."""
     return [x.encode("utf-8", "surrogatepass") if isinstance(x, str) else b"" for x in values]
+
+
+# --- letters ----------------------------------------------------------------------------------------------------------
+
+_LETTERS: list[np.ndarray] = []
+
+
+def letters(text: str) -> np.ndarray:
+    """For each code point its lower case if it is a letter, or 0."""
+    if not _LETTERS:
+        found = np.zeros(0x110000, np.uint32)
+        for c in (*range(0xD800), *range(0xE000, 0x32400)):  # the planes that hold letters
+            if (s := chr(c)).isalpha():
+                found[c] = ord(s.lower()[0])
+        _LETTERS.append(found)
+    return _LETTERS[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+
+
+def letter_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of letters of some texts, in lower case, and each text's offsets into them."""
+    found: list[np.ndarray] = []
+    counts = np.zeros(len(texts), np.int64)
+    i = 0
+    while i < len(texts):
+        part: list[tuple[int, str]] = []
+        size = 0
+        if len(texts[i]) > BLOCK:
+            at = 0
+            while at < len(texts[i]):  # cut a very long text where no letter is, if there is such a place
+                end = min(at + BLOCK, len(texts[i]))
+                while at + 1 < end < len(texts[i]) and end > at + BLOCK // 2 and texts[i][end].isalpha():
+                    end -= 1
+                found.append(_runs(letters(texts[i][at:end]), np.array([0]))[0])
+                counts[i] += len(found[-1])
+                at = end
+            i += 1
+            continue
+        while i < len(texts) and size + len(texts[i]) + 1 <= BLOCK + 1:
+            part.append((i, texts[i]))
+            size += len(texts[i]) + 1
+            i += 1
+        starts = np.cumsum([0] + [len(x) + 1 for _, x in part])
+        hashes, owner = _runs(letters("\n".join(x for _, x in part)), starts[:-1])
+        counts[[k for k, _ in part]] = np.bincount(owner, minlength=len(part))
+        found.append(hashes)
+    return (np.concatenate(found) if found else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(counts)])
+
+
+def _runs(codes: np.ndarray, starts_of_texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    some = np.concatenate([[False], codes != 0, [False]])
+    starts, ends = np.flatnonzero(some[1:-1] & ~some[:-2]), np.flatnonzero(some[1:-1] & ~some[2:]) + 1
+    power, inverse = _powers(len(codes) + 1)
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * _U(0x9FB21C651E98DF25) * power[: len(codes)], out=total[1:])
+    hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return hashes, np.searchsorted(starts_of_texts, starts, side="right") - 1

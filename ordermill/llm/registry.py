@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing
+from . import fingerprints, html, language, licenses, mixing, ngram_join, packing, quality, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": html.op1_html_extraction,
+        "op2_fingerprints": fingerprints.op2_fingerprints,
+        "op3_toxicity": toxicity.op3_toxicity,
+        "op4_license_scan": licenses.op4_license_scan,
+        "op5_exact_topk": topk.op5_exact_topk,
+        "op6_quality": quality.op6_quality,
+        "op7_language_id": language.op7_language_id,
         "op8_mixing": mixing.op8_mixing,
+        "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.OP8_SQL}
+    return {"op5_exact_topk": topk.OP5_SQL, "op8_mixing": mixing.OP8_SQL}

@@ -180,8 +180,13 @@ def letters(text: str) -> np.ndarray:
     return _LETTERS[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
 
 
+#: Letters of a word's beginning that are hashed by themselves.
+PREFIX = 4
+
+
 def letter_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of letters of some texts, in lower case, and each text's offsets into them."""
+    """Hashes of the runs of letters of some texts, in lower case, and of their first PREFIX letters, as rows of two,
+    and each text's offsets into them."""
     found: list[np.ndarray] = []
     counts = np.zeros(len(texts), np.int64)
     i = 0
@@ -207,7 +212,7 @@ def letter_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         hashes, owner = _runs(letters("\n".join(x for _, x in part)), starts[:-1])
         counts[[k for k, _ in part]] = np.bincount(owner, minlength=len(part))
         found.append(hashes)
-    return (np.concatenate(found) if found else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(counts)])
+    return (np.concatenate(found) if found else np.zeros((0, 2), np.uint64)), np.concatenate([[0], np.cumsum(counts)])
 
 
 def _runs(codes: np.ndarray, starts_of_texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,5 +221,6 @@ def _runs(codes: np.ndarray, starts_of_texts: np.ndarray) -> tuple[np.ndarray, n
     power, inverse = _powers(len(codes) + 1)
     total = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(codes * _U(0x9FB21C651E98DF25) * power[: len(codes)], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    upto = np.minimum(ends, starts + PREFIX)
+    hashes = np.stack([mix((total[e] - total[starts]) * inverse[starts] + (e - starts).astype(np.uint64)) for e in (ends, upto)], axis=1)
     return hashes, np.searchsorted(starts_of_texts, starts, side="right") - 1

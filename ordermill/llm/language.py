@@ -144,5 +144,15 @@ def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
     return x.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+#: Texts whose best language scores less are rejected; one of four at random would score a quarter.
+LEAST_SCORE = 0.3
+
+
+def with_language(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are in some language, with their columns: neither `und` nor below LEAST_SCORE."""
+    p = language_column(train(docs))(F.col("text"))
+    return docs.filter((p["lang_pred"] != UNKNOWN) & (p["score"] >= LEAST_SCORE))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))

@@ -49,13 +49,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     return x.select("skey", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, weight: Column | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, weight: Column | None = None, row_key: Column | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of docs (doc_id, text, source).
 
     taken is a whole number of times the size, 0 to MOST: a source's whole epochs, and once more for the documents that
     come first by key, up to the budget left; the document that crosses it is in if at least half of it fits. A null
     text has no words, a null source is a source, which is last. A null doc_id draws like one fixed id. Rows that repeat
-    each count; rows alike in all columns may change places. An empty table gives no rows."""
+    each count; rows alike in all columns may change places. An empty table gives no rows. row_key adds a column of that
+    name to tell rows by."""
     text = F.col("text")
     base = docs.select(
         F.col("doc_id").cast("long"),
@@ -63,6 +64,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, weight: Col
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("skey"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         (-F.log(draw(F.col("doc_id"))) / (quality(text) if weight is None else weight)).alias("key"),
+        *([] if row_key is None else [row_key.alias("row_key")]),
     )
     base = base.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
     base = materialize(base, "sized")
@@ -74,7 +76,19 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, weight: Col
     x = base.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets.drop("words"), ["skey", "bucket"])
     x = x.withColumn("epochs", F.coalesce(F.least(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(MOST)), F.lit(0)))
     more = (F.col("epochs") < MOST) & (F.col("before") + F.col("inside") + F.col("size") / 2 <= F.col("target") - F.col("epochs") * F.col("source_size"))
-    return x.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + more.cast("long"))).cast("long").alias("taken"))
+    extra = [] if row_key is None else ["row_key"]
+    return x.select("doc_id", "size", "source_size", "target", *extra, (F.col("size") * (F.col("epochs") + more.cast("long"))).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs as often as the mix takes them, with their columns. Documents without words are not taken."""
+    key = F.xxhash64(*[docs[c] for c in docs.columns])
+    times = mix_sources(docs, row_key=key).filter("size > 0").groupBy("row_key").agg(F.sum(F.expr("taken div size")).alias("times"), F.count("*").alias("rows")).filter("times > 0")
+    x = docs.select(key.alias("row_key"), F.struct(*[docs[c] for c in docs.columns]).alias("row")).join(times, "row_key")
+    # of n equal rows each has its part of the times, the first ones one more
+    place = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
+    x = x.withColumn("own", F.expr("times div rows") + (place <= F.col("times") % F.col("rows")).cast("long"))
+    return x.filter("own > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("own").cast("int")))).select("row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, mix, shingles, shuffle_partitions, table, word_hashes
+from .common import WORD, as_bytes, materialize, mix, shingles, shuffle_partitions, table, word_hashes
 from .components import connected
 
 WIDTH = 5
@@ -68,7 +68,7 @@ def _parts(texts, most: int = 1 << 20) -> Iterator[tuple[int, list]]:
 
 
 def node_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (null for an empty set) of every row."""
+    """doc_id, text_hash, n_shingles, node (null for an empty set) of every row."""
 
     @F.pandas_udf("n_shingles long, node long")
     def names(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -76,8 +76,8 @@ def node_rows(docs: DataFrame) -> DataFrame:
             found = [(len(x), name_of(x) if len(x) else None) for _, part in _parts(list(texts)) for x in sets_of(part)]
             yield pd.DataFrame({"n_shingles": [n for n, _ in found], "node": pd.array([x for _, x in found], "Int64")})
 
-    x = docs.select(F.col("doc_id").cast("long"), names(F.col("text")).alias("s"))
-    return x.select("doc_id", "s.n_shingles", "s.node")
+    x = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), names(F.col("text")).alias("s"))
+    return x.select("doc_id", "text_hash", "s.n_shingles", "s.node")
 
 
 # --- packed hashes by range -------------------------------------------------------------------------------------------
@@ -298,12 +298,9 @@ def links(sets: DataFrame, parts: int) -> DataFrame:
     return found.unionByName(compare(rest, sets).filter(LINKED).select("a", "b"))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text).
-
-    component_id is the smallest doc_id that links reach, the row's own included. A null text is empty; an empty set
-    links with nothing. A row with a null doc_id links with nothing either: its component_id is null. Rows that repeat a
-    doc_id have a set each, and equal rows are in one component. An empty table gives no rows. Other columns are ignored."""
+def rooted(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, root, component_id of every row of docs (doc_id, text): root names its component
+    and is null where the set is empty or the doc_id null."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
@@ -324,8 +321,29 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     roots = connected(links(sets, parts))
     nodes = nodes.join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    nodes = nodes.join(least, "root").select("node", "component_id")
-    return rows.join(nodes, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    nodes = nodes.join(least, "root").select("node", "root", "component_id")
+    known = F.col("doc_id").isNotNull()
+    return rows.join(nodes, "node", "left").select("doc_id", "text_hash", "n_shingles", F.when(known, F.col("root")).alias("root"), F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text).
+
+    component_id is the smallest doc_id that links reach, the row's own included. A null text is empty; an empty set
+    links with nothing. A row with a null doc_id links with nothing either: its component_id is null. Rows that repeat a
+    doc_id have a set each, and equal rows are in one component. An empty table gives no rows. Other columns are ignored."""
+    return rooted(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of docs from each component, with its columns: that of the smallest doc_id, of rows that share it the one
+    with the least hash of its text. Rows with an empty set or a null doc_id are linked with nothing and all stay."""
+    stay = rooted(docs).filter("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_doc"), F.col("k.text_hash").alias("_hash"))
+    empty = F.coalesce(~F.col("text").rlike(WORD), F.lit(True)) | F.col("doc_id").isNull()
+    rows = docs.filter(~empty).select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_hash"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    first = F.row_number().over(Window.partitionBy("_doc", "_hash").orderBy("_doc"))  # equal rows: any of them
+    rows = rows.join(materialize(stay, "stay"), ["_doc", "_hash"]).withColumn("_n", first).filter("_n = 1").select("row.*")
+    return rows.unionByName(docs.filter(empty))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

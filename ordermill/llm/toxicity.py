@@ -1,6 +1,7 @@
 """Operator 3: toxicity by a convolutional text classifier in numpy.
 
-Words (runs of letters, lower-cased) are hashed into an embedding table; filters over 1, 2 and 3 words, rectified and
+Words (runs of letters, lower-cased) are hashed into an embedding table, and so are their first letters, which stand for
+the forms of a word that were not met; the two are added. Filters over 1, 2 and 3 words, rectified and
 pooled by their maximum over the whole text, feed a logistic output. It is trained by Adam on a bounded sample. For
 scoring, each filter's product with each embedding is tabled once, so that a text costs a few look-ups a word.
 
@@ -27,14 +28,16 @@ THRESHOLD = 0.7
 #: A language with fewer toxic texts to calibrate on takes the threshold of all.
 LEAST_TOXIC = 15
 _PAD = max(WIDTHS) - 1
+#: Of no word; words come before BUCKETS, first letters before it.
+_EMPTY = 2 * BUCKETS
 
 
 def word_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids with _PAD empty ids after each text, and where each text starts."""
+    """Pairs of ids (word and first letters), with _PAD empty pairs after each text, and where each text starts."""
     hashes, at = letter_words(texts)
-    ids = np.full(len(hashes) + _PAD * len(texts), BUCKETS, np.int32)
+    ids = np.full((len(hashes) + _PAD * len(texts), 2), _EMPTY, np.int32)
     owner = np.repeat(np.arange(len(texts)), np.diff(at))
-    ids[np.arange(len(hashes)) + _PAD * owner] = (hashes >> np.uint64(48)).astype(np.int32) & (BUCKETS - 1)
+    ids[np.arange(len(hashes)) + _PAD * owner] = (hashes >> np.uint64(48)).astype(np.int32) & (BUCKETS - 1) | np.array([0, BUCKETS], np.int32)
     return ids, at[:-1] + _PAD * np.arange(len(texts))
 
 
@@ -53,18 +56,22 @@ def _forward(x: np.ndarray, starts: np.ndarray, kernels: list[np.ndarray], bias:
 
 def _train(ids: list[np.ndarray], y: np.ndarray, seed: int = 7) -> dict:
     rng = np.random.default_rng(seed)
-    texts_with, toxic_with = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+    texts_with, toxic_with = np.zeros(_EMPTY + 1), np.zeros(_EMPTY + 1)
     for x, label in zip(ids, y, strict=True):
         u = np.unique(x)
         texts_with[u] += 1
         toxic_with[u] += label
     known = texts_with >= min(LEAST_TEXTS, max(1, len(ids) // 20))
-    known[BUCKETS] = False
+    known[_EMPTY] = False
     rate = (y.sum() + 1) / (len(y) + 2)
     odds = np.log((toxic_with + 2 * rate) / (texts_with - toxic_with + 2 * (1 - rate)) * (1 - rate) / rate)
-    e = rng.normal(0, 0.1, (BUCKETS + 1, SIZE))
-    e[:, 0] = odds / 2
-    e[~known] = 0
+    known = np.flatnonzero(known)  # all others have no embedding: they are row 0 of the table trained
+    row = np.zeros(_EMPTY + 1, np.int32)
+    row[known] = np.arange(1, len(known) + 1)
+    ids = [row[x] for x in ids]
+    e = rng.normal(0, 0.1, (len(known) + 1, SIZE))
+    e[1:, 0] = odds[known] / 3
+    e[0] = 0
     kernels = [rng.normal(0, 0.2, (w, SIZE, FILTERS)) for w in WIDTHS]
     for k in kernels:
         k[:, 0, 0] = 1 / len(k)
@@ -79,7 +86,7 @@ def _train(ids: list[np.ndarray], y: np.ndarray, seed: int = 7) -> dict:
             flat = np.concatenate([ids[i] for i in some])
             starts = np.cumsum([0] + [len(ids[i]) for i in some[:-1]])
             e, kernels, bias, out, c = params[0], params[1:-3], params[-3], params[-2], params[-1]
-            x = e[flat]
+            x = e[flat[:, 0]] + e[flat[:, 1]]
             top, place = _forward(x, starts, kernels, bias)
             h = np.maximum(top, 0)
             d = (1 / (1 + np.exp(-np.clip(h @ out + c, -30, 30))) - y[some]) / len(some)
@@ -90,17 +97,21 @@ def _train(ids: list[np.ndarray], y: np.ndarray, seed: int = 7) -> dict:
                 grad = np.zeros_like(kernel)
                 for j in range(w):
                     grad[j] = np.einsum("bfd,bf->df", x[where + j], g)
-                    np.add.at(de, flat[where + j], g[:, :, None] * kernel[j].T[None])
+                    step_e = g[:, :, None] * kernel[j].T[None]
+                    for both in (0, 1):
+                        np.add.at(de, flat[where + j, both], step_e)
                 dk.append(grad)
-            de[~known] = 0
+            de[0] = 0
             step += 1
             for p, grad, m, v in zip(params, [de, *dk, dh.sum(axis=0), h.T @ d, d.sum(keepdims=True)], first, second, strict=True):
                 grad = grad + DECAY * p
                 m += 0.1 * (grad - m)
                 v += 0.001 * (grad * grad - v)
                 p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    full = np.zeros((_EMPTY + 1, SIZE))
+    full[known] = params[0][1:]
     return {
-        "tables": [[(params[0] @ k[j]).astype(np.float32) for j in range(len(k))] for k in params[1:-3]],
+        "tables": [[(full @ k[j]).astype(np.float32) for j in range(len(k))] for k in params[1:-3]],
         "bias": params[-3],
         "out": params[-2],
         "c": float(params[-1][0]),
@@ -113,9 +124,11 @@ def logits(model: dict, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     top = []
     for w, tables in zip(WIDTHS, model["tables"], strict=True):
         n = len(ids) - w + 1
-        z = tables[0][ids[:n]]
+        z = tables[0][ids[:n, 0]]
+        z += tables[0][ids[:n, 1]]
         for j in range(1, w):
-            z += tables[j][ids[j : j + n]]
+            z += tables[j][ids[j : j + n, 0]]
+            z += tables[j][ids[j : j + n, 1]]
         top.append(np.maximum.reduceat(z, starts, axis=0))
     return np.maximum(np.concatenate(top, axis=1) + model["bias"], 0) @ model["out"] + model["c"]
 
@@ -124,7 +137,7 @@ def language_of(model: dict, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The index of the most probable language of each text by its words; 0 if there is nothing to tell it by."""
     if len(starts) == 0 or model["words"].shape[1] < 2:
         return np.zeros(len(starts), int)
-    return np.add.reduceat(model["words"][ids], starts, axis=0).argmax(axis=1)
+    return np.add.reduceat(model["words"][ids[:, 0]], starts, axis=0).argmax(axis=1)
 
 
 def _threshold(z: np.ndarray, y: np.ndarray) -> float:
@@ -138,26 +151,27 @@ def _threshold(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(rows: list[tuple[str, int, str | None]]) -> dict:
-    """Learns from four fifths of (text, label, lang), calibrates the thresholds on the rest, then learns from all."""
+    """Learns from four fifths of (text, label, lang), calibrates the thresholds on the rest, by turns, then learns from all."""
     texts, y = [r[0] for r in rows], np.array([float(r[1]) for r in rows])
     if len(rows) == 0 or y.min() == y.max():
         constant = float(y[0]) if len(y) else 0.0
         return {"constant": 0.99 if constant else 0.01}
     ids = [word_ids([t])[0] for t in texts]
     names = sorted({r[2] for r in rows if r[2] is not None})
-    words = np.zeros((BUCKETS + 1, max(1, len(names))))
+    words = np.zeros((_EMPTY + 1, max(1, len(names))))
     for x, r in zip(ids, rows, strict=True):
         if r[2] is not None:
-            np.add.at(words[:, names.index(r[2])], x[:-_PAD], 1)
+            np.add.at(words[:, names.index(r[2])], x[:-_PAD, 0], 1)
     words = np.log((words + 0.05) / (words.sum(axis=0) + 0.05 * BUCKETS))
-    words[BUCKETS] = 0
+    words[_EMPTY] = 0
     fold = np.arange(len(rows)) % 5
     out_of_fold = np.zeros(len(rows))
-    for k in (range(5) if len(rows) < 1000 else (0, 1)):  # with many rows two fifths are enough to calibrate on
+    folds = range(5) if len(rows) < 1000 else (0, 1) if len(rows) < 5000 else (0,)  # of many rows a part is enough
+    for k in folds:
         part = _train([x for x, f in zip(ids, fold, strict=True) if f != k], y[fold != k])
         for i in np.flatnonzero(fold == k):
             out_of_fold[i] = logits(part, ids[i], np.array([0]))[0]
-    used = np.ones(len(rows), bool) if len(rows) < 1000 else fold < 2
+    used = fold < len(folds)
     model = _train(ids, y) | {"words": words.astype(np.float32)}
     group = np.array([language_of(model, x, np.array([0]))[0] for x in ids])
     shift = np.full(words.shape[1], _threshold(out_of_fold[used], y[used]))
@@ -213,5 +227,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model: dict | None = None
     return x.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs whose score is below the threshold, with their columns."""
+    return docs.filter(score_column(train(docs, labels))(F.col("text")) < THRESHOLD)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

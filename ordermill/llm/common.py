@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Give the executors this package, once a context: they need not have the repository on their path."""
+    context = spark.sparkContext
+    if getattr(context, "_ordermill_shipped", False):
+        return
+    import shutil
+
+    package = Path(__file__).resolve().parent.parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='code-')}/ordermill", "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    context._ordermill_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; one of our own only where it is unset."""
     context = spark.sparkContext

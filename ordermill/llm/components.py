@@ -26,9 +26,8 @@ def connected(links: DataFrame) -> DataFrame:
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         after = materialize(small.filter("a <> b").distinct(), "links")
         # settled when each id has one link and no root has a link of its own
-        roots = after.select(F.col("b").alias("a")).distinct()
-        count = after.agg(F.count("*").alias("n"), F.count_distinct("a").alias("ids")).first()
         edges = after
-        if count["n"] == count["ids"] and after.join(roots, "a", "left_semi").isEmpty():
+        both = after.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(after.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if both.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1").isEmpty():
             break
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

@@ -40,8 +40,9 @@ CELLS = 3
 STEP = 1.5
 #: Packed hashes that a task holds before it sends them on.
 HELD = 2_000_000
-#: Stars before the pairs that are left are compared all, and pairs a set for which that is done earlier.
-STARS, FEW = 6, 8
+#: Stars before the pairs that are left are compared all; that is done earlier when these are so few a set, or when a
+#: star has left more than such a part of them.
+STARS, FEW, GAIN = 6, 8, 0.8
 _U = np.uint64
 
 
@@ -262,14 +263,25 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 LINKED = f"100 * shared >= {SIMILARITY} * (n_a + n_b - shared)"
 
 
+def joined(roots: DataFrame | None, new: DataFrame) -> DataFrame:
+    """(id, root) after new links (a, b): only links between components are followed, by their roots."""
+    if roots is None:
+        return connected(new)
+    a, b = roots.select(F.col("id").alias("a"), F.col("root").alias("root_a")), roots.select(F.col("id").alias("b"), F.col("root").alias("root_b"))
+    between = new.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a <> b")
+    after = materialize(connected(between), "joined")
+    kept = roots.join(after.select(F.col("id").alias("root"), F.col("root").alias("r")), "root", "left").select("id", F.coalesce("r", "root").alias("root"))
+    return kept.unionByName(after.join(roots.select("id"), "id", "left_anti"))
+
+
 def links(sets: DataFrame, parts: int) -> DataFrame:
     """Links (a, b) that connect what is connected: not all pairs, but whatever is linked is joined by them."""
     alike = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * SIMILARITY
     clusters = materialize(sharing(sets, parts), "clusters")
     star = clusters.select(F.col("pivot").alias("cluster"), "node").unionByName(clusters.select(F.col("pivot").alias("cluster"), F.col("pivot").alias("node")).distinct())
     star = materialize(star.join(sets.select("node", "n"), "node").withColumn("root", F.col("node")).withColumn("pivot", F.col("cluster")), "members")
-    few = FEW * sets.count()
-    done = found = None
+    few, before = FEW * sets.count(), float("inf")
+    done = found = roots = None
     for turn in range(STARS):
         pivots = star.filter("node = pivot").select("cluster", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
         pairs = star.filter("node <> pivot").join(pivots, "cluster").filter(alike(F.col("n"), F.col("n_a")) & (F.col("root") != F.col("root_a")))
@@ -277,16 +289,18 @@ def links(sets: DataFrame, parts: int) -> DataFrame:
         done = compared if done is None else done.unionByName(compared)
         new = compared.filter(LINKED).select("a", "b")
         found = new if found is None else found.unionByName(new)
-        roots = materialize(connected(found), "roots")
+        roots = materialize(joined(roots, new), "roots")
         # what is not one component yet, without the pivots: these have been compared with all others there
         star = star.filter("node <> pivot").drop("pivot", "root").join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = star.groupBy("cluster").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("pivot")).filter("x <> y")
-        star = materialize(star.join(open_.select("cluster", "pivot"), "cluster"), "members")
-        left = star.groupBy("cluster").agg(F.count("*").alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0] or 0
+        open_ = star.groupBy("cluster").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m"), F.min("node").alias("pivot")).filter("x <> y")
+        open_ = materialize(open_.select("cluster", "pivot", "m"), "open")
+        left = open_.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0] or 0
+        star = star.join(open_.drop("m"), "cluster")
         if left == 0:
             return found
-        if left <= few:
+        if left <= few or left > GAIN * before:  # few pairs, or another star would join little
             break
+        star, before = materialize(star, "members"), left
     # Of the rest, every pair in a cluster that is in different components, of like sizes, and within reach by the
     # distances to the cluster's first pivot.
     known = done.select(F.col("a").alias("cluster"), F.col("b").alias("node"), (1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("away"))

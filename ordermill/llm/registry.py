@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import fingerprints, html, language, licenses, mixing, ngram_join, packing, quality, topk, toxicity
+from .common import ship_code
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _shipped(query: Query) -> Query:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_code(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+def queries() -> dict[str, Query]:
+    found = {
         "op1_html_extraction": html.op1_html_extraction,
         "op2_fingerprints": fingerprints.op2_fingerprints,
         "op3_toxicity": toxicity.op3_toxicity,
@@ -22,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
+    return {name: _shipped(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

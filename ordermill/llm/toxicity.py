@@ -27,7 +27,7 @@ LEAST_TEXTS = 3
 THRESHOLD = 0.7
 #: A language with fewer toxic texts to calibrate on takes the threshold of all.
 LEAST_TOXIC = 15
-_PAD = max(WIDTHS) - 1
+_PAD = max(WIDTHS)  # so that an empty text has a window of each width
 #: Of no word; words come before BUCKETS, first letters before it.
 _EMPTY = 2 * BUCKETS
 

@@ -151,4 +151,4 @@ def time_ago(seconds: Column) -> Column:
 def model_json(text: Column) -> Column:
     """The JSON inside of a fenced answer, or the text itself."""
     inner = F.regexp_extract(text, r"(?s)^\s*```(?:json)?(.*?)(?:```|$)", 1)
-    return F.trim(F.when(F.trim(text).startswith("```"), inner).otherwise(text))
+    return F.regexp_replace(F.when(F.trim(text).startswith("```"), inner).otherwise(text), r"^\s+|\s+$", "")

@@ -452,6 +452,8 @@ def test_words_have_the_tokenizers_ids(corpus):
     assert ids.merged is not None
     for r in corpus.limit(60).collect():
         assert ids.of(r["text"]) == ids.plain(r["text"])
+    for text in ("it's don't I'LL we'd'", "a.b c!d e?! f-g_h ...", "x1 2y 3,4 é1", "\nnew line's\nend!!", "ʰª ǅ ñ's %%% #a", "'s 't a' b''", "中文 字, ß."):
+        assert ids.of(text) == ids.plain(text)
 
 
 @pytest.mark.parametrize("seed", range(6))

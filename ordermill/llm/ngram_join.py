@@ -4,8 +4,9 @@ A document's set is its distinct 5-word shingles, as 64-bit hashes. Documents of
 named by a hash of the set. Every link between different sets is found (hash collisions aside), in these steps:
 
 1. A shingle that only one set has cannot be shared. A set with more of them than a quarter of its size has no partner,
-   as at most a quarter of a set can lie outside of a linked one. It is enough to count so within a fixed share of the
-   domain of hashes, for all sets alike; sets that are not ruled out go on, whatever the reason.
+   as at most a quarter of a set can lie outside of a linked one. Sets of up to FULL shingles are counted in full, among
+   all that may be their partners by size; of larger sets it is enough to count within a fixed share of the domain of
+   hashes. Sets that are not ruled out go on, whatever the reason.
 2. PartEnum: sets fall into overlapping bands of size such that linked sets share a band. In a band, linked sets differ
    by at most d shingles. The domain is cut into first-level parts, each into CELLS cells; in some part at most one cell
    differs, so one of its subsets of CELLS - 1 cells is equal in both sets, and its content is a signature that they share.
@@ -33,8 +34,8 @@ from .components import connected
 WIDTH = 5
 #: Two sets link when 100 * shared >= SIMILARITY * union.
 SIMILARITY = 75
-#: Of 256 parts of the domain, so many are counted in step 1.
-COUNTED = 92
+#: Of 256 parts of the domain, so many are counted in step 1; all are for sets of up to FULL shingles.
+COUNTED, FULL = 92, 300
 CELLS = 3
 #: Bands begin at sizes that grow by this factor.
 STEP = 1.5
@@ -131,7 +132,9 @@ def _packed(pairs: Iterator[tuple[int, np.ndarray]], parts: int) -> Iterator[pd.
 
 
 def lone_shingles(docs: DataFrame, parts: int) -> DataFrame:
-    """node, lone: for each node with any, counted shingles that no other set has (or fewer, never more)."""
+    """node, lone, counted: for each node with any, shingles that no other set of a like size has, all of them (right for
+    sets of up to FULL) and those within the share of the domain that all sets are counted in."""
+    partner = 100 * FULL // SIMILARITY
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def each():
@@ -139,9 +142,10 @@ def lone_shingles(docs: DataFrame, parts: int) -> DataFrame:
                 for _, part in _parts(list(frame["text"])):
                     for found in sets_of(part):
                         if len(found):
-                            yield name_of(found), found[(found & _U(255)) < COUNTED]
+                            mixed = mix(found)
+                            yield name_of(found), mixed if len(found) <= partner else mixed[(mixed & _U(255)) < COUNTED]
 
-        yield from _packed(((node, mix(some)) for node, some in each()), parts)
+        yield from _packed(each(), parts)
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         owners, hashes = _unpack(frame["packed"])
@@ -149,11 +153,14 @@ def lone_shingles(docs: DataFrame, parts: int) -> DataFrame:
         owners, hashes = owners[order], hashes[order]
         starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
         least, most = np.minimum.reduceat(owners, starts), np.maximum.reduceat(owners, starts)
-        nodes, lone = np.unique(least[least == most], return_counts=True)
-        return pd.DataFrame({"node": nodes, "lone": lone})
+        lone = least == most
+        nodes, at = np.unique(least[lone], return_inverse=True)
+        counted = np.bincount(at, weights=(hashes[starts][lone] & 255) < COUNTED, minlength=len(nodes))
+        return pd.DataFrame({"node": nodes, "lone": np.bincount(at, minlength=len(nodes)), "counted": counted.astype(np.int64)})
 
     spread_out = docs.select("text").mapInPandas(spread, "part int, packed binary")
-    return spread_out.groupBy("part").applyInPandas(count, "node long, lone long").groupBy("node").agg(F.sum("lone").alias("lone"))
+    found = spread_out.groupBy("part").applyInPandas(count, "node long, lone long, counted long")
+    return found.groupBy("node").agg(F.sum("lone").alias("lone"), F.sum("counted").alias("counted"))
 
 
 # --- step 2: signatures -----------------------------------------------------------------------------------------------
@@ -322,7 +329,7 @@ def rooted(docs: DataFrame) -> DataFrame:
     known = rows.filter("doc_id is not null and node is not null")
     nodes = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     lone = lone_shingles(docs.filter("doc_id is not null"), parts)
-    able = materialize(nodes.join(lone, "node", "left").filter(f"100 * coalesce(lone, 0) <= {100 - SIMILARITY} * n").select("doc_id"), "able")
+    able = materialize(nodes.join(lone, "node", "left").filter(f"100 * coalesce(if(n <= {FULL}, lone, counted), 0) <= {100 - SIMILARITY} * n").select("doc_id"), "able")
 
     def sets_again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -181,6 +181,17 @@ _DOMAIN: dict[str, str] = {
     "m8_remove": "SELECT id, email FROM clients WHERE email IS NULL OR NOT starts_with(email, 'c1')",
     "k2_erp_export": """SELECT numero_commande, 1 AS ligne_commande, 'SXP' AS site_vente, 'CL' || CASE WHEN client_id >= 10000 THEN client_id::VARCHAR ELSE lpad(client_id::VARCHAR, 5, '0') END AS code_client, nom AS client_nom, code_article, quantite, quantite_livree,
       reste_a_livrer, 'DIVERS' AS commercial, grammage, laize, prix_total, 'MAD' AS devise, statut, confiance, source, created_at FROM commandes c LEFT JOIN clients cl ON cl.id = client_id WHERE statut = 'validee'""",
+    "k1_flat_export": "SELECT c.id, numero_commande, nom AS client_nom, email AS client_email, type AS produit_type, nature_produit, quantite, prix_total, statut, source, email_subject, created_at, validated_at FROM commandes c LEFT JOIN clients cl ON cl.id = client_id LEFT JOIN produits p ON p.id = produit_id WHERE statut = 'rejetee'",
+    "k14_audit": "SELECT 'UPDATE' AS action, 'commandes' AS table_name, id AS record_id, 'Statut modifié' AS details FROM commandes WHERE id % 97 = 0",
+    "l4_log_tail": "SELECT id AS record_id, 'CREATE' AS action FROM commandes ORDER BY id DESC LIMIT 50",
+    "l5_clients_recent": "SELECT id, nom, order_count FROM (SELECT cl.id, nom, count(c.id) AS order_count, max(created_at) AS last_order FROM clients cl LEFT JOIN commandes c ON client_id = cl.id GROUP BY 1, 2) ORDER BY last_order DESC NULLS LAST, id LIMIT 25",
+    "n10_thousands": "SELECT id, format('{:,}', id * 1000) AS shown FROM commandes",
+    "p14_routable": "SELECT count_if(contains(email, '@'))::BIGINT AS routable FROM clients",
+    "p15_complete_fields": "SELECT id, code_article FROM commandes WHERE code_article IS NOT NULL AND grammage IS NOT NULL AND laize IS NOT NULL",
+    "p16_generic_names": "SELECT id, id % 3 = 0 AS is_generic FROM clients",
+    "t5_auto_code": f"SELECT id, coalesce(nullif(code_article, ''), CASE WHEN id % 2 = 0 THEN {_code('lower(description)')} || coalesce(grammage, 90) || 'L' || coalesce(laize, 25) || CASE WHEN contains(lower(description), 'mondi') THEN 'MON' ELSE '' END ELSE {_code('lower(paper)')} || coalesce(grammage, 80) || coalesce('L' || laize, '') END) AS code FROM ({_TEXT}) JOIN (SELECT id, code_article FROM commandes) USING (id)",
+    "t9_suggest_reorder": f"""SELECT row, CASE WHEN n IS NULL OR n = '' THEN coalesce(t.nature_produit, n) ELSE n END AS nature_produit, CASE WHEN q IS NULL OR q = 0 THEN coalesce(t.quantite, q) ELSE q END AS quantite, CASE WHEN t.client_id IS NOT NULL THEN 'client_history' END AS suggestion_source
+      FROM (SELECT id AS row, client_id, CASE WHEN id % 2 = 0 THEN '' ELSE nature_produit END AS n, CASE WHEN id % 4 = 0 THEN 0 ELSE quantite END AS q FROM commandes WHERE id % 9 = 0) x LEFT JOIN ({_TYPICAL}) t USING (client_id)""",
     "k4_json_counts": """SELECT '{"id":' || id || ',"type":"' || type || '"}' AS json FROM produits""",
     "k7_retention": """SELECT filename, strptime(filename, 'backup_%Y%m%d_%H%M%S.db') AS created, CASE WHEN size < 1024 THEN printf('%.1f B', size::DOUBLE) WHEN size < 1048576 THEN printf('%.1f KB', size / 1024.0) ELSE printf('%.1f MB', size / 1048576.0) END AS shown FROM (
       SELECT *, row_number() OVER (ORDER BY filename DESC) AS n FROM (SELECT 'backup_200107' || lpad((id % 28 + 1)::VARCHAR, 2, '0') || '_12' || lpad((id % 60)::VARCHAR, 2, '0') || '00.db' AS filename, id * 70000 AS size FROM clients WHERE id <= 25)) WHERE n > 10""",
@@ -194,6 +205,10 @@ ORACLE: dict[str, str] = {name: BRIDGE_SQL + sql for name, sql in _DOMAIN.items(
     "f10_media": """SELECT event_id, CASE WHEN n > 0 THEN (CASE WHEN contains(m, 'image') THEN 'image' WHEN regexp_matches(m, 'audio|ogg|opus|mpeg|mp3|wav|m4a|voice') THEN 'audio' WHEN regexp_matches(m, 'pdf|document') THEN 'document' ELSE 'file' END)
       WHEN event_id % 4 = 1 THEN 'text' ELSE 'unknown' END AS kind, 'ogg' AS extension FROM (SELECT event_id, event_id % 3 AS n,
       ['image/jpeg', 'audio/ogg; codecs=opus', 'video/mpeg', 'application/pdf', 'text/vcard', 'application/vnd.ms-word.document'][event_id % 6 + 1] AS m FROM events)""",
+    "s6_newest_mails": "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 5",
+    "s7_unseen": "SELECT event_id FROM events WHERE event_id % 3 = 0 OR event_id % 2 <> 0",
+    "d10_time_ago": "SELECT event_id, CASE WHEN s < 60 THEN 'À l''instant' WHEN s < 3600 THEN 'Il y a ' || s // 60 || ' min' WHEN s < 86400 THEN 'Il y a ' || s // 3600 || 'h' ELSE 'Il y a ' || s // 86400 || 'j' END AS shown FROM (SELECT event_id, event_id * 37 AS s FROM events)",
+    "d11_next_slot": "SELECT event_id, TIMESTAMP '2001-08-31 00:00:00' + to_hours(least((22 // (event_id % 12 + 1) + 1) * (event_id % 12 + 1), 24)::INTEGER) AS at FROM events",
     "r1_notification_stream": "SELECT event_id, event_type FROM events WHERE event_id > 100",
     "r2_dedup_stream": "SELECT DISTINCT user_id FROM events",
     "r3_daily_stream": "SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..functions import text as T
 from ..functions.clock import Clock
-from ..operators import alerts, export, ingest, joins, metrics, profile, windows
+from ..operators import alerts, export, inbox, ingest, joins, metrics, profile, windows
 from ..sources.bridge import Domain, domain, read
 from ..streaming import feeds
 
@@ -209,6 +209,20 @@ QUERIES: dict[str, Query] = {
     "k2_erp_export": _on(lambda d: export.erp_rows(d, status="validee").select("numero_commande", "ligne_commande", "site_vente", "code_client", "client_nom", "code_article", "quantite", "quantite_livree", "reste_a_livrer", "commercial", "grammage", "laize", "prix_total", "devise", "statut", "confiance", "source", "created_at")),
     "k4_json_counts": _on(lambda d: export.as_json(d.produits).select("json")),
     "k7_retention": _on(lambda d: export.expired(export.listed(_backups(d)), 10).select("filename", "created", T.human_size(c("size")).alias("shown"))),
+    "k1_flat_export": _on(lambda d: joins.order_view(Domain(d.clients, d.produits, d.commandes.filter(export.filters("rejetee")))).select("id", "numero_commande", "client_nom", "client_email", "produit_type", "nature_produit", "quantite", "prix_total", "statut", "source", "email_subject", "created_at", "validated_at")),
+    "k14_audit": _on(lambda d: ingest.audit("UPDATE", "commandes", d.commandes.filter("id % 97 = 0"), "Statut modifié")),
+    "s6_newest_mails": lambda spark, sf_dir: inbox.newest(read(spark, sf_dir, "events").select("event_id", "event_type"), 5, "event_id"),
+    "s7_unseen": lambda spark, sf_dir: inbox.unseen(read(spark, sf_dir, "events").select("event_id", F.when(c("event_id") % 3 != 0, c("event_id") % 2 == 0).alias("seen"))).select("event_id"),
+    "l4_log_tail": _on(lambda d: inbox.newest(ingest.audit("CREATE", "commandes", d.commandes, ""), 50, "record_id").select("record_id", "action")),
+    "l5_clients_recent": _on(lambda d: inbox.sorted_clients(metrics.clients_with_orders(d), "recent").limit(25).select("id", "nom", "order_count")),
+    "d10_time_ago": lambda spark, sf_dir: read(spark, sf_dir, "events").select("event_id", T.time_ago(c("event_id") * 37).alias("shown")),
+    "d11_next_slot": lambda spark, sf_dir: read(spark, sf_dir, "events").select("event_id", inbox.next_slot(Clock("2001-08-31 22:10:00"), c("event_id") % 12 + 1).alias("at")),
+    "n10_thousands": _on(lambda d: d.commandes.select("id", inbox.thousands(c("id") * 1000 + 0.4).alias("shown"))),
+    "p14_routable": _on(lambda d: d.clients.agg(metrics.count_where(T.routable(c("email"))).alias("routable"))),
+    "p15_complete_fields": _on(lambda d: d.commandes.filter("code_article is not null and grammage is not null and laize is not null").select("id", "code_article")),
+    "p16_generic_names": _on(lambda d: d.clients.select("id", T.generic_name(F.when(c("id") % 3 == 0, F.concat(F.lit("Client WhatsApp "), "nom")).otherwise(c("nom"))).alias("is_generic"))),
+    "t5_auto_code": _on(lambda d: _text(d).join(d.commandes.select("id", "code_article"), "id").select("id", inbox.auto_code(c("code_article"), F.when(c("id") % 2 == 0, c("description")), c("paper"), c("grammage"), c("laize")).alias("code"))),
+    "t9_suggest_reorder": _on(lambda d: inbox.suggest_reorder(_extracted(d).select("row", "client_id", "nature_produit", "quantite"), windows.typical(d)).select("row", "nature_produit", "quantite", "suggestion_source")),
     "r1_notification_stream": notification_stream,
     "r2_dedup_stream": dedup_stream,
     "r3_daily_stream": daily_stream,

@@ -34,26 +34,31 @@ def presence(texts: list[str]) -> np.ndarray:
     i = 0
     while i < len(texts):
         rows, size = [], 0
-        if len(texts[i]) > _CHARS:  # a very long text by itself, in overlapping parts
+        if len(texts[i]) > _CHARS:  # a very long text by itself, in parts that begin with the two codes before
+            codes = np.zeros(1, np.uint32)
             for at in range(0, len(texts[i]), _CHARS):
-                _mark(flat, [i], [texts[i][max(0, at - 2) : at + _CHARS]])
+                last = [np.zeros(1, np.uint32)] if at + _CHARS >= len(texts[i]) else []
+                codes = np.concatenate([codes[-2:], letters(texts[i][at : at + _CHARS]), *last])
+                codes = codes[(codes != 0) | np.append(True, codes[:-1] != 0)]
+                _mark(flat, codes, np.full(len(codes), i * int(_BASE[-1]), np.int64))
             i += 1
             continue
         while i < len(texts) and size + len(texts[i]) <= _CHARS:
             rows.append(i)
             size += len(texts[i])
             i += 1
-        _mark(flat, rows, [texts[r] for r in rows])
+        a = letters(" " + "  ".join(texts[r] for r in rows) + " ")
+        sizes = [len(texts[r]) + 2 for r in rows]
+        owner = np.repeat(np.array(rows, np.int64) * int(_BASE[-1]), sizes)
+        keep = (a != 0) | np.append(True, a[:-1] != 0)
+        keep[np.cumsum([0, *sizes[:-1]])] = True
+        _mark(flat, a[keep], owner[keep])
     return out
 
 
-def _mark(flat: np.ndarray, rows: list[int], texts: list[str]) -> None:
-    a = letters(" " + "  ".join(texts) + " ")
-    sizes = [len(x) + 2 for x in texts]
-    owner = np.repeat(np.array(rows, np.int64) * int(_BASE[-1]), sizes)
-    keep = (a != 0) | np.append(True, a[:-1] != 0)
-    keep[np.cumsum([0, *sizes[:-1]])] = True
-    a, owner = a[keep].astype(np.uint32), owner[keep]
+def _mark(flat: np.ndarray, a: np.ndarray, owner: np.ndarray) -> None:
+    """Mark the n-grams of codes; owner is where each code's row starts."""
+    a = a.astype(np.uint32)
     m = np.uint32
     one = a * m(2654435761)
     two = (a[:-1] * m(40503) + a[1:]) * m(2246822519)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from pathlib import Path
@@ -61,6 +62,22 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Rows in an Arrow batch, where a row may hold two large sets.
+BATCH_ROWS = "1000"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """What runs inside gets BATCH_ROWS rows at a time from Spark; the session's own setting comes back after."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def held_out(divisor: int, remainder: int):
     """crc32 of the doc_id as text has this remainder. A null doc_id is not held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == remainder, F.lit(False))

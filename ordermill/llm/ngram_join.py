@@ -4,9 +4,7 @@ A document's set is its distinct 5-word shingles, as 64-bit hashes. Documents of
 named by a hash of the set. Every link between different sets is found (hash collisions aside), in these steps:
 
 1. A shingle that only one set has cannot be shared. A set with more of them than a quarter of its size has no partner,
-   as at most a quarter of a set can lie outside of a linked one. Sets of up to FULL shingles are counted in full, among
-   all that may be their partners by size; of larger sets it is enough to count within a fixed share of the domain of
-   hashes. Sets that are not ruled out go on, whatever the reason.
+   as at most a quarter of a set can lie outside of a linked one.
 2. PartEnum: sets fall into overlapping bands of size such that linked sets share a band. In a band, linked sets differ
    by at most d shingles. The domain is cut into first-level parts, each into CELLS cells; in some part at most one cell
    differs, so one of its subsets of CELLS - 1 cells is equal in both sets, and its content is a signature that they share.
@@ -15,7 +13,8 @@ named by a hash of the set. Every link between different sets is found (hash col
    A pair would be lost only if that held for both, and such sets meet in their shingles.
 3. Sets that share a signature are compared with the smallest of them, exactly. Where that does not join all of a
    cluster into one component, another star follows, from a set not used yet; when few pairs are left, all of them are
-   compared that may still be linked by size and by the triangle inequality of the Jaccard distance.
+   compared that may still be linked by size and by the triangle inequality of the Jaccard distance. Bitmaps of the sets
+   rule out most pairs before the sets themselves are moved.
 
 Hashes travel as packed numpy arrays by range of the hash, so that a range is a bounded share of all, whatever the keys."""
 
@@ -28,14 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, as_bytes, materialize, mix, shingles, shuffle_partitions, table, word_hashes
+from .common import WORD, as_bytes, materialize, mix, shingles, shuffle_partitions, small_batches, table, word_hashes
 from .components import connected
 
 WIDTH = 5
 #: Two sets link when 100 * shared >= SIMILARITY * union.
 SIMILARITY = 75
-#: Of 256 parts of the domain, so many are counted in step 1; all are for sets of up to FULL shingles.
-COUNTED, FULL = 92, 300
 CELLS = 3
 #: Bands begin at sizes that grow by this factor.
 STEP = 1.5
@@ -132,18 +129,13 @@ def _packed(pairs: Iterator[tuple[int, np.ndarray]], parts: int) -> Iterator[pd.
 
 
 def lone_shingles(docs: DataFrame, parts: int) -> DataFrame:
-    """node, lone, counted: for each node with any, shingles that no other set of a like size has, all of them (right for
-    sets of up to FULL) and those within the share of the domain that all sets are counted in."""
-    partner = 100 * FULL // SIMILARITY
+    """node, lone: for each node with any, how many of its shingles no other set has (or fewer, never more)."""
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def each():
             for frame in frames:
                 for _, part in _parts(list(frame["text"])):
-                    for found in sets_of(part):
-                        if len(found):
-                            mixed = mix(found)
-                            yield name_of(found), mixed if len(found) <= partner else mixed[(mixed & _U(255)) < COUNTED]
+                    yield from ((name_of(found), mix(found)) for found in sets_of(part) if len(found))
 
         yield from _packed(each(), parts)
 
@@ -153,14 +145,11 @@ def lone_shingles(docs: DataFrame, parts: int) -> DataFrame:
         owners, hashes = owners[order], hashes[order]
         starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
         least, most = np.minimum.reduceat(owners, starts), np.maximum.reduceat(owners, starts)
-        lone = least == most
-        nodes, at = np.unique(least[lone], return_inverse=True)
-        counted = np.bincount(at, weights=(hashes[starts][lone] & 255) < COUNTED, minlength=len(nodes))
-        return pd.DataFrame({"node": nodes, "lone": np.bincount(at, minlength=len(nodes)), "counted": counted.astype(np.int64)})
+        nodes, lone = np.unique(least[least == most], return_counts=True)
+        return pd.DataFrame({"node": nodes, "lone": lone})
 
     spread_out = docs.select("text").mapInPandas(spread, "part int, packed binary")
-    found = spread_out.groupBy("part").applyInPandas(count, "node long, lone long, counted long")
-    return found.groupBy("node").agg(F.sum("lone").alias("lone"), F.sum("counted").alias("counted"))
+    return spread_out.groupBy("part").applyInPandas(count, "node long, lone long").groupBy("node").agg(F.sum("lone").alias("lone"))
 
 
 # --- step 2: signatures -----------------------------------------------------------------------------------------------
@@ -253,18 +242,47 @@ def sharing(sets: DataFrame, parts: int) -> DataFrame:
 # --- step 3: exact comparison -----------------------------------------------------------------------------------------
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """A bitmap of the set, of 4 to 8 bits a shingle."""
+    flags = np.zeros(max(64, 1 << (4 * len(found) - 1).bit_length()), bool)
+    flags[(mix(found ^ _U(0x3C6EF372FE94F82B)) & _U(len(flags) - 1)).astype(np.int64)] = True
+    return np.packbits(flags).tobytes()
+
+
+def most_shared(x: bytes, n_x: int, y: bytes, n_y: int) -> int:
+    """A bound on the shingles that two sets share: a bit that only one has is a shingle that the other lacks."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) > len(b):
+        a = np.bitwise_or.reduce(a.reshape(-1, len(b)), axis=0)
+    elif len(b) > len(a):
+        b = np.bitwise_or.reduce(b.reshape(-1, len(a)), axis=0)
+    return min(n_x - int(np.bitwise_count(a & ~b).sum()), n_y - int(np.bitwise_count(b & ~a).sum()))
+
+
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b and others) with their sizes and shared, the number of shingles that both have."""
+    """Of pairs (a, b): a, b, n_a, n_b, shared, exact. shared is the number of shingles that both have, where a bound on
+    it by bitmaps, which are much smaller than the sets, leaves a link possible; else it is that bound."""
+
+    def bounded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            most = [most_shared(x, n, y, m) for x, n, y, m in zip(frame["bits_a"], frame["n_a"], frame["bits_b"], frame["n_b"], strict=True)]
+            yield frame[["a", "b", "n_a", "n_b"]].assign(shared=np.array(most, np.int64))
 
     def shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             n = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(frame["found_a"], frame["found_b"], strict=True)]
-            yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "n_a": frame["found_a"].map(len) // 8, "n_b": frame["found_b"].map(len) // 8, "shared": np.array(n, np.int64)})
+            yield frame[["a", "b", "n_a", "n_b"]].assign(shared=np.array(n, np.int64))
+
+    def with_both(x: DataFrame, *columns: str) -> DataFrame:
+        for side in ("a", "b"):
+            x = x.join(sets.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+        return x
 
-    x = pairs.select("a", "b").distinct()
-    x = x.join(sets.select(F.col("node").alias("a"), F.col("found").alias("found_a")), "a")
-    x = x.join(sets.select(F.col("node").alias("b"), F.col("found").alias("found_b")), "b")
-    return x.mapInPandas(shared, "a long, b long, n_a long, n_b long, shared long")
+    names = "a long, b long, n_a long, n_b long, shared long"
+    rough = materialize(with_both(pairs.select("a", "b").distinct(), "n", "bits").mapInPandas(bounded, names), "rough")
+    maybe = rough.filter(LINKED).drop("shared")
+    exact = with_both(maybe, "found").mapInPandas(shared, names)
+    return exact.withColumn("exact", F.lit(True)).unionByName(rough.filter(f"not ({LINKED})").withColumn("exact", F.lit(False)))
 
 
 LINKED = f"100 * shared >= {SIMILARITY} * (n_a + n_b - shared)"
@@ -310,11 +328,13 @@ def links(sets: DataFrame, parts: int) -> DataFrame:
         star, before = materialize(star, "members"), left
     # Of the rest, every pair in a cluster that is in different components, of like sizes, and within reach by the
     # distances to the cluster's first pivot.
-    known = done.select(F.col("a").alias("cluster"), F.col("b").alias("node"), (1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("away"))
-    x = star.select("cluster", "node", "n", "root").join(known, ["cluster", "node"], "left")
-    y = x.select("cluster", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("away").alias("away_a"))
+    away = 1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
+    known = done.select(F.col("a").alias("cluster"), F.col("b").alias("node"), away.alias("least"), F.when(F.col("exact"), away).otherwise(1.0).alias("most")).distinct()
+    x = star.select("cluster", "node", "n", "root").join(known, ["cluster", "node"], "left").withColumn("least", F.coalesce("least", F.lit(0.0))).withColumn("most", F.coalesce("most", F.lit(1.0)))
+    y = x.select("cluster", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("least").alias("least_a"), F.col("most").alias("most_a"))
+    reach = 1 - SIMILARITY / 100 + 1e-9
     rest = x.join(y, "cluster").filter((F.col("node") > F.col("a")) & (F.col("root") != F.col("root_a")) & alike(F.col("n"), F.col("n_a")))
-    rest = rest.filter(F.coalesce(F.abs(F.col("away") - F.col("away_a")) <= 1 - SIMILARITY / 100 + 1e-9, F.lit(True)))
+    rest = rest.filter((F.col("least") - F.col("most_a") <= reach) & (F.col("least_a") - F.col("most") <= reach))
     rest = rest.select("a", F.col("node").alias("b")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
     return found.unionByName(compare(rest, sets).filter(LINKED).select("a", "b"))
 
@@ -323,23 +343,27 @@ def rooted(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, root, component_id of every row of docs (doc_id, text): root names its component
     and is null where the set is empty or the doc_id null."""
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
+    with small_batches(spark):
+        return _rooted(docs, shuffle_partitions(spark))
+
+
+def _rooted(docs: DataFrame, parts: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     rows = materialize(node_rows(docs), "nodes")
     known = rows.filter("doc_id is not null and node is not null")
     nodes = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     lone = lone_shingles(docs.filter("doc_id is not null"), parts)
-    able = materialize(nodes.join(lone, "node", "left").filter(f"100 * coalesce(if(n <= {FULL}, lone, counted), 0) <= {100 - SIMILARITY} * n").select("doc_id"), "able")
+    able = materialize(nodes.join(lone, "node", "left").filter(f"100 * coalesce(lone, 0) <= {100 - SIMILARITY} * n").select("doc_id"), "able")
 
     def sets_again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for _, part in _parts(list(frame["text"])):
                 found = [x for x in sets_of(part) if len(x)]
-                yield pd.DataFrame({"node": np.array([name_of(x) for x in found], np.int64), "n": np.array([len(x) for x in found], np.int64), "found": [x.tobytes() for x in found]})
+                yield pd.DataFrame({"node": np.array([name_of(x) for x in found], np.int64), "n": np.array([len(x) for x in found], np.int64), "bits": [sketch(x) for x in found], "found": [x.tobytes() for x in found]})
 
-    sets = docs.join(able, "doc_id", "left_semi").select("text").mapInPandas(sets_again, "node long, n long, found binary")
+    sets = docs.join(able, "doc_id", "left_semi").select("text").mapInPandas(sets_again, "node long, n long, bits binary, found binary")
     sets = materialize(sets.dropDuplicates(["node"]), "sets")
-    roots = connected(links(sets, parts))
+    roots = materialize(connected(links(sets, parts)), "roots")
     nodes = nodes.join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     nodes = nodes.join(least, "root").select("node", "root", "component_id")

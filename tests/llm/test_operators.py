@@ -390,6 +390,15 @@ def test_linked_sets_share_a_signature():
                     assert len(np.intersect1d(ngram_join.signatures(a), ngram_join.signatures(b)))
 
 
+def test_bitmaps_never_rule_out_too_much():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 1), (5, 6), (30, 40), (63, 65), (400, 300), (1000, 1300)):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 1 << 63, m - n // 2, dtype=np.uint64)]))
+        shared = len(np.intersect1d(a, b))
+        assert shared <= ngram_join.most_shared(ngram_join.sketch(a), len(a), ngram_join.sketch(b), len(b)) <= min(len(a), len(b))
+
+
 def test_one_row_of_each_component_stays(spark, docs):
     got = ngram_join.one_of_each(docs)
     assert got.columns == docs.columns

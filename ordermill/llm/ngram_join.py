@@ -41,6 +41,11 @@ HELD = 2_000_000
 #: Stars before the pairs that are left are compared all; that is done earlier when these are so few a set, or when a
 #: star has left more than such a part of them.
 STARS, FEW, GAIN = 6, 8, 0.8
+#: Members of a cluster in a block, when all pairs are compared.
+MEMBERS = 256
+#: Ranges of signatures at least. A pair is seen in each range where it shares one, so that with few ranges the number
+#: of candidates would follow the number of partitions.
+RANGES = 64
 _U = np.uint64
 
 
@@ -268,23 +273,29 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             most = [most_shared(x, n, y, m) for x, n, y, m in zip(frame["bits_a"], frame["n_a"], frame["bits_b"], frame["n_b"], strict=True)]
             yield frame[["a", "b", "n_a", "n_b"]].assign(shared=np.array(most, np.int64))
 
+    rough = materialize(with_both(pairs.select("a", "b").distinct(), sets, "n", "bits").mapInPandas(bounded, _PAIR), "rough")
+    exact = exactly(rough.filter(LINKED).drop("shared"), sets)
+    return exact.withColumn("exact", F.lit(True)).unionByName(rough.filter(f"not ({LINKED})").withColumn("exact", F.lit(False)))
+
+
+def exactly(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b, n_a, n_b) with shared, the number of shingles that both have."""
+
     def shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             n = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(frame["found_a"], frame["found_b"], strict=True)]
             yield frame[["a", "b", "n_a", "n_b"]].assign(shared=np.array(n, np.int64))
 
-    def with_both(x: DataFrame, *columns: str) -> DataFrame:
-        for side in ("a", "b"):
-            x = x.join(sets.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
-        return x
+    return with_both(pairs, sets, "found").mapInPandas(shared, _PAIR)
 
-    names = "a long, b long, n_a long, n_b long, shared long"
-    rough = materialize(with_both(pairs.select("a", "b").distinct(), "n", "bits").mapInPandas(bounded, names), "rough")
-    maybe = rough.filter(LINKED).drop("shared")
-    exact = with_both(maybe, "found").mapInPandas(shared, names)
-    return exact.withColumn("exact", F.lit(True)).unionByName(rough.filter(f"not ({LINKED})").withColumn("exact", F.lit(False)))
 
+def with_both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+    return pairs
 
+
+_PAIR = "a long, b long, n_a long, n_b long, shared long"
 LINKED = f"100 * shared >= {SIMILARITY} * (n_a + n_b - shared)"
 
 
@@ -302,7 +313,7 @@ def joined(roots: DataFrame | None, new: DataFrame) -> DataFrame:
 def links(sets: DataFrame, parts: int) -> DataFrame:
     """Links (a, b) that connect what is connected: not all pairs, but whatever is linked is joined by them."""
     alike = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * SIMILARITY
-    clusters = materialize(sharing(sets, parts), "clusters")
+    clusters = materialize(sharing(sets, max(RANGES, parts)), "clusters")
     star = clusters.select(F.col("pivot").alias("cluster"), "node").unionByName(clusters.select(F.col("pivot").alias("cluster"), F.col("pivot").alias("node")).distinct())
     star = materialize(star.join(sets.select("node", "n"), "node").withColumn("root", F.col("node")).withColumn("pivot", F.col("cluster")), "members")
     few, before = FEW * sets.count(), float("inf")
@@ -326,17 +337,44 @@ def links(sets: DataFrame, parts: int) -> DataFrame:
         if left <= few or left > GAIN * before:  # few pairs, or another star would join little
             break
         star, before = materialize(star, "members"), left
-    # Of the rest, every pair in a cluster that is in different components, of like sizes, and within reach by the
-    # distances to the cluster's first pivot.
+    return found.unionByName(exactly(materialize(within_clusters(star, done, sets), "maybe"), sets).filter(LINKED).select("a", "b"))
+
+
+def within_clusters(star: DataFrame, done: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b, n_a, n_b) of the members of a cluster that may be linked: in different components, of like
+    sizes, within reach by the distances to the cluster's first pivot, and by the bound from their bitmaps.
+
+    Members are dealt into blocks of about MEMBERS, and a task compares two blocks: what it gives are the pairs that pass
+    and not all pairs, and no cluster is one task's work."""
     away = 1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
-    known = done.select(F.col("a").alias("cluster"), F.col("b").alias("node"), away.alias("least"), F.when(F.col("exact"), away).otherwise(1.0).alias("most")).distinct()
-    x = star.select("cluster", "node", "n", "root").join(known, ["cluster", "node"], "left").withColumn("least", F.coalesce("least", F.lit(0.0))).withColumn("most", F.coalesce("most", F.lit(1.0)))
-    y = x.select("cluster", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("least").alias("least_a"), F.col("most").alias("most_a"))
+    known = done.select(F.col("a").alias("cluster"), F.col("b").alias("node"), away.alias("least"), F.when(F.col("exact"), away).otherwise(1.0).alias("most"))
+    known = known.groupBy("cluster", "node").agg(F.max("least").alias("least"), F.min("most").alias("most"))
+    blocks = star.groupBy("cluster").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+    x = star.select("cluster", "node", "n", "root").join(known, ["cluster", "node"], "left").join(blocks, "cluster").join(sets.select("node", "bits"), "node")
+    x = x.withColumn("least", F.coalesce("least", F.lit(0.0))).withColumn("most", F.coalesce("most", F.lit(1.0))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     reach = 1 - SIMILARITY / 100 + 1e-9
-    rest = x.join(y, "cluster").filter((F.col("node") > F.col("a")) & (F.col("root") != F.col("root_a")) & alike(F.col("n"), F.col("n_a")))
-    rest = rest.filter((F.col("least") - F.col("most_a") <= reach) & (F.col("least_a") - F.col("most") <= reach))
-    rest = rest.select("a", F.col("node").alias("b")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
-    return found.unionByName(compare(rest, sets).filter(LINKED).select("a", "b"))
+
+    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
+        frame = frame.sort_values("node")
+        left, right = frame[frame["block"] == i], frame[frame["block"] == j]
+        column = lambda c: (left[c].to_numpy()[:, None], right[c].to_numpy()[None])
+        (n_a, n_b), (root_a, root_b), (least_a, least_b), (most_a, most_b), (a, b) = map(column, ("n", "root", "least", "most", "node"))
+        some = (root_a != root_b) & (100 * np.minimum(n_a, n_b) >= SIMILARITY * np.maximum(n_a, n_b)) & (least_a - most_b <= reach) & (least_b - most_a <= reach)
+        if i == j:
+            some &= a < b
+        bits_a, bits_b, out = left["bits"].to_numpy(), right["bits"].to_numpy(), []
+        for p, q in zip(*np.nonzero(some), strict=True):
+            n, m = int(n_a[p, 0]), int(n_b[0, q])
+            shared = most_shared(bits_a[p], n, bits_b[q], m)
+            if 100 * shared >= SIMILARITY * (n + m - shared):
+                out.append((int(a[p, 0]), int(b[0, q]), n, m))
+        return pd.DataFrame(out, columns=["a", "b", "n_a", "n_b"], dtype=np.int64)
+
+    columns = ("cluster", "node", "n", "root", "least", "most", "bits", "block", "i", "j")
+    found = x.select(*columns).groupBy("cluster", "i", "j").applyInPandas(pairs, "a long, b long, n_a long, n_b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b")).distinct()
 
 
 def rooted(docs: DataFrame) -> DataFrame:

@@ -110,6 +110,7 @@ def search(index: DataFrame, pivots: np.ndarray, queries: np.ndarray, ids: np.nd
         best = _Best(queries, ids, least, k)
         for frame in frames:
             for pivot, cell in frame.groupby("pivot", sort=False):
+                cell = cell.sort_values("distance")  # a task reads files in any order, and so pieces of one cell
                 v, vec_ids, r = _matrix(cell["v"]), cell["vec_id"].to_numpy(), cell["distance"].to_numpy()
                 longest = (v.astype(np.float64) ** 2).sum(1).max()
                 own = to_pivots[:, pivot]

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ordermill.llm import common, components, fingerprints, html, language, licenses, mixing, ngram_join, packing, quality, topk, toxicity
 
@@ -293,6 +294,19 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.limit(0)).count() == 0 and topk.top_k(few.filter("vec_id = 0")).count() == 0
 
 
+def test_top_k_of_cells_out_of_distance_order(spark, monkeypatch):
+    """A task may read the index's files, and so the pieces of a cell, in any order."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 3))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    vectors = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    build = topk.build_index
+    monkeypatch.setattr(topk, "build_index", lambda *a: build(*a).coalesce(1).sortWithinPartitions("pivot", F.xxhash64("vec_id")))
+    monkeypatch.setattr(topk, "ANNULUS", 16)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<float>")).collect())
+    assert got == brute_top_k(vectors)
+
+
 # --- 8 mixing ---------------------------------------------------------------------------------------------------------
 
 

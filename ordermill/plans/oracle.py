@@ -213,3 +213,23 @@ ORACLE: dict[str, str] = {name: BRIDGE_SQL + sql for name, sql in _DOMAIN.items(
     "r2_dedup_stream": "SELECT DISTINCT user_id FROM events",
     "r3_daily_stream": "SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
+
+
+def _whole(name: str, cut: str) -> str:
+    """The SQL of a query over a sample of ids, without the sample."""
+    assert cut in ORACLE[name]
+    return ORACLE[name].replace(cut, "")
+
+
+ORACLE |= {
+    "j10_fuzzy_all": _whole("j10_fuzzy", " WHERE id % 5 = 0"),
+    "j11_processed_semi_all": _whole("j11_processed_semi", " WHERE id % 7 = 0"),
+    "j12_new_orders_anti_all": _whole("j12_new_orders_anti", " WHERE id % 7 = 0"),
+    "m2_new_orders_all": _whole("m2_new_orders", " WHERE id % 7 = 0"),
+    "t8_fill_history_all": _whole("t8_fill_history", " WHERE id % 9 = 0"),
+    "t9_suggest_reorder_all": _whole("t9_suggest_reorder", " WHERE id % 9 = 0"),
+    "k7_retention_all": BRIDGE_SQL + """SELECT filename, TIMESTAMP '2001-01-01 00:00:00' + to_minutes(id) AS created, CASE WHEN size < 1024 THEN printf('%.1f B', size::DOUBLE) WHEN size < 1048576 THEN printf('%.1f KB', size / 1024.0) ELSE printf('%.1f MB', size / 1048576.0) END AS shown FROM (
+  SELECT *, row_number() OVER (ORDER BY filename DESC) AS n FROM (SELECT id, strftime(TIMESTAMP '2001-01-01 00:00:00' + to_minutes(id), 'backup_%Y%m%d_%H%M%S.db') AS filename, id * 70000 AS size FROM clients)) WHERE n > 10""",
+    "k14_audit_all": _whole("k14_audit", " WHERE id % 97 = 0"),
+    "l5_clients_recent_all": _whole("l5_clients_recent", " LIMIT 25"),
+}

@@ -33,9 +33,9 @@ def _text(d: Domain) -> DataFrame:
     return d.commandes.select("id", F.concat(F.lit("Sachets "), paper, F.lit(" "), F.coalesce("grammage", F.lit(90)).cast("string"), F.lit("g laize "), width).alias("description"), "grammage", "laize", paper.alias("paper"))
 
 
-def incoming(d: Domain) -> DataFrame:
+def incoming(d: Domain, every: int = 7) -> DataFrame:
     """A batch of orders: some known by number or mail, some repeated, some new."""
-    x = d.commandes.filter("id % 7 = 0").select(
+    x = d.commandes.filter(F.col("id") % every == 0).select(
         F.col("id").alias("row"),
         F.when(F.col("id") % 2 == 0, F.col("numero_commande")).otherwise(F.concat(F.lit("NEW-"), (F.col("id") % 500).cast("string"))).alias("numero_commande"),
         F.when(F.col("id") % 3 == 0, F.col("email_id")).otherwise(F.concat(F.lit("new-"), (F.col("id") % 900).cast("string"))).alias("email_id"),
@@ -56,8 +56,8 @@ def _requests(d: Domain) -> DataFrame:
     )
 
 
-def _searches(d: Domain) -> DataFrame:
-    return d.clients.filter("id % 5 = 0").select(F.col("id").alias("search_id"), F.concat(F.lit("CLIENT. "), F.substring("nom", -9, 9), F.lit("-été")).alias("search"))
+def _searches(d: Domain, every: int = 5) -> DataFrame:
+    return d.clients.filter(F.col("id") % every == 0).select(F.col("id").alias("search_id"), F.concat(F.lit("CLIENT. "), F.substring("nom", -9, 9), F.lit("-été")).alias("search"))
 
 
 def _named(d: Domain) -> Domain:
@@ -76,8 +76,8 @@ def _status_changes(d: Domain) -> DataFrame:
     return x.select("id", F.when(F.col("id") % 2 == 0, "validee").otherwise("rejetee").alias("new_statut"), CLOCK.now().alias("at"), F.lit("stock").alias("motif"))
 
 
-def _extracted(d: Domain) -> DataFrame:
-    x = d.commandes.filter("id % 9 = 0")
+def _extracted(d: Domain, every: int = 9) -> DataFrame:
+    x = d.commandes.filter(F.col("id") % every == 0)
     return x.select(F.col("id").alias("row"), "client_id", F.when(F.col("id") % 2 == 0, F.lit("")).otherwise(F.col("nature_produit")).alias("nature_produit"), F.when(F.col("id") % 4 == 0, F.lit(0.0)).otherwise(F.col("quantite")).alias("quantite"), F.when(F.col("id") % 5 != 0, F.col("prix_total")).alias("prix_total"), "confiance")
 
 
@@ -86,6 +86,30 @@ def _backups(d: Domain) -> DataFrame:
     return d.clients.filter("id <= 25").select(F.concat(F.lit("backup_"), stamp, F.lit(".db")).alias("filename"), (F.col("id") * 70000).alias("size"))
 
 
+def _all_backups(d: Domain) -> DataFrame:
+    """A backup for each client, no two of one minute."""
+    stamp = F.date_format(F.timestamp_seconds(F.lit(978307200) + F.col("id") * 60), "yyyyMMdd_HHmmss")
+    return d.clients.select(F.concat(F.lit("backup_"), stamp, F.lit(".db")).alias("filename"), (F.col("id") * 70000).alias("size"))
+
+
+def _fuzzy(d: Domain, every: int = 5) -> DataFrame:
+    return joins.fuzzy_match(_searches(d, every), _named(d).clients).select("search_id", "client_id", "nom", F.round("score", 6).alias("score"))
+
+
+def _filled(d: Domain, every: int = 9) -> DataFrame:
+    x = ingest.fill_from_history(_extracted(d, every), windows.last_reference(d))
+    return x.select("row", "nature_produit", "quantite", "prix_total", F.array_join("history_fields", ",").alias("history_fields"), "history_source_order", F.col("confiance").cast("long").alias("confiance"))
+
+
+def _suggested(d: Domain, every: int = 9) -> DataFrame:
+    x = _extracted(d, every).select("row", "client_id", "nature_produit", "quantite")
+    return inbox.suggest_reorder(x, windows.typical(d)).select("row", "nature_produit", "quantite", "suggestion_source")
+
+
+def _expired(backups: DataFrame) -> DataFrame:
+    return export.expired(export.listed(backups), 10).select("filename", "created", T.human_size(F.col("size")).alias("shown"))
+
+
 def _stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = read(spark, sf_dir, "events").schema
     found = f"{sf_dir}/events.parquet"
@@ -159,7 +183,7 @@ QUERIES: dict[str, Query] = {
     "j2_orders_joined": _on(lambda d: joins.order_view(d).select("id", "client_nom", "produit_type", "statut", "quantite", "created_at")),
     "j3_orders_products": _on(lambda d: joins.with_product(d).filter("statut = 'en_attente'").select("id", "produit_type", "quantite")),
     "j9_client_counts": _on(lambda d: joins.client_order_counts(d.commandes).filter("client_orders <= 3").select("id", "client_id", "client_orders")),
-    "j10_fuzzy": _on(lambda d: joins.fuzzy_match(_searches(d), _named(d).clients).select("search_id", "client_id", "nom", F.round("score", 6).alias("score"))),
+    "j10_fuzzy": _on(_fuzzy),
     "j11_processed_semi": _on(lambda d: joins.processed(d.commandes, incoming(d)).select("row", "email_id")),
     "j12_new_orders_anti": _on(lambda d: joins.unprocessed(d.commandes, incoming(d)).select("row", "numero_commande", "email_id")),
     "j14_product_by_name": _on(lambda d: joins.product_by_name(d.produits.select(c("id").alias("row"), F.lower(F.substring("type", 1, 4)).alias("wanted")), d.produits)),
@@ -177,7 +201,7 @@ QUERIES: dict[str, Query] = {
     "t3_code_suggest": _on(lambda d: _text(d).select("id", codes.suggested_code(c("description")).alias("code"))),
     "t6_bulk_codes": _on(lambda d: ingest.assign_codes(d.commandes)),
     "t7_reorder": lambda spark, sf_dir: read(spark, sf_dir, "conversations").select("conv_id", "turn", T.asks_again(F.concat(F.coalesce("text", F.lit("")), F.when(c("turn") % 5 == 0, " Comme d'habitude").otherwise(""))).alias("asks_again")),
-    "t8_fill_history": _on(lambda d: ingest.fill_from_history(_extracted(d), windows.last_reference(d)).select("row", "nature_produit", "quantite", "prix_total", F.array_join("history_fields", ",").alias("history_fields"), "history_source_order", c("confiance").cast("long").alias("confiance"))),
+    "t8_fill_history": _on(_filled),
     "t10_profile": _on(profile.profiles),
     "t11_prediction": _on(lambda d: profile.predictions(d, 200000, 50000)),
     "t12_anomalies": _on(profile.anomalies),
@@ -208,7 +232,7 @@ QUERIES: dict[str, Query] = {
     "m8_remove": _on(lambda d: ingest.remove(d.clients, c("email").ilike("c1%")).select("id", "email")),
     "k2_erp_export": _on(lambda d: export.erp_rows(d, status="validee").select("numero_commande", "ligne_commande", "site_vente", "code_client", "client_nom", "code_article", "quantite", "quantite_livree", "reste_a_livrer", "commercial", "grammage", "laize", "prix_total", "devise", "statut", "confiance", "source", "created_at")),
     "k4_json_counts": _on(lambda d: export.as_json(d.produits).select("json")),
-    "k7_retention": _on(lambda d: export.expired(export.listed(_backups(d)), 10).select("filename", "created", T.human_size(c("size")).alias("shown"))),
+    "k7_retention": _on(lambda d: _expired(_backups(d))),
     "k1_flat_export": _on(lambda d: joins.order_view(Domain(d.clients, d.produits, d.commandes.filter(export.filters("rejetee")))).select("id", "numero_commande", "client_nom", "client_email", "produit_type", "nature_produit", "quantite", "prix_total", "statut", "source", "email_subject", "created_at", "validated_at")),
     "k14_audit": _on(lambda d: ingest.audit("UPDATE", "commandes", d.commandes.filter("id % 97 = 0"), "Statut modifié")),
     "s6_newest_mails": lambda spark, sf_dir: inbox.newest(read(spark, sf_dir, "events").select("event_id", "event_type"), 5, "event_id"),
@@ -222,8 +246,20 @@ QUERIES: dict[str, Query] = {
     "p15_complete_fields": _on(lambda d: d.commandes.filter("code_article is not null and grammage is not null and laize is not null").select("id", "code_article")),
     "p16_generic_names": _on(lambda d: d.clients.select("id", T.generic_name(F.when(c("id") % 3 == 0, F.concat(F.lit("Client WhatsApp "), "nom")).otherwise(c("nom"))).alias("is_generic"))),
     "t5_auto_code": _on(lambda d: _text(d).join(d.commandes.select("id", "code_article"), "id").select("id", inbox.auto_code(c("code_article"), F.when(c("id") % 2 == 0, c("description")), c("paper"), c("grammage"), c("laize")).alias("code"))),
-    "t9_suggest_reorder": _on(lambda d: inbox.suggest_reorder(_extracted(d).select("row", "client_id", "nature_produit", "quantite"), windows.typical(d)).select("row", "nature_produit", "quantite", "suggestion_source")),
+    "t9_suggest_reorder": _on(_suggested),
     "r1_notification_stream": notification_stream,
     "r2_dedup_stream": dedup_stream,
     "r3_daily_stream": daily_stream,
 }
+#: The queries whose input above is a sample of ids, over all clients or orders.
+QUERIES |= {
+    "j10_fuzzy_all": _on(lambda d: _fuzzy(d, 1)),
+    "j11_processed_semi_all": _on(lambda d: joins.processed(d.commandes, incoming(d, 1)).select("row", "email_id")),
+    "j12_new_orders_anti_all": _on(lambda d: joins.unprocessed(d.commandes, incoming(d, 1)).select("row", "numero_commande", "email_id")),
+    "m2_new_orders_all": _on(lambda d: ingest.new_orders(d, incoming(d, 1)).select("row", "produit_id", "reste_a_livrer", "statut")),
+    "t8_fill_history_all": _on(lambda d: _filled(d, 1)),
+    "t9_suggest_reorder_all": _on(lambda d: _suggested(d, 1)),
+    "k7_retention_all": _on(lambda d: _expired(_all_backups(d))),
+    "k14_audit_all": _on(lambda d: ingest.audit("UPDATE", "commandes", d.commandes, "Statut modifié")),
+    "l5_clients_recent_all": _on(lambda d: inbox.sorted_clients(metrics.clients_with_orders(d), "recent").select("id", "nom", "order_count")),
+}

@@ -2,10 +2,11 @@
 
 A k-mer is a run of K words. It is a closed syncmer if, among the runs of S words inside it, the one with the least hash
 is the first or the last. Whether a k-mer is chosen depends on its own words alone, so that equal passages give equal
-anchors wherever they stand. Texts of up to SHORT code points also have anchors from their characters, as a few words
-hold hardly a k-mer. A fingerprint is the SKETCH least anchor hashes, and the likeness of two is the share of the least
-SKETCH hashes of either that both have, an estimate of the Jaccard similarity of the anchors; it is exact where both
-texts have no more anchors than that.
+anchors wherever they stand. A fingerprint is the SKETCH least hashes of these anchors. Texts of up to SHORT code points or
+of fewer than K words have a second one over anchors of words and characters, as a few words hold hardly a k-mer; two
+texts that both have it are compared by it, all others by their words alone, so that anchors of one kind are never
+weighed against those of another. The likeness of two is the share of the least SKETCH hashes of either that both have,
+an estimate of the Jaccard similarity of the anchors; it is exact where both texts have no more anchors than that.
 
 The next document is found without a global sort in one task: quantiles of doc_id bound the buckets, a copy of the first
 row of each bucket also goes to the bucket before, and a window runs within the bucket."""
@@ -50,29 +51,50 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda x: x != "")
 
 
-def characters(text: Column) -> Column:
-    short = F.when(F.length(text) <= SHORT, text).otherwise("")
-    return F.filter(F.split(short, ""), lambda x: x != "")
+def _is_short(text: Column) -> Column:
+    return (F.length(text) <= SHORT) | (F.size(words(text)) < K)
+
+
+def characters(text: Column, short: Column) -> Column:
+    return F.filter(F.split(F.when(short, text).otherwise(""), ""), lambda x: x != "")
+
+
+def _sketch(hashes: Column) -> Column:
+    anchors = F.transform(F.array_compact(hashes), lambda x: F.shiftrightunsigned(x, 32))
+    return F.slice(F.sort_array(F.array_distinct(anchors)), 1, SKETCH)
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with out: the least SKETCH anchor hashes of the text column, as sorted 32-bit numbers. Empty text: none."""
-    a, b = f"_{out}_words", f"_{out}_characters"
+    """df with out.words and out.all: the least SKETCH anchor hashes of the text column's words, and of its words and
+    characters, as sorted 32-bit numbers; out.all is null for a text that is not short. Words without a syncmer count as
+    one run. Empty text: none."""
+    a, b, s = f"_{out}_words", f"_{out}_characters", f"_{out}_short"
+    df = df.withColumn(s, _is_short(F.col(text)))
     df = with_syncmers(df, words(F.col(text)), a)
-    df = with_syncmers(df, characters(F.col(text)), b)
-    anchors = F.transform(F.array_compact(F.concat(a, b)), lambda x: F.shiftrightunsigned(x, 32))
-    return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(anchors)), 1, SKETCH)).drop(a, b)
+    df = with_syncmers(df, characters(F.col(text), F.col(s)), b)
+    run = F.when(F.col(text) == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(F.lower(text))))
+    own = F.when(F.exists(a, lambda x: x.isNotNull()), F.col(a)).otherwise(run)
+    both = F.when(F.col(s), _sketch(F.concat(a, b)))
+    return df.withColumn(out, F.struct(_sketch(own).alias("words"), both.alias("all"))).drop(a, b, s)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """0 to 1. Two empty fingerprints are alike, an empty and another are not."""
+def _alike(a: Column, b: Column) -> Column:
     least = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
     both = F.size(F.array_intersect(F.array_intersect(a, b), least))
     return F.when(F.size(least) == 0, F.lit(1.0)).otherwise(both / F.greatest(F.size(least), F.lit(1)))
 
 
+def likeness(a: Column, b: Column) -> Column:
+    """0 to 1, by words and characters if both texts are short, else by words. Two empty fingerprints are alike, an empty
+    and another are not."""
+    short = a["all"].isNotNull() & b["all"].isNotNull()
+    return _alike(F.when(short, a["all"]).otherwise(a["words"]), F.when(short, b["all"]).otherwise(b["words"]))
+
+
 def printed(fingerprint: Column) -> Column:
-    return F.array_join(F.transform(fingerprint, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    """The hashes of words; of a short text also those of words and characters, after a hyphen."""
+    hexed = lambda hashes: F.array_join(F.transform(hashes, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    return F.concat_ws("-", hexed(fingerprint["words"]), hexed(fingerprint["all"]))
 
 
 def anchors(docs: DataFrame) -> DataFrame:

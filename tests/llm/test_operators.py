@@ -178,6 +178,29 @@ def test_fingerprints_of_awkward_rows(spark, docs):
     check_edits(alone, {1: BASE})
 
 
+def test_near_copies_on_both_sides_of_the_short_limit_are_alike(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for i in range(24):
+        text = ""
+        while len(text) < 240:
+            text += f"{'abcdefghijklmnopqrstuvwxyz'[rng.integers(26)]}{rng.integers(10_000)} "
+        texts.append((i, text.strip(), text + "and five more words here"))
+    assert all(len(a) <= fingerprints.SHORT < len(b) for _, a, b in texts)
+    unspaced = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 260))
+    df = spark.createDataFrame([*texts, (50, unspaced[:250], unspaced)], "id long, a string, b string")
+    df = fingerprints.with_fingerprint(fingerprints.with_fingerprint(df, "a", "x"), "b", "y")
+    got = {r["id"]: r["likeness"] for r in df.select("id", fingerprints.likeness(F.col("x"), F.col("y")).alias("likeness")).collect()}
+    assert np.mean([got[i] for i, *_ in texts]) > 0.7 and min(got.values()) > 0.4
+
+
+def test_texts_without_syncmers_are_not_alike(spark):
+    texts = [f"{a * 60} {b * 60} {c * 60} {d * 60} {e * 60}" for a, b, c, d, e in ("abcde", "fghij", "klmno", "pqrst", "uvwxy", "zabcd")]
+    df = spark.createDataFrame([(a, b) for a in ["", "one two three", *texts] for b in texts if a != b], "a string, b string")
+    df = fingerprints.with_fingerprint(fingerprints.with_fingerprint(df, "a", "x"), "b", "y")
+    assert {r[0] for r in df.select(fingerprints.likeness(F.col("x"), F.col("y"))).collect()} == {0.0}
+
+
 def test_anchors_depend_on_their_own_words_alone(spark):
     text = " ".join(f"w{i * 7919 % 101}" for i in range(60))
     df = spark.createDataFrame([(1, text), (2, "some other words first " + text + " and after")], "doc_id long, text string")

@@ -63,10 +63,10 @@ class _Ids(dict):
     def of(self, text: str) -> bytes:
         """The ids of a whole text. A byte-level BPE never joins what lies on both sides of a space or line end, so
         words are looked up one by one; texts with other white space, with runs of it that form tokens of their own,
-        or with a special token's string go to the tokenizer whole."""
+        with NUL, which marks a first word here, or with a special token's string go to the tokenizer whole."""
         if not text:
             return b""
-        if text[0] in " \n" or text[-1] in " \n" or any(r in text for r in _RUNS) or any(c in text for c in _ODD_SPACE) or any(s in text for s in self.special):
+        if text[0] in " \n" or text[-1] in " \n" or "\0" in text or any(r in text for r in _RUNS) or any(c in text for c in _ODD_SPACE) or any(s in text for s in self.special):
             return self.plain(text)
         words = text.replace("\n", " \n").split(" ")
         words[0] = f"\0{words[0]}"

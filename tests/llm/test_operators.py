@@ -502,6 +502,12 @@ def test_words_have_the_tokenizers_ids(corpus):
         assert ids.of(text) == ids.plain(text)
 
 
+def test_words_that_begin_with_nul_keep_it():
+    ids = packing._Ids(packing.default_tokenizer())
+    for text in ("a \0b c", "a \0 b", "\0", "\0a \0", "a\0b \0\0c", "x\n\0y"):
+        assert ids.of(text) == ids.plain(text)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_uses_every_piece_once_and_few_bins(seed):
     rng = np.random.default_rng(seed)

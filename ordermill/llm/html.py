@@ -2,8 +2,8 @@
 
 A page becomes a tree; elements that never hold the article, by name, role or words of their class and id, are cut off.
 Each paragraph earns points for its length and commas, less by the share of its text that is links, and passes them to
-its parent in full, to its grandparent by half, further up by less. The best container wins, together with those of its
-siblings that score well against it or are plain paragraphs of text."""
+its parent in full, to its grandparent by half, further up by less. The best container wins, or the article or main element
+around it, together with those of its siblings that score well against it or are plain paragraphs of text."""
 
 from __future__ import annotations
 
@@ -205,6 +205,29 @@ def _paragraphs(root: Node) -> list[Node]:
     return found
 
 
+def _lifted(best: Node) -> Node:
+    """The outermost article around the best container, or else the innermost main; and its parent, if that holds only
+    sections of an article that are not mostly links."""
+    x, article, main = best, None, None
+    while x is not None:
+        if x.tag == "article":
+            article = x
+        elif x.tag == "main" and main is None:
+            main = x
+        x = x.parent
+    x = article or main or best
+    while x.tag in ("article", "section") and x.parent is not None and all(_is_section(c) for c in x.parent.children):
+        x = x.parent
+    return x
+
+
+def _is_section(x: Node | str) -> bool:
+    if isinstance(x, str):
+        return not x.strip()
+    length, linked, _ = _lengths(x)
+    return length == 0 or (x.tag in ("article", "section", "h1") or x.tag in _PARAGRAPH) and 2 * linked < length
+
+
 def main_text(html: str | None) -> str:
     """The article of a page, its blocks joined by line ends; empty if there is none."""
     if not html:
@@ -232,10 +255,10 @@ def main_text(html: str | None) -> str:
     for x in scored:
         length, linked, _ = _lengths(x)
         final[id(x)] = x.score * (1 - linked / max(1, length))
-    best = max(scored, key=lambda x: final[id(x)])
+    best = _lifted(max(scored, key=lambda x: final[id(x)]))
     if best.parent is None:
         return "\n".join(blocks(best, []))
-    least = max(10.0, final[id(best)] * 0.2)
+    least = max(10.0, final.get(id(best), 0.0) * 0.2)
     out: list[str] = []
     for x in best.parent.children:
         if x is best:

@@ -124,6 +124,17 @@ def test_main_text_of_odd_pages(page, text):
     assert html.main_text(page) == text
 
 
+WORDS = "a paragraph of an article, with commas, that goes on for long enough to earn all of its points, as most of them do in practice"
+
+
+def test_main_text_keeps_short_sections_of_long_articles():
+    long = f"<p>{WORDS}</p>" * 20
+    want = [WORDS] * 20 + ["Closing remark."]
+    for tag in ("article", "main"):
+        assert html.main_text(f"<{tag}><div>{long}</div><div><p>Closing remark.</p></div></{tag}>").split("\n") == want
+    assert html.main_text(f"<div><section>{long}</section><section><p>Closing remark.</p></section></div>").split("\n") == want
+
+
 def test_extraction_of_tables(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "x"), (3, "v", "<p>" + "word " * 50_000, "x")], "page_id long, url string, html string, text string")
     got = rows(html.extract_main_text(pages))

@@ -40,10 +40,10 @@ _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "score", "likely")
+    __slots__ = ("tag", "parent", "children", "score", "likely", "cut")
 
-    def __init__(self, tag: str, parent: Node | None, likely: bool = False):
-        self.tag, self.parent, self.children, self.score, self.likely = tag, parent, [], 0.0, likely
+    def __init__(self, tag: str, parent: Node | None, likely: bool = False, cut: bool = False):
+        self.tag, self.parent, self.children, self.score, self.likely, self.cut = tag, parent, [], 0.0, likely, cut
 
 
 def _judge(tag: str, attributes: str) -> tuple[bool, bool]:
@@ -65,65 +65,55 @@ def _judge(tag: str, attributes: str) -> tuple[bool, bool]:
 
 
 def parse(html: str) -> Node:
-    """The tree of what may be article: elements and strings. Missing end tags are supplied, at the end of a cut page too."""
+    """The tree of what may be article: elements and strings. Missing end tags are supplied, at the end of a cut page and
+    inside of elements that are cut off too; these are taken out at the end."""
     root = here = Node("#root", None)
-    at, skip = 0, 0  # skip: depth inside of an element that is cut off
-    skipped: list[str] = []
+    at = 0
     find = _TOKEN.search
     while True:
         m = find(html, at)
         if m is None:
-            if not skipped and at < len(html):
+            if at < len(html):
                 here.children.append(html[at:])
-            return root
-        if not skipped and m.start() > at:
+            return _pruned(root)
+        if m.start() > at:
             here.children.append(html[at : m.start()])
         at = m.end()
         tag = m[2] or m[5]
         if tag is None:
-            if m[0].startswith("<![CDATA[") and not skipped:
+            if m[0].startswith("<![CDATA["):
                 here.children.append(m[0][9:].removesuffix("]]>"))
             continue
         tag, close, attributes = tag.lower(), m[1] or m[4], (m[3] or m[6] or "")
         if close:
-            if skipped:
-                if tag in skipped:
-                    while skipped.pop() != tag:
-                        pass
-                elif tag in ("article", "main", "body", "html"):  # the part cut off was never closed
-                    skipped.clear()
-                else:
-                    continue
-                if skipped or tag in _CUT:
-                    continue
-                if tag not in ("article", "main", "body", "html"):
-                    continue
+            within = tag in _INLINE or tag == "p"  # a stray one inside of a cut part does not end it
             node = here
-            while node is not root and node.tag != tag:
+            while node is not root and node.tag != tag and not (within and node.cut):
                 node = node.parent
-            if node is not root:
+            if node.tag == tag:
                 here = node.parent
-            elif tag not in _INLINE:
+                continue
+            if tag in ("article", "main", "body", "html"):  # the part cut off was never closed
+                node = here
+                while node is not root:
+                    if node.cut:
+                        here = node.parent
+                    node = node.parent
+            if tag not in _INLINE:
                 here.children.append(Node("br" if tag == "br" else "#break", here))
             continue
         empty = tag in _VOID or attributes.endswith("/") and tag not in _RAW
-        if skipped:
-            if not empty and (tag in _CUT or tag in skipped or tag not in _INLINE and tag not in ("p", "li", "dt", "dd", "tr", "td", "th", "option")):
-                if tag in _RAW:
-                    end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-                    at = end.end() if end else len(html)
-                else:
-                    skipped.append(tag)
-            continue
         if tag in _RAW and not attributes.endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
+        if here.tag == "head" and tag not in ("base", "link", "meta"):
+            here = here.parent
         if tag in ("html", "body"):
             continue
         if tag in _ENDS_P:
             node = here
-            while node is not root and (node.tag in _INLINE or node.tag == "p"):
+            while node is not root and (node.tag in _INLINE and not node.cut or node.tag == "p"):
                 if node.tag == "p":
                     here = node.parent
                     break
@@ -136,18 +126,26 @@ def parse(html: str) -> Node:
                     break
                 node = node.parent
         cut, likely = _judge(tag, attributes)
-        if cut or tag in _CUT:
-            if not empty:
-                skipped.append(tag)
-            elif tag not in _INLINE:
+        cut = cut or tag in _CUT
+        if cut and empty:
+            if tag not in _INLINE:
                 here.children.append(Node("#break", here))
             continue
-        node = Node(tag, here, likely)
+        node = Node(tag, here, likely, cut)
         here.children.append(node)
         if not empty:
             here = node
 
 
+def _pruned(root: Node) -> Node:
+    stack = [root]
+    while stack:
+        x = stack.pop()
+        x.children = [c for c in x.children if isinstance(c, str) or not c.cut]
+        stack.extend(c for c in x.children if not isinstance(c, str))
+    return root
+
+
 def blocks(node: Node, out: list[str]) -> list[str]:
     """The texts of a subtree's blocks in page order."""
     run: list[str] = []

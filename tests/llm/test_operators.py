@@ -135,6 +135,13 @@ def test_main_text_keeps_short_sections_of_long_articles():
     assert html.main_text(f"<div><section>{long}</section><section><p>Closing remark.</p></section></div>").split("\n") == want
 
 
+@pytest.mark.parametrize("cut, rest", [("<p class=byline>By X", f"<p>{WORDS}"), ("<p hidden>By X", f"<p>{WORDS}"), ("<ul><li class=share>Share<li>a point</ul>", f"<p>{WORDS}"), ("<div><nav>Home</div>", f"<p>{WORDS}")])
+def test_main_text_after_a_cut_part_without_its_end_tag(cut, rest):
+    want = ["T", *(["a point"] if "point" in cut else []), WORDS, WORDS]
+    assert html.main_text(f"<body><article><h1>T</h1>{cut}{rest}<p>{WORDS}</article></body>").split("\n") == want
+    assert html.main_text(f"<head><title>t</title><body><p>{WORDS}<p>{WORDS}").split("\n") == [WORDS, WORDS]
+
+
 def test_extraction_of_tables(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "x"), (3, "v", "<p>" + "word " * 50_000, "x")], "page_id long, url string, html string, text string")
     got = rows(html.extract_main_text(pages))

@@ -1,6 +1,7 @@
 """Operator 1: main text of web pages by tree scoring.
 
-A page becomes a tree; elements that never hold the article, by name, role or words of their class and id, are cut off.
+A page becomes a tree; elements that never hold the article, by name, role or words of their class and id, are cut off,
+but for those cut by class or id that do hold it; they all stay where next to nothing would be left.
 Each paragraph earns points for its length and commas, less by the share of its text that is links, and passes them to
 its parent in full, to its grandparent by half, further up by less. The best container wins, or the article or main element
 around it, together with those of its siblings that score well against it or are plain paragraphs of text."""
@@ -36,36 +37,42 @@ notice notices alert outbrain overlay pager pagination paywall popup promo promo
 rss share sharing shoutbox sidebar signup skip skyscraper social sponsor sponsored subscribe subscription taboola tags toolbar toc tooltip widget widgets""".split())
 _LIKELY = {"article", "body", "content", "entry", "main", "post", "story", "text", "maincontent", "articlebody", "hentry"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alertdialog", "alert", "form", "toolbar"}
+#: Of these, those whose elements hold links and no prose: with prose in it, an element is something else.
+_LINKS = set("breadcrumb breadcrumbs menu menubar nav navbar navigation pager pagination rss share sharing skip social tags toolbar".split())
+#: A text of fewer letters, and of less than a fifth of what there is without cuts by name, is not trusted.
+TINY = 100
 _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 
 
 class Node:
     __slots__ = ("tag", "parent", "children", "score", "likely", "cut")
 
-    def __init__(self, tag: str, parent: Node | None, likely: bool = False, cut: bool = False):
+    def __init__(self, tag: str, parent: Node | None, likely: bool = False, cut: str = ""):
         self.tag, self.parent, self.children, self.score, self.likely, self.cut = tag, parent, [], 0.0, likely, cut
 
 
-def _judge(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is cut off, and whether its names speak for it."""
+def _judge(tag: str, attributes: str) -> tuple[str, bool]:
+    """Why an element is cut off, if it is (always; by names; by names for links), and whether its names speak for it."""
     if not attributes or attributes.isspace():
-        return False, False
+        return "", False
     words: set[str] = set()
     for name, value, bare in _ATTRIBUTE.findall(attributes):
         name, value = (name or bare).lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            return True, False
+            return "always", False
         if name == "role" and value.lower() in _ROLES:
-            return True, False
+            return "always", False
         if name in ("class", "id", "itemprop"):
             words.update(w.lower() for w in _WORDS.findall(value))
     likely = bool(words & _LIKELY)
     bad = words & _UNLIKELY
-    return bool(bad) and tag not in ("html", "body", "article", "main") and not (likely and bad <= {"header", "tags", "text"}), likely
+    if not bad or tag in ("html", "body", "article", "main") or likely and bad <= {"header", "tags", "text"}:
+        return "", likely
+    return "links" if bad <= _LINKS else "names", likely
 
 
-def parse(html: str) -> Node:
-    """The tree of what may be article: elements and strings. Missing end tags are supplied, at the end of a cut page and
+def parse(html: str, names: bool = True) -> Node:
+    """The tree of what may be article: elements and strings; `names`: without those cut off by their names. Missing end tags are supplied, at the end of a cut page and
     inside of elements that are cut off too; these are taken out at the end."""
     root = here = Node("#root", None)
     at = 0
@@ -75,7 +82,7 @@ def parse(html: str) -> Node:
         if m is None:
             if at < len(html):
                 here.children.append(html[at:])
-            return _pruned(root)
+            return _pruned(root, names)
         if m.start() > at:
             here.children.append(html[at : m.start()])
         at = m.end()
@@ -126,7 +133,8 @@ def parse(html: str) -> Node:
                     break
                 node = node.parent
         cut, likely = _judge(tag, attributes)
-        cut = cut or tag in _CUT
+        if tag in _CUT:
+            cut = "always"
         if cut and empty:
             if tag not in _INLINE:
                 here.children.append(Node("#break", here))
@@ -137,15 +145,49 @@ def parse(html: str) -> Node:
             here = node
 
 
-def _pruned(root: Node) -> Node:
-    stack = [root]
+def _pruned(root: Node, names: bool) -> Node:
+    """The tree without what is cut always and, with `names`, by name: all but elements that hold the article."""
+    named, stack = False, [root]
     while stack:
         x = stack.pop()
-        x.children = [c for c in x.children if isinstance(c, str) or not c.cut]
+        x.children = [c for c in x.children if isinstance(c, str) or c.cut != "always"]
+        for c in x.children:
+            if not isinstance(c, str):
+                stack.append(c)
+                named = named or c.cut != ""
+    if not named or not names:
+        return root
+    whole, stack = _holds(root), [root]
+    while stack:
+        x = stack.pop()
+        x.children = [c for c in x.children if isinstance(c, str) or not c.cut or _is_wrapper(c, whole)]
         stack.extend(c for c in x.children if not isinstance(c, str))
     return root
 
 
+def _holds(node: Node) -> tuple[dict[str, int], int]:
+    """How many article, main and h1 elements, and how many letters outside of links."""
+    found, (length, linked, _), stack = dict.fromkeys(("article", "main", "h1"), 0), _lengths(node), [node]
+    while stack:
+        x = stack.pop()
+        if x.tag in found:
+            found[x.tag] += 1
+        stack.extend(c for c in x.children if not isinstance(c, str))
+    return found, length - linked
+
+
+def _is_wrapper(node: Node, whole: tuple[dict[str, int], int]) -> bool:
+    """Whether an element is more than its name says: it holds all of the page's article, main or h1 elements, or most of
+    its text if none of these stands outside, or prose where its name is one for links."""
+    (found, letters), (all_found, all_letters) = _holds(node), whole
+    if any(n and n == all_found[tag] for tag, n in found.items()):
+        return True
+    if found == all_found and 2 * letters > all_letters:
+        return True
+    length, linked, _ = _lengths(node)
+    return node.cut == "links" and length > 80 and linked < 0.25 * length
+
+
 def blocks(node: Node, out: list[str]) -> list[str]:
     """The texts of a subtree's blocks in page order."""
     run: list[str] = []
@@ -230,7 +272,13 @@ def main_text(html: str | None) -> str:
     """The article of a page, its blocks joined by line ends; empty if there is none."""
     if not html:
         return ""
-    root = parse(html)
+    text = _best_text(parse(html))
+    if len(text) < TINY and len(whole := _best_text(parse(html, names=False))) > 5 * len(text):
+        return whole
+    return text
+
+
+def _best_text(root: Node) -> str:
     scored: list[Node] = []
     for p in _paragraphs(root):
         length, linked, commas = _lengths(p)

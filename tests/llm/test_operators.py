@@ -142,6 +142,13 @@ def test_main_text_after_a_cut_part_without_its_end_tag(cut, rest):
     assert html.main_text(f"<head><title>t</title><body><p>{WORDS}<p>{WORDS}").split("\n") == [WORDS, WORDS]
 
 
+@pytest.mark.parametrize("opening, closing", [('<div class="content-sidebar-wrap"><article>', "</article></div>"), ('<div class="layout with-sidebar"><main>', "</main></div>"), ('<div class="layout with-sidebar">', "</div>"), ('<div class="post has-comments">', "</div>"), ('<article><section class="social-issues">', "</section></article>"), ('<h1>T</h1><div class="has-comments">', "</div>")])
+def test_main_text_of_wrappers_with_unlikely_names(opening, closing):
+    page = f"<body>{opening}<p>{WORDS}</p><p>{WORDS}</p><div class='ad'>Buy now</div>{closing}<div class='comments'><p>I disagree, with all.</p></div></body>"
+    assert html.main_text(page).split("\n")[-3:][:2] == [WORDS, WORDS] or html.main_text(page).split("\n")[-2:] == [WORDS, WORDS]
+    assert html.main_text(f"<article><h1>T</h1><p>{WORDS}</p><div class='share'><a href=x>Share</a></div></article>").split("\n") == ["T", WORDS]
+
+
 def test_extraction_of_tables(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "x"), (3, "v", "<p>" + "word " * 50_000, "x")], "page_id long, url string, html string, text string")
     got = rows(html.extract_main_text(pages))

@@ -166,17 +166,15 @@ def fit(rows: list[tuple[str, int, str | None]]) -> dict:
     words[_EMPTY] = 0
     fold = np.arange(len(rows)) % 5
     out_of_fold = np.zeros(len(rows))
-    folds = range(5) if len(rows) < 1000 else (0, 1) if len(rows) < 5000 else (0,)  # of many rows a part is enough
-    for k in folds:
+    for k in range(5):
         part = _train([x for x, f in zip(ids, fold, strict=True) if f != k], y[fold != k])
         for i in np.flatnonzero(fold == k):
             out_of_fold[i] = logits(part, ids[i], np.array([0]))[0]
-    used = fold < len(folds)
     model = _train(ids, y) | {"words": words.astype(np.float32)}
     group = np.array([language_of(model, x, np.array([0]))[0] for x in ids])
-    shift = np.full(words.shape[1], _threshold(out_of_fold[used], y[used]))
+    shift = np.full(words.shape[1], _threshold(out_of_fold, y))
     for g in range(len(shift)):
-        own = used & (group == g)
+        own = group == g
         if y[own].sum() >= LEAST_TOXIC and y[own].sum() < own.sum():
             shift[g] = _threshold(out_of_fold[own], y[own])
     return model | {"shift": shift}

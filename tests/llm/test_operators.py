@@ -258,6 +258,13 @@ def test_toxicity_is_learned():
     assert np.isfinite(toxicity.scores(model, [None, "", "123"])).all()
 
 
+def test_toxicity_is_calibrated_on_all_rows(monkeypatch):
+    seen, train = [], toxicity._train
+    monkeypatch.setattr(toxicity, "_train", lambda ids, y: seen.append(len(ids)) or train(ids[:60], y[:60]))
+    toxicity.fit([(f"word{i % 50} " + "nasty" * (i % 4 == 0), int(i % 4 == 0), "xx") for i in range(5200)])
+    assert seen == [4160] * 5 + [5200]
+
+
 def test_quality(spark, docs, labels):
     got = rows(quality.score_quality(docs, labels))
     assert len(got) == len(ROWS) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)

@@ -62,20 +62,21 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-#: Rows in an Arrow batch, where a row may hold two large sets.
-BATCH_ROWS = "1000"
+#: Rows and bytes in an Arrow batch, where a row may hold a long text or two large sets.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 @contextlib.contextmanager
 def small_batches(spark: SparkSession):
-    """What runs inside gets BATCH_ROWS rows at a time from Spark; the session's own setting comes back after."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, BATCH_ROWS)
+    """What runs inside gets batches within BATCHES from Spark; the session's own settings come back after."""
+    before = {name: spark.conf.get(name, None) for name in BATCHES}
+    for name, value in BATCHES.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def held_out(divisor: int, remainder: int):

@@ -2,13 +2,14 @@
 
 Pieces of equal length are interchangeable, so the packing is worked out on the histogram of lengths, which has at most
 `capacity` entries whatever the size of the corpus. Only that histogram reaches the driver. The plan's slots are then
-dealt to the pieces by their rank within a length; ranks come from counts by (length, salt), so that a length which a
+dealt to the pieces by their rank within a length; ranks come from counts by (length, part), so that a length which a
 third of all pieces share is no single task's work."""
 
 from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -18,16 +19,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, small_batches, table
 
 CAPACITY = 2048
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 400_000
-SALTS = 256
+#: Distinct words whose ids a worker remembers, and the longest that it does: this bounds what it holds.
+REMEMBERED, REMEMBERED_CHARS = 50_000, 64
+#: Pieces of a length in a part that is ranked by itself: a length has as many parts as that takes.
+RANKED = 100_000
+#: Code points of an odd text that are tokenized at once, where it has places to cut.
+CHUNK = 1 << 15
 _ODD_SPACE = [chr(c) for c in (*range(0x09, 0x0A), *range(0x0B, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 #: Fixed value: how a byte-level BPE of this kind cuts a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _RUNS = ("  ", " \n", "\n ", "\n\n\n")
+_CUT = re.compile(r"(?<=\S)[ \n]")
 
 
 def default_tokenizer() -> str:
@@ -41,42 +46,72 @@ class _Ids(dict):
 
     Words not met lately are merged by tiktoken from the tokenizer file's own vocabulary, which is several times faster
     than calling the tokenizer for each; that needs a byte-level BPE whose ids follow its merges, and else the tokenizer
-    itself is called."""
+    itself is called. The tokenizer is loaded when it is first needed."""
 
     def __init__(self, path: str):
+        self.path = path
+        self.merged, added = _merger(path)
+        self.special = [t["content"] for t in added]
+        # a text is cut before white space only where no special token can reach over it
+        self.cuttable = self.merged is not None and not any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word", "normalized")) and not any(c.isspace() for x in self.special for c in x)
+
+    @functools.cached_property
+    def tokenizer(self):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.merged = _merger(path)
+        return Tokenizer.from_file(self.path)
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        text = word[1:] if word[0] == "\0" else word if word[0] == "\n" else f" {word}"
-        ids = self[word] = np.array(self.merged(text), "<u4").tobytes() if self.merged else self.plain(text)
+    def __missing__(self, word: str | tuple[str]) -> bytes:
+        """The key of a text's first word, which has no white space before it, is a tuple, which no other word is."""
+        text = word[0] if isinstance(word, tuple) else word if word[:1] == "\n" else f" {word}"
+        ids = np.array(self.merged(text), "<u4").tobytes() if self.merged else self.plain(text)
+        if len(text) <= REMEMBERED_CHARS:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = ids
         return ids
 
     def of(self, text: str) -> bytes:
         """The ids of a whole text. A byte-level BPE never joins what lies on both sides of a space or line end, so
-        words are looked up one by one; texts with other white space, with runs of it that form tokens of their own,
-        with NUL, which marks a first word here, or with a special token's string go to the tokenizer whole."""
+        words are looked up one by one; a text with runs of white space, which form tokens of their own, is merged in
+        chunks, and one with other white space, NUL or a special token's string goes to the tokenizer in chunks."""
         if not text:
             return b""
-        if text[0] in " \n" or text[-1] in " \n" or "\0" in text or any(r in text for r in _RUNS) or any(c in text for c in _ODD_SPACE) or any(s in text for s in self.special):
+        if self.merged is None:
             return self.plain(text)
-        words = text.replace("\n", " \n").split(" ")
-        words[0] = f"\0{words[0]}"
-        return b"".join(map(self.__getitem__, words))
+        if "\0" in text or any(c in text for c in _ODD_SPACE) or any(s in text for s in self.special):
+            return b"".join(map(self.plain, chunks(text) if self.cuttable else [text]))
+        if text[0] in " \n" or text[-1] in " \n" or any(r in text for r in _RUNS):
+            return b"".join(np.array(self.merged(x), "<u4").tobytes() for x in chunks(text))
+        first, *words = text.replace("\n", " \n").split(" ")
+        return self[first,] + b"".join(map(self.__getitem__, words))
+
+
+def chunks(text: str, most: int = CHUNK) -> Iterator[str]:
+    """A text in parts of about `most` code points, cut before a space or line end that follows something else: what a
+    byte-level BPE makes of white space begins there, whatever stands before it."""
+    at = 0
+    while len(text) - at > most:
+        end = at + most
+        found = _CUT.search(text, end)
+        if found is None:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
 
 
 def _merger(path: str):
-    """A function from text to ids over the file's vocabulary, or None where that would not be the same."""
+    """A function from text to ids over the file's vocabulary, or None where that would not be the same; the added tokens."""
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
+    return _merged(spec), spec.get("added_tokens", [])
+
+
+def _merged(spec: dict):
     model, before = spec["model"], spec.get("pre_tokenizer") or {}
     if model.get("type") != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
         return None
@@ -126,36 +161,16 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
 def plan(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Bins as (lengths in it, how many such bins), for so many pieces of each length.
 
-    Reduction, from the longest piece down: a bin of the longest piece j is fixed where it dominates every other bin
-    with j: j alone if nothing fits beside it; j with k if k fills the bin, or if k is the longest that fits and no
-    two pieces that fit together are longer than k. When no more is fixed, the rest is packed by best fit decreasing."""
+    Reduction, from the longest piece j down: a bin with j is fixed where it dominates every other bin with j, that is,
+    where whatever else could stand beside j can be split among the bin's pieces, each part no longer than its piece.
+    This holds for j alone if nothing fits beside it; for j and k, the longest that fits, if no two or more pieces that
+    fit beside j are together longer than k; and for j, k and b, the longest that fits beside both, if no three fit
+    beside j and no two that do are both longer than b and together longer than k. What is left is packed by best fit
+    decreasing."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in lengths.items():
         left[length] += n
-    bins: list[tuple[tuple[int, ...], int]] = []
-
-    def longest(limit: int, j: int) -> int:
-        """The longest piece left of at most `limit`; the piece j of the bin itself is not left."""
-        left[j] -= 1
-        fit = np.flatnonzero(left[: max(limit, 0) + 1] > 0)
-        left[j] += 1
-        return int(fit[-1]) if len(fit) else 0
-
-    for j in range(capacity, 0, -1):
-        while left[j] > 0:
-            room = capacity - j
-            k = longest(room, j)
-            if k == 0:
-                n = 1 if j <= room else int(left[j])
-                bins.append(((j,), n))
-                left[j] -= n
-                continue
-            if k < room and not _dominates(left, j, k, room):
-                break
-            n = int(left[j] // 2 if j == k else min(left[j], left[k]))
-            bins.append(((j, k), n))
-            left[j] -= n
-            left[k] -= n
+    bins = reduced(left, capacity)
     groups: dict[int, Counter] = defaultdict(Counter)  # by room left: bins so filled
     rooms = np.zeros(capacity + 1, np.int64)
     for j in range(capacity, 0, -1):
@@ -179,17 +194,60 @@ def plan(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[
     return bins + [(filled, n) for room in sorted(groups) for filled, n in groups[room].items()]
 
 
-def _dominates(left: np.ndarray, j: int, k: int, room: int) -> bool:
-    """Whether no two or more pieces beside j can hold more than k alone: their total is at most k, or none fit."""
-    left[j] -= 1
-    have = np.flatnonzero(left[: room + 1] > 0)
-    two = False
-    if len(have):
-        a = int(have[0])
-        b = a if left[a] > 1 else (int(have[1]) if len(have) > 1 else 0)
-        two = b > 0 and a + b <= room
-    left[j] += 1
-    return not two
+def reduced(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The bins that dominance fixes, as plan() gives them; their pieces are taken from `left`, the number of each length."""
+    bins: list[tuple[tuple[int, ...], int]] = []
+    for j in range(capacity, 0, -1):
+        while left[j] > 0:
+            left[j] -= 1
+            beside = _dominant(left, capacity - j)
+            left[j] += 1
+            if beside is None:
+                break
+            filled = (j, *beside)
+            n = min(int(left[x]) // m for x, m in Counter(filled).items())
+            bins.append((filled, n))
+            for x in filled:
+                left[x] -= n
+    return bins
+
+
+def _dominant(left: np.ndarray, room: int) -> tuple[int, ...] | None:
+    """What to put beside a piece that leaves `room`, so that no other choice can be better; None if that is not sure."""
+    have = np.flatnonzero(left[: room + 1] > 0)  # the lengths that fit, from the shortest
+    if len(have) == 0:
+        return ()
+    k = int(have[-1])
+    if k == room:
+        return (k,)
+    # for each length the longest that fits with it, another piece of the same length only if there is one
+    partner = np.searchsorted(have, room - have, side="right") - 1
+    partner -= (partner == np.arange(len(have))) & (left[have] < 2)
+    some = partner >= 0
+    if not some.any():
+        return (k,)
+    x, y = have[some], have[partner[some]]
+    if (x + y).max() <= k and _most(have, left, room) <= k:
+        return (k,)
+    shortest = np.repeat(have[:3], np.minimum(left[have[:3]], 3))[:3]
+    if len(shortest) == 3 and shortest.sum() <= room:
+        return None
+    beside = have[: np.searchsorted(have, room - k, side="right")]
+    beside = beside[(beside != k) | (left[beside] > 1)]
+    if len(beside) == 0:
+        return None
+    b = int(beside[-1])
+    return (k, b) if not ((np.minimum(x, y) > b) & (x + y > k)).any() else None
+
+
+def _most(have: np.ndarray, left: np.ndarray, room: int) -> int:
+    """The greatest sum of two or more pieces that is not above room; the bits of a number stand for sums."""
+    one, more, mask = 1, 0, (1 << (room + 1)) - 1  # sums of at most one piece (and none), and of two and more
+    for length in map(int, have):
+        for _ in range(min(int(left[length]), room // length)):
+            more = (more | more << length | (one & ~1) << length) & mask
+            one |= 1 << length
+    return more.bit_length() - 1
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -197,10 +255,14 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
     A null text is empty, and an empty text is one piece of the single id 0. Rows that repeat are packed each. A null
     doc_id is kept as null. An empty table gives no rows. Other columns are ignored."""
-    pieces = materialize(tokenize(docs, tokenizer, capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")), "pieces")
-    counts = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    lengths = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
+    spark = docs.sparkSession
+    with small_batches(spark):
+        pieces = materialize(tokenize(docs, tokenizer, capacity), "pieces")
+    lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    parts = F.create_map(*[F.lit(x) for length, n in sorted(lengths.items()) if n > RANKED for x in (length, -(-n // RANKED))]) if any(n > RANKED for n in lengths.values()) else F.create_map().cast("map<bigint,int>")
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.coalesce(F.element_at(parts, F.col("length")), F.lit(1))).cast("int"))
+    counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
     first: dict[int, list[int]] = defaultdict(list)
     sequence: dict[int, list[int]] = defaultdict(list)
@@ -229,8 +291,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
                 out_sequence[part], out_offset[part] = sequences[i] + rank[part] - starts[i], offsets[i]
             yield frame.assign(sequence_id=out_sequence, offset=out_offset)
 
-    inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "missing", "piece", "start", "ids_crc32"))
-    ranked = pieces.withColumn("inside", inside).join(before.drop("n"), ["length", "salt"])
+    inside = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "missing", "piece", "start", "ids_crc32"))
+    ranked = pieces.withColumn("inside", inside).join(before.drop("n"), ["length", "part"])
     ranked = ranked.select("doc_id", "missing", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("inside") - 1).alias("rank"))
     placed = ranked.mapInPandas(place, "doc_id long, missing boolean, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return placed.withColumn("doc_id", F.when(~F.col("missing"), F.col("doc_id"))).drop("missing")

@@ -3,8 +3,8 @@
 A document's set is its distinct 5-word shingles, as 64-bit hashes. Documents of equal sets are one node from the start,
 named by a hash of the set. Every link between different sets is found (hash collisions aside), in these steps:
 
-1. A shingle that only one set has cannot be shared. A set with more of them than a quarter of its size has no partner,
-   as at most a quarter of a set can lie outside of a linked one.
+1. For each set it is counted how many of its shingles any other set has. One with fewer than three quarters of them has
+   no partner, as at most a quarter of a set can lie outside of a linked one.
 2. PartEnum: sets fall into overlapping bands of size such that linked sets share a band. In a band, linked sets differ
    by at most d shingles. The domain is cut into first-level parts, each into CELLS cells; in some part at most one cell
    differs, so one of its subsets of CELLS - 1 cells is equal in both sets, and its content is a signature that they share.
@@ -12,11 +12,13 @@ named by a hash of the set. Every link between different sets is found (hash col
    how many differing shingles it takes to spoil all; a set for which d can do so also gives each shingle as a signature.
    A pair would be lost only if that held for both, and such sets meet in their shingles.
 3. Sets that share a signature are compared with the smallest of them, exactly. Where that does not join all of a
-   cluster into one component, another star follows, from a set not used yet; when few pairs are left, all of them are
-   compared that may still be linked by size and by the triangle inequality of the Jaccard distance. Bitmaps of the sets
-   rule out most pairs before the sets themselves are moved.
+   cluster into one component, another star follows, from a set not used yet, STARS in all; of what is not joined then,
+   all pairs are compared that may still be linked by size and by the triangle inequality of the Jaccard distance, in
+   blocks inside of tasks. Bitmaps of the sets rule out most pairs before the sets themselves are moved.
 
-Hashes travel as packed numpy arrays by range of the hash, so that a range is a bounded share of all, whatever the keys."""
+Hashes travel as packed numpy arrays by range of the hash. The number of ranges follows the number of hashes, so that a
+range is as many hashes at any size, and so that the 32 bits kept of a hash within its range tell hashes apart equally
+well: two that are not told apart can make a set look able to have a partner, or two sets be compared, but no link."""
 
 from __future__ import annotations
 
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, as_bytes, materialize, mix, shingles, shuffle_partitions, small_batches, table, word_hashes
+from .common import WORD, as_bytes, materialize, mix, shingles, small_batches, table, word_hashes
 from .components import connected
 
 WIDTH = 5
@@ -36,16 +38,13 @@ SIMILARITY = 75
 CELLS = 3
 #: Bands begin at sizes that grow by this factor.
 STEP = 1.5
-#: Packed hashes that a task holds before it sends them on.
-HELD = 2_000_000
-#: Stars before the pairs that are left are compared all; that is done earlier when these are so few a set, or when a
-#: star has left more than such a part of them.
-STARS, FEW, GAIN = 6, 8, 0.8
-#: Members of a cluster in a block, when all pairs are compared.
-MEMBERS = 256
-#: Ranges of signatures at least. A pair is seen in each range where it shares one, so that with few ranges the number
-#: of candidates would follow the number of partitions.
-RANGES = 64
+#: Packed hashes that a task holds before it sends them on, hashes in a range, and sets in a range of sets: the numbers of
+#: ranges follow these, so that a range is as much work at any size.
+HELD, RANGE, SETS = 2_000_000, 1 << 18, 1 << 13
+#: Signatures for each shingle of a set, about.
+EACH = 4
+#: Stars before the pairs that are left are compared in blocks, and members of a cluster in a block.
+STARS, MEMBERS = 3, 256
 _U = np.uint64
 
 
@@ -103,14 +102,37 @@ def _pack(hashes: np.ndarray, owners: np.ndarray, parts: int, many: np.ndarray |
 
 
 def _unpack(packed) -> tuple[np.ndarray, np.ndarray]:
-    owners, hashes = [], []
+    """The distinct owners, in order, and all of (hash << 32 | index of its owner), sorted, each once."""
+    owners, runs, hashes = [], [], []
     for data in packed:
         n = int(np.frombuffer(data, np.uint32, 1)[0])
-        who = np.frombuffer(data, np.int64, n, 4)
-        runs = np.frombuffer(data, np.uint32, n, 4 + 8 * n)
-        owners.append(np.repeat(who, runs))
+        owners.append(np.frombuffer(data, np.int64, n, 4))
+        runs.append(np.frombuffer(data, np.uint32, n, 4 + 8 * n))
         hashes.append(np.frombuffer(data, np.uint32, -1, 4 + 12 * n))
-    return np.concatenate(owners), np.concatenate(hashes)
+    names, index = np.unique(np.concatenate(owners), return_inverse=True)
+    found = np.concatenate(hashes).astype(np.uint64) << _U(32) | np.repeat(index.astype(np.uint64), np.concatenate(runs))
+    found.sort()
+    return names, found[np.append(True, found[1:] != found[:-1])]
+
+
+def _grouped(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of what _unpack gives: where the groups of equal hashes start, and their sizes."""
+    hashes = found >> _U(32)
+    starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+    return starts, np.diff(np.append(starts, len(found)))
+
+
+def _range_of(values: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each of some 64-bit hashes."""
+    return ((values.astype(np.uint64) >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int32)
+
+
+def _by_range(part: np.ndarray, *columns: np.ndarray) -> pd.DataFrame:
+    """A row for each range, with the columns of its entries one after the other."""
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order])) + 1
+    groups = np.split(order, cuts) if len(order) else []
+    return pd.DataFrame({"part": np.array([part[g[0]] for g in groups], np.int32), **{f"c{i}": [c[g].tobytes() for g in groups] for i, c in enumerate(columns)}})
 
 
 def _packed(pairs: Iterator[tuple[int, np.ndarray]], parts: int) -> Iterator[pd.DataFrame]:
@@ -133,8 +155,10 @@ def _packed(pairs: Iterator[tuple[int, np.ndarray]], parts: int) -> Iterator[pd.
 # --- step 1: sets that can have a partner -----------------------------------------------------------------------------
 
 
-def lone_shingles(docs: DataFrame, parts: int) -> DataFrame:
-    """node, lone: for each node with any, how many of its shingles no other set has (or fewer, never more)."""
+def shared_shingles(docs: DataFrame, hash_ranges: int, set_ranges: int) -> DataFrame:
+    """node, shared: for each node with any, how many of its shingles some other set has (or more, never fewer).
+
+    A task counts a range of hashes, and gives one row for each range of nodes; another sums up a range of nodes."""
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def each():
@@ -142,19 +166,23 @@ def lone_shingles(docs: DataFrame, parts: int) -> DataFrame:
                 for _, part in _parts(list(frame["text"])):
                     yield from ((name_of(found), mix(found)) for found in sets_of(part) if len(found))
 
-        yield from _packed(each(), parts)
+        yield from _packed(each(), hash_ranges)
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
-        owners, hashes = _unpack(frame["packed"])
-        order = np.argsort(hashes, kind="stable")
-        owners, hashes = owners[order], hashes[order]
-        starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-        least, most = np.minimum.reduceat(owners, starts), np.maximum.reduceat(owners, starts)
-        nodes, lone = np.unique(least[least == most], return_counts=True)
-        return pd.DataFrame({"node": nodes, "lone": lone})
+        nodes, found = _unpack(frame["packed"])
+        _, sizes = _grouped(found)
+        n = np.bincount((found[np.repeat(sizes > 1, sizes)] & _U(0xFFFFFFFF)).astype(np.int64), minlength=len(nodes))
+        nodes, n = nodes[n > 0], n[n > 0].astype(np.uint32)
+        return _by_range(_range_of(mix(nodes.astype(np.uint64)), set_ranges), nodes, n)
+
+    def total(frame: pd.DataFrame) -> pd.DataFrame:
+        nodes, index = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in frame["c0"]]), return_inverse=True)
+        n = np.bincount(index, np.concatenate([np.frombuffer(x, np.uint32) for x in frame["c1"]]), len(nodes))
+        return pd.DataFrame({"node": nodes, "shared": n.astype(np.int64)})
 
     spread_out = docs.select("text").mapInPandas(spread, "part int, packed binary")
-    return spread_out.groupBy("part").applyInPandas(count, "node long, lone long").groupBy("node").agg(F.sum("lone").alias("lone"))
+    counted = spread_out.groupBy("part").applyInPandas(count, "part int, c0 binary, c1 binary")
+    return counted.groupBy("part").applyInPandas(total, "node long, shared long")
 
 
 # --- step 2: signatures -----------------------------------------------------------------------------------------------
@@ -219,8 +247,10 @@ def signatures(found: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def sharing(sets: DataFrame, parts: int) -> DataFrame:
-    """(pivot, node): for each signature that several sets share, the smallest node and each of the others."""
+def sharing(sets: DataFrame, hash_ranges: int, set_ranges: int) -> DataFrame:
+    """(pivot, node): for each signature that several sets share, the smallest node and each of the others.
+
+    A task finds the pairs of a range of signatures, and gives one row for each range of pairs; another makes them distinct."""
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def each():
@@ -228,20 +258,26 @@ def sharing(sets: DataFrame, parts: int) -> DataFrame:
                 for node, data in zip(frame["node"], frame["found"], strict=True):
                     yield int(node), signatures(np.frombuffer(data, np.uint64))
 
-        yield from _packed(each(), parts)
+        yield from _packed(each(), hash_ranges)
 
     def stars(frame: pd.DataFrame) -> pd.DataFrame:
-        owners, hashes = _unpack(frame["packed"])
-        order = np.lexsort((owners, hashes))
-        owners, hashes = owners[order], hashes[order]
-        first = np.append(True, hashes[1:] != hashes[:-1])
-        pivot = owners[np.flatnonzero(first)][np.cumsum(first) - 1]
-        other = owners != pivot
-        pairs = np.unique(np.stack([pivot[other], owners[other]], axis=1), axis=0)
+        nodes, found = _unpack(frame["packed"])
+        starts, sizes = _grouped(found)
+        index = (found & _U(0xFFFFFFFF)).astype(np.int64)
+        pivot = np.repeat(index[starts], sizes)  # indices are in the order of nodes
+        other = pivot != index
+        pairs = np.unique(pivot[other] << 32 | index[other])
+        pivots, others = nodes[pairs >> 32], nodes[pairs & 0xFFFFFFFF]
+        return _by_range(_range_of(mix(pivots.astype(np.uint64) ^ mix(others.astype(np.uint64))), set_ranges), pivots, others)
+
+    def distinct(frame: pd.DataFrame) -> pd.DataFrame:
+        pairs = np.stack([np.concatenate([np.frombuffer(x, np.int64) for x in frame[c]]) for c in ("c0", "c1")], axis=1)
+        pairs = np.unique(pairs, axis=0)
         return pd.DataFrame({"pivot": pairs[:, 0], "node": pairs[:, 1]})
 
     spread_out = sets.select("node", "found").mapInPandas(spread, "part int, packed binary")
-    return spread_out.groupBy("part").applyInPandas(stars, "pivot long, node long").distinct()
+    found = spread_out.groupBy("part").applyInPandas(stars, "part int, c0 binary, c1 binary")
+    return found.groupBy("part").applyInPandas(distinct, "pivot long, node long")
 
 
 # --- step 3: exact comparison -----------------------------------------------------------------------------------------
@@ -310,15 +346,15 @@ def joined(roots: DataFrame | None, new: DataFrame) -> DataFrame:
     return kept.unionByName(after.join(roots.select("id"), "id", "left_anti"))
 
 
-def links(sets: DataFrame, parts: int) -> DataFrame:
+def links(sets: DataFrame) -> DataFrame:
     """Links (a, b) that connect what is connected: not all pairs, but whatever is linked is joined by them."""
     alike = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * SIMILARITY
-    clusters = materialize(sharing(sets, max(RANGES, parts)), "clusters")
+    count, size = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    clusters = materialize(sharing(sets, ranges(EACH * size, RANGE), ranges(count, SETS)), "clusters")
     star = clusters.select(F.col("pivot").alias("cluster"), "node").unionByName(clusters.select(F.col("pivot").alias("cluster"), F.col("pivot").alias("node")).distinct())
     star = materialize(star.join(sets.select("node", "n"), "node").withColumn("root", F.col("node")).withColumn("pivot", F.col("cluster")), "members")
-    few, before = FEW * sets.count(), float("inf")
     done = found = roots = None
-    for turn in range(STARS):
+    for _ in range(STARS):
         pivots = star.filter("node = pivot").select("cluster", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
         pairs = star.filter("node <> pivot").join(pivots, "cluster").filter(alike(F.col("n"), F.col("n_a")) & (F.col("root") != F.col("root_a")))
         compared = materialize(compare(pairs.select("a", F.col("node").alias("b")), sets), "compared")
@@ -328,70 +364,90 @@ def links(sets: DataFrame, parts: int) -> DataFrame:
         roots = materialize(joined(roots, new), "roots")
         # what is not one component yet, without the pivots: these have been compared with all others there
         star = star.filter("node <> pivot").drop("pivot", "root").join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = star.groupBy("cluster").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m"), F.min("node").alias("pivot")).filter("x <> y")
-        open_ = materialize(open_.select("cluster", "pivot", "m"), "open")
-        left = open_.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0] or 0
-        star = star.join(open_.drop("m"), "cluster")
-        if left == 0:
-            return found
-        if left <= few or left > GAIN * before:  # few pairs, or another star would join little
-            break
-        star, before = materialize(star, "members"), left
+        open_ = star.groupBy("cluster").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("pivot")).filter("x <> y")
+        star = materialize(star.join(open_.select("cluster", "pivot"), "cluster"), "members")
     return found.unionByName(exactly(materialize(within_clusters(star, done, sets), "maybe"), sets).filter(LINKED).select("a", "b"))
 
 
+def ranges(entries: int, each: int) -> int:
+    return max(1, -(-entries // each))
+
+
+_BLOCK = np.dtype([("node", np.int64), ("root", np.int64), ("n", np.int64), ("least", np.float64), ("most", np.float64), ("size", np.int64)])
+
+
 def within_clusters(star: DataFrame, done: DataFrame, sets: DataFrame) -> DataFrame:
     """Distinct pairs (a, b, n_a, n_b) of the members of a cluster that may be linked: in different components, of like
     sizes, within reach by the distances to the cluster's first pivot, and by the bound from their bitmaps.
 
-    Members are dealt into blocks of about MEMBERS, and a task compares two blocks: what it gives are the pairs that pass
-    and not all pairs, and no cluster is one task's work."""
+    Members are dealt into blocks of about MEMBERS, those of a large component into blocks of their own. A block is one
+    row, and a task compares two blocks, unless both are of one component: what it gives are the pairs that pass and not
+    all pairs, and no cluster is one task's work."""
     away = 1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
     known = done.select(F.col("a").alias("cluster"), F.col("b").alias("node"), away.alias("least"), F.when(F.col("exact"), away).otherwise(1.0).alias("most"))
     known = known.groupBy("cluster", "node").agg(F.max("least").alias("least"), F.min("most").alias("most"))
-    blocks = star.groupBy("cluster").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
-    x = star.select("cluster", "node", "n", "root").join(known, ["cluster", "node"], "left").join(blocks, "cluster").join(sets.select("node", "bits"), "node")
-    x = x.withColumn("least", F.coalesce("least", F.lit(0.0))).withColumn("most", F.coalesce("most", F.lit(1.0))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    reach = 1 - SIMILARITY / 100 + 1e-9
-
-    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
+    parts = star.groupBy("cluster", "root").agg(F.count("*").alias("m")).withColumn("own", F.col("m") >= MEMBERS)
+    pools = parts.filter("not own").groupBy("cluster").agg(F.sum("m").alias("pool"))
+    parts = parts.join(pools, "cluster", "left").select("cluster", "root", "own", F.ceil(F.when(F.col("own"), F.col("m")).otherwise(F.col("pool")) / MEMBERS).alias("blocks"))
+    x = star.select("cluster", "node", "n", "root").join(known, ["cluster", "node"], "left").join(parts, ["cluster", "root"]).join(sets.select("node", "bits"), "node")
+    x = x.withColumn("least", F.coalesce("least", F.lit(0.0))).withColumn("most", F.coalesce("most", F.lit(1.0)))
+    x = x.withColumn("own", F.when(F.col("own"), F.col("root"))).withColumn("block", F.xxhash64("cluster", F.coalesce("own", F.lit(0)), F.pmod(F.xxhash64("node"), F.col("blocks"))))
+
+    def gather(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node")
-        left, right = frame[frame["block"] == i], frame[frame["block"] == j]
-        column = lambda c: (left[c].to_numpy()[:, None], right[c].to_numpy()[None])
-        (n_a, n_b), (root_a, root_b), (least_a, least_b), (most_a, most_b), (a, b) = map(column, ("n", "root", "least", "most", "node"))
-        some = (root_a != root_b) & (100 * np.minimum(n_a, n_b) >= SIMILARITY * np.maximum(n_a, n_b)) & (least_a - most_b <= reach) & (least_b - most_a <= reach)
-        if i == j:
-            some &= a < b
-        bits_a, bits_b, out = left["bits"].to_numpy(), right["bits"].to_numpy(), []
-        for p, q in zip(*np.nonzero(some), strict=True):
-            n, m = int(n_a[p, 0]), int(n_b[0, q])
-            shared = most_shared(bits_a[p], n, bits_b[q], m)
-            if 100 * shared >= SIMILARITY * (n + m - shared):
-                out.append((int(a[p, 0]), int(b[0, q]), n, m))
-        return pd.DataFrame(out, columns=["a", "b", "n_a", "n_b"], dtype=np.int64)
-
-    columns = ("cluster", "node", "n", "root", "least", "most", "bits", "block", "i", "j")
-    found = x.select(*columns).groupBy("cluster", "i", "j").applyInPandas(pairs, "a long, b long, n_a long, n_b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b")).distinct()
+        rows = np.zeros(len(frame), _BLOCK)
+        for c in ("node", "root", "n", "least", "most"):
+            rows[c] = frame[c]
+        rows["size"] = [len(b) for b in frame["bits"]]
+        return pd.DataFrame({"cluster": frame["cluster"].iloc[:1], "block": frame["block"].iloc[:1], "own": frame["own"].iloc[:1].astype("Int64"), "members": [rows.tobytes()], "bits": [b"".join(frame["bits"])]})
+
+    columns = ("cluster", "node", "n", "root", "least", "most", "bits", "own", "block")
+    packed = x.select(*columns).groupBy("cluster", "block").applyInPandas(gather, "cluster long, block long, own long, members binary, bits binary")
+    packed = materialize(packed, "blocks")
+    side = lambda s, *more: packed.select("cluster", F.col("block").alias(f"block_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in more])
+    both = side("i", "own").join(side("j", "own"), "cluster").filter("block_i <= block_j and not (own_i <=> own_j and own_i is not null)").drop("own_i", "own_j")
+    both = both.join(side("i", "members", "bits"), ["cluster", "block_i"]).join(side("j", "members", "bits"), ["cluster", "block_j"])
+
+    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [p for r in frame.itertuples() for p in _possible(r.members_i, r.bits_i, r.members_j, r.bits_j, r.block_i == r.block_j)]
+            yield pd.DataFrame(out, columns=["a", "b", "n_a", "n_b"], dtype=np.int64)
+
+    return both.mapInPandas(pairs, "a long, b long, n_a long, n_b long").distinct()
+
+
+def _possible(left: bytes, bits_left: bytes, right: bytes, bits_right: bytes, same: bool) -> Iterator[tuple[int, int, int, int]]:
+    """The pairs of two blocks' members that may be linked, the smaller node first."""
+    x, y, reach = np.frombuffer(left, _BLOCK), np.frombuffer(right, _BLOCK), 1 - SIMILARITY / 100 + 1e-9
+    a, b = x[:, None], y[None]
+    some = (a["root"] != b["root"]) & (100 * np.minimum(a["n"], b["n"]) >= SIMILARITY * np.maximum(a["n"], b["n"])) & (a["least"] - b["most"] <= reach) & (b["least"] - a["most"] <= reach)
+    if same:
+        some &= a["node"] < b["node"]
+    at_x, at_y = np.append(0, np.cumsum(x["size"])), np.append(0, np.cumsum(y["size"]))
+    for p, q in zip(*np.nonzero(some), strict=True):
+        n, m = int(x["n"][p]), int(y["n"][q])
+        shared = most_shared(bits_left[at_x[p] : at_x[p + 1]], n, bits_right[at_y[q] : at_y[q + 1]], m)
+        if 100 * shared >= SIMILARITY * (n + m - shared):
+            one, other = (int(x["node"][p]), n), (int(y["node"][q]), m)
+            (node, n), (far, m) = min(one, other), max(one, other)
+            yield node, far, n, m
 
 
 def rooted(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, root, component_id of every row of docs (doc_id, text): root names its component
     and is null where the set is empty or the doc_id null."""
-    spark = docs.sparkSession
-    with small_batches(spark):
-        return _rooted(docs, shuffle_partitions(spark))
+    with small_batches(docs.sparkSession):
+        return _rooted(docs)
 
 
-def _rooted(docs: DataFrame, parts: int) -> DataFrame:
+def _rooted(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    rows = materialize(node_rows(docs), "nodes")
+    rows = materialize(node_rows(docs), "rows")
     known = rows.filter("doc_id is not null and node is not null")
-    nodes = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    lone = lone_shingles(docs.filter("doc_id is not null"), parts)
-    able = materialize(nodes.join(lone, "node", "left").filter(f"100 * coalesce(lone, 0) <= {100 - SIMILARITY} * n").select("doc_id"), "able")
+    nodes = materialize(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "nodes")
+    count, size = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    shared = shared_shingles(docs.filter("doc_id is not null"), ranges(size, RANGE), ranges(count, SETS))
+    able = materialize(nodes.join(shared, "node").filter(f"100 * shared >= {SIMILARITY} * n").select("doc_id"), "able")
 
     def sets_again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -401,7 +457,7 @@ def _rooted(docs: DataFrame, parts: int) -> DataFrame:
 
     sets = docs.join(able, "doc_id", "left_semi").select("text").mapInPandas(sets_again, "node long, n long, bits binary, found binary")
     sets = materialize(sets.dropDuplicates(["node"]), "sets")
-    roots = materialize(connected(links(sets, parts)), "roots")
+    roots = materialize(connected(links(sets)), "roots")
     nodes = nodes.join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     nodes = nodes.join(least, "root").select("node", "root", "component_id")

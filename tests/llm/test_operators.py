@@ -421,10 +421,13 @@ def test_join_of_awkward_rows(spark, docs):
     assert ngram_join.jaccard_components(docs.filter("doc_id in (4, 5)")).count() == 2
 
 
-@pytest.mark.parametrize("few", [0, 8])
-def test_join_of_near_copies_about_the_limit(spark, monkeypatch, few):
+@pytest.mark.parametrize("stars, members", [(1, 4), (1, 256), (3, 2), (3, 256)])
+def test_join_of_near_copies_about_the_limit(spark, monkeypatch, stars, members):
     """Chains and families of copies whose similarity lies on both sides of three quarters."""
-    monkeypatch.setattr(ngram_join, "FEW", few)
+    monkeypatch.setattr(ngram_join, "STARS", stars)
+    monkeypatch.setattr(ngram_join, "MEMBERS", members)
+    monkeypatch.setattr(ngram_join, "RANGE", 500)
+    monkeypatch.setattr(ngram_join, "SETS", 20)
     rng = np.random.default_rng(5)
     pairs, n = [], 0
     for family in range(12):

@@ -34,3 +34,25 @@ class Clock:
     def hours_since(self, when: Column) -> Column:
         """Exact hours, by whole seconds."""
         return F.timestamp_diff("SECOND", when, self.now()) / F.lit(3600.0)
+
+
+def iso_time(text: Column) -> Column:
+    """The time of an ISO text, a Z left out; null where it cannot be parsed."""
+    plain = F.replace(text, F.lit("Z"), F.lit(""))
+    shape = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"
+    return F.when(plain.rlike(shape), F.try_to_timestamp(plain).cast("timestamp_ntz"))
+
+
+def day_shown(time: Column) -> Column:
+    """yyyy-MM-dd of a time or of its text."""
+    return F.left(time.cast("string"), F.lit(10))
+
+
+def minute_shown(time: Column) -> Column:
+    """HH:mm of a time or of its text."""
+    return F.substring(time.cast("string"), 12, 5)
+
+
+def month_day_shown(day: Column) -> Column:
+    """MM-dd of a day or of its text."""
+    return F.right(day.cast("string"), F.lit(5))

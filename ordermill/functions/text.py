@@ -37,28 +37,45 @@ def client_code(id_: Column) -> Column:
     return F.concat(F.lit("CL"), F.when(F.length(text) >= 5, text).otherwise(F.lpad(text, 5, "0")))
 
 
+#: White space as the domain's rules see it: a trim and a split go by all of it.
+SPACE = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
 @lru_cache
 def _accents() -> tuple[str, str]:
-    """Letters with accents in the Latin blocks, and their base letters, by canonical decomposition."""
-    pairs = []
-    for c in range(0xC0, 0x250):
+    """Letters with accents and their base letters, by canonical decomposition, of all scripts; then all marks, which have
+    no counterpart and so go."""
+    pairs, marks = [], []
+    for c in (*range(0xC0, 0xAC00), *range(0xD7B0, 0xD800), *range(0xF900, 0x110000)):  # without Hangul and surrogates
+        if unicodedata.category(chr(c)) == "Mn":
+            marks.append(chr(c))
+            continue
         base = "".join(x for x in unicodedata.normalize("NFD", chr(c)) if unicodedata.category(x) != "Mn")
         if base != chr(c) and len(base) == 1:
             pairs.append((chr(c), base))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    return "".join(a for a, _ in pairs) + "".join(marks), "".join(b for _, b in pairs)
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+
+
+def ascii_lower(text: Column) -> Column:
+    """A-Z alone in lower case, as names are looked up."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def normalized_name(name: Column) -> Column:
     """Lower case without accents, apostrophes and full stops, hyphens as spaces, trimmed; null gives ''.
 
-    Latin letters go through one translate; other marks are dropped by category, so no Python runs."""
+    Letters and marks of all scripts go through one translate, so no Python runs. Hangul syllables, and some Indic vowel
+    signs that fall apart into two letters, stay composed."""
     text = F.translate(F.lower(F.coalesce(name, F.lit(""))), *_accents())
-    text = F.regexp_replace(text, r"\p{Mn}+", "")
-    return F.trim(F.translate(F.translate(text, "'.", ""), "-", " "))
+    return trimmed(F.translate(F.translate(text, "'.", ""), "-", " "))
 
 
 def words(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    return F.array_distinct(F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != ""))
 
 
 def phone_in(text: Column) -> Column:
@@ -152,3 +169,61 @@ def model_json(text: Column) -> Column:
     """The JSON inside of a fenced answer, or the text itself."""
     inner = F.regexp_extract(text, r"(?s)^\s*```(?:json)?(.*?)(?:```|$)", 1)
     return F.regexp_replace(F.when(F.trim(text).startswith("```"), inner).otherwise(text), r"^\s+|\s+$", "")
+
+
+def answered(text: Column, schema: str) -> Column:
+    """A model's fenced or bare JSON answer as a struct; null where it is not such JSON."""
+    return F.from_json(model_json(text), schema, {"mode": "PERMISSIVE"})
+
+
+def message_body(content: Column, transcription: Column, extracted: Column) -> Column:
+    """The parts of a message that are there, each under its heading, with an empty line between."""
+    part = lambda heading, c: F.when(~blank(c), F.concat(F.lit(heading), c))
+    return F.concat_ws("\n\n", part("Message: ", content), part("Audio transcription: ", transcription), part("Document/Image content: ", extracted))
+
+
+def mail_content(subject: Column, sender: Column, date: Column, body: Column, attachments: Column | None = None) -> Column:
+    """A mail as one text: header lines, body, and attachments (structs of filename and text) under their names."""
+    given = lambda c: F.coalesce(c, F.lit(""))
+    head = F.concat(F.lit("\nSUJET: "), given(subject), F.lit("\nDE: "), given(sender), F.lit("\nDATE: "), given(date), F.lit("\n\nCONTENU:\n"), given(body), F.lit("\n"))
+    if attachments is None:
+        return head
+    each = F.transform(attachments, lambda a: F.concat(F.lit("\n--- "), a["filename"], F.lit(" ---\n"), given(a["text"]), F.lit("\n")))
+    more = F.concat(F.lit("\n\nCONTENU DES PIÈCES JOINTES:\n"), F.array_join(each, ""))
+    return F.concat(head, F.when(F.size(attachments) > 0, more).otherwise(""))
+
+
+#: How statuses and channels are shown.
+STATUS_LABELS = {"en_attente": "⏳ Attente", "validee": "✅ Validée", "rejetee": "❌ Rejetée"}
+WHATSAPP_LABEL, MAIL_LABEL = "📱 WhatsApp", "📧 Email"
+
+
+def status_label(status: Column) -> Column:
+    """A status as shown; an unknown one as it is."""
+    out = None
+    for name, label in STATUS_LABELS.items():
+        out = F.when(status == name, label) if out is None else out.when(status == name, label)
+    return out.otherwise(status)
+
+
+def source_label(source: Column) -> Column:
+    return F.when(source == "whatsapp", WHATSAPP_LABEL).otherwise(MAIL_LABEL)
+
+
+def initial(name: Column) -> Column:
+    """The first letter in upper case."""
+    return F.upper(F.left(name, F.lit(1)))
+
+
+def order_number(number: Column, id_: Column) -> Column:
+    return filled(number, F.concat(F.lit("CMD-"), id_.cast("string")))
+
+
+def delivery_shown(date: Column) -> Column:
+    """A delivery date, or that it is to be confirmed where there is none (or one written out as None)."""
+    return F.when(blank(date) | (date == "None"), F.lit("À confirmer")).otherwise(date)
+
+
+def prompt_part(text: Column, n: int = 1500) -> Column:
+    """The beginning of a text that goes into a prompt."""
+    return F.left(text, F.lit(n))

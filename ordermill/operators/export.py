@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import client_code
+from ..functions.text import client_code, human_size
 from ..sources.bridge import Domain
-from .joins import with_client
+from .joins import order_view, with_client
 
 #: Headers of the ERP export, in their order, and the columns under them.
 ERP_HEADERS = [
@@ -58,18 +58,74 @@ def erp_export(d: Domain, **given) -> DataFrame:
     return erp_rows(d, **given).select(*[F.col(name).alias(header) for header, name in ERP_HEADERS])
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+#: The columns of the flat export, in their order.
+FLAT_COLUMNS = (
+    "id", "numero_commande", "ligne_commande", "site_vente", "code_client", "client", "code_article", "produit", "nature_produit",
+    "quantite", "unite", "quantite_livree", "reste_a_livrer", "quantite_facturee", "prix_unitaire", "prix_total", "devise",
+    "date_commande", "date_livraison", "commercial", "type_sac", "format_sac", "type_papier", "grammage", "laize",
+    "impression_client", "statut", "confiance", "source", "created_at",
+)
+
+
+def flat_rows(d: Domain, **given) -> DataFrame:
+    """Orders with the names of their clients and products, under the 30 columns of the flat export."""
+    x = order_view(Domain(d.clients, d.produits, d.commandes.filter(filters(**given)))).withColumnsRenamed({"client_nom": "client", "produit_type": "produit"})
+    if "code_client" not in x.columns:
+        x = x.withColumn("code_client", client_code(F.col("client_id")))
+    x = x.withColumns({name: F.lit(DEFAULTS[name]) if name in DEFAULTS else F.lit(None).cast("string") for name in FLAT_COLUMNS if name not in x.columns})
+    return x.select(*FLAT_COLUMNS)
+
+
+def write_csv(df: DataFrame, path: str, mark: bool = False) -> None:
+    """CSV with a header in each file; with `mark`, each begins with a byte order mark, as spreadsheets want it."""
+    if mark and df.columns:
+        first = df.columns[0]
+        df = df.withColumnRenamed(first, f"\ufeff{first}")
+    df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_if_any(df: DataFrame, path: str) -> bool:
+    """Write df as JSON unless it has no rows; whether it was written."""
+    if df.isEmpty():
+        return False
+    write_json(df, path)
+    return True
+
+
 def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def all_as_json(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, json of every row of all tables, times as text."""
+    out = None
+    for name, df in tables.items():
+        texts = [F.col(c).cast("string").alias(c) if kind.startswith(("timestamp", "date")) else F.col(c) for c, kind in df.dtypes]
+        one = as_json(df.select(*texts)).select(F.lit(name).alias("table_name"), "json")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def append_history(spark: SparkSession, folder: str, filename: str, size: int, at: str, source: str) -> None:
+    """One more line in the folder's backup history."""
+    spark.createDataFrame([(filename, size, at, source)], "filename string, size long, date string, db_path string").write.mode("append").json(f"{folder}/backup_history.json")
+
+
+def list_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """path, filename, size of the backup files in a folder, newest name first; their content is not read."""
+    x = spark.read.format("binaryFile").option("pathGlobFilter", "backup_*").load(folder).select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size"))
+    return x.filter(F.col("filename").rlike(r"\.db(\.gz)?$")).orderBy(F.desc("filename"))
+
+
+def shown_backups(backups: DataFrame) -> DataFrame:
+    """Backups (filename, size) as listed: size and date in words, N/A where the name has none, and whether compressed."""
+    return listed(backups).select("filename", "size", human_size(F.col("size")).alias("size_formatted"), F.coalesce(F.date_format("created", "dd/MM/yyyy HH:mm:ss"), F.lit("N/A")).alias("date"), F.col("filename").endswith(".gz").alias("compressed"))
+
+
 def snapshot(tables: dict[str, DataFrame], folder: str, stamp: str, compress: bool = False) -> str:
     """Write all tables as backup_<stamp>; returns its path."""
     path = f"{folder}/backup_{stamp}"

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes
@@ -36,9 +37,8 @@ def thousands(value: Column) -> Column:
 def suggest_reorder(requests: DataFrame, typical: DataFrame) -> DataFrame:
     """requests (row, client_id, fields) with empty fields taken from the client's typical order; the source is named
     wherever the client has one."""
-    fields = [f for f in SUGGESTED if f in requests.columns and f in typical.columns]
-    kinds = dict(requests.dtypes)
-    old = typical.select("client_id", F.lit(True).alias("_there"), *[F.col(f).alias(f"_{f}") for f in fields])
+    fields, kinds = [f for f in SUGGESTED if f in requests.columns], dict(requests.dtypes)
+    old = typical.select("client_id", F.lit(True).alias("_there"), *[(F.col(f) if f in typical.columns else F.lit(None).cast(kinds[f])).alias(f"_{f}") for f in fields])
     x = requests.join(old, "client_id", "left")
     for f in fields:
         blank = F.col(f).isNull() | (F.col(f) == ("" if kinds[f] == "string" else 0))
@@ -52,6 +52,32 @@ def auto_code(code: Column, description: Column, paper: Column, grammage: Column
 
 
 def sorted_clients(clients: DataFrame, mode: str = "name") -> DataFrame:
-    """Clients (nom, order_count, last_order) by name in any case, by orders either way, or by the newest order."""
-    orders = {"name": [F.lower("nom")], "orders_desc": [F.desc("order_count")], "orders_asc": [F.asc("order_count")], "recent": [F.desc_nulls_last("last_order")]}
+    """Clients (nom, order_count, last_order) by name as a reader sorts it, by orders either way, or by the newest order."""
+    orders = {"name": [F.collate("nom", "UNICODE_CI")], "orders_desc": [F.desc("order_count")], "orders_asc": [F.asc("order_count")], "recent": [F.desc_nulls_last("last_order")]}
     return clients.orderBy(*orders[mode], "id")
+
+
+def text_files(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("txt", "csv")) -> DataFrame:
+    """path, text of the text attachments of a folder, read whole as UTF-8; a file that is not UTF-8 has an empty text."""
+    x = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(kinds) + "}").option("recursiveFileLookup", "true").load(folder)
+    return x.select("path", F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.lit("")).alias("text"))
+
+
+def decoded_header(header: Column) -> Column:
+    """A mail header without RFC 2047 encodings (first part only, as the domain reads it); needs Python's mail parser."""
+    @F.pandas_udf("string")
+    def decode(values: pd.Series) -> pd.Series:
+        from email.header import decode_header
+
+        def one(value):
+            if value is None:
+                return None
+            try:
+                text, charset = decode_header(value)[0]
+                return text.decode(charset or "utf-8") if isinstance(text, bytes) else text
+            except (LookupError, UnicodeDecodeError):
+                return value
+
+        return values.map(one, na_action=None).astype(object)
+
+    return decode(header)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut
 from ..sources.bridge import Domain
 
 #: A match needs more than this score; a long shared word adds this much.
 LEAST_SCORE, LONG_WORD_BONUS, LONG_WORD = 0.3, 0.3, 3
+#: A word that more clients have is frequent.
+FREQUENT = 200
 
 
 def order_view(d: Domain) -> DataFrame:
@@ -28,9 +31,11 @@ def with_product(d: Domain) -> DataFrame:
 
 
 def client_order_counts(orders: DataFrame) -> DataFrame:
-    """Each order with the number of its client's orders, in one pass; 0 where the client is not known."""
-    n = F.count("*").over(Window.partitionBy("client_id"))
-    return orders.withColumn("client_orders", F.when(F.col("client_id").isNull(), F.lit(0)).otherwise(n).cast("long"))
+    """Each order with the number of its client's orders; 0 where the client is not known.
+
+    Counts are aggregated first, so that neither a client with very many orders nor all orders without one are one task."""
+    counts = orders.filter("client_id is not null").groupBy("client_id").agg(F.count("*").alias("client_orders"))
+    return orders.join(counts, "client_id", "left").withColumn("client_orders", F.coalesce("client_orders", F.lit(0)))
 
 
 def processed(orders: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -39,33 +44,73 @@ def processed(orders: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def unprocessed(orders: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming orders that are new by number and by email_id; of repeats in the batch the first row stays (by row)."""
-    first = lambda key: F.when(F.col(key).isNull(), F.lit(1)).otherwise(F.row_number().over(Window.partitionBy(key).orderBy("row")))
-    x = incoming.join(orders.select("numero_commande").filter("numero_commande is not null"), "numero_commande", "left_anti")
-    x = x.join(orders.select("email_id"), "email_id", "left_anti")
-    x = x.withColumn("_n", first("numero_commande")).filter("_n = 1")
-    return x.withColumn("_n", first("email_id")).filter("_n = 1").drop("_n")
-
-
-def fuzzy_match(searches: DataFrame, clients: DataFrame) -> DataFrame:
+    """Incoming orders that are new by number and by email_id, as if they came one by one in the order of row: a repeat
+    of one that was taken is left out, a repeat of one that was left out is not."""
+    x = incoming
+    for key in ("numero_commande", "email_id"):
+        x = x.join(orders.select(key).filter(~T.blank(F.col(key))), key, "left_anti")
+    return x.join(first_come(x.select("row", *[F.nullif(F.col(k), F.lit("")).alias(k) for k in ("numero_commande", "email_id")]), "row", ("numero_commande", "email_id")), "row", "left_semi")
+
+
+def first_come(rows: DataFrame, order: str, keys: tuple[str, ...]) -> DataFrame:
+    """The column `order` of the rows that are taken when they come one by one and a row that shares a key (not null)
+    with one taken before is left out.
+
+    In each round the rows that are first in all of their keys are taken and those that share a key with these are left out.
+    There are as many rounds as the longest chain of rows of which each depends on the one before, mostly two or three."""
+    left, taken = cut(rows.select(order, *keys)), None
+    while True:
+        x = left
+        for k in keys:
+            first = left.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"_{k}"))
+            x = x.join(first, k, "left")
+        chosen = F.lit(True)
+        for k in keys:
+            chosen = chosen & (F.col(k).isNull() | (F.col(f"_{k}") == F.col(order)))
+        new = cut(x.filter(chosen).select(order, *keys))
+        taken = new.select(order) if taken is None else taken.unionByName(new.select(order))
+        left = left.join(new.select(order), order, "left_anti")
+        for k in keys:
+            left = left.join(new.select(k).filter(F.col(k).isNotNull()), k, "left_anti")
+        left = cut(left)
+        if left.isEmpty():
+            return taken
+
+
+def fuzzy_match(searches: DataFrame, clients: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """search_id, search, client_id, nom, score: the best client of each search, the smaller id if scores are equal.
 
-    A score needs a common word, so candidates come from an equi-join on words and not from all pairs. Very frequent
-    words make long candidate lists; these are only (id, id) rows, and the scoring joins are on unique ids."""
-    named = clients.select(F.col("id").alias("client_id"), "nom", T.normalized_name(F.col("nom")).alias("norm")).withColumn("theirs", T.words(F.col("norm")))
-    asked = searches.withColumn("ours", T.words(T.normalized_name(F.col("search"))))
-    pairs = asked.select("search_id", F.explode("ours").alias("word")).join(named.select("client_id", F.explode("theirs").alias("word")), "word").select("search_id", "client_id").distinct()
-    x = pairs.join(asked, "search_id").join(named, "client_id")
-    shared = F.size(F.array_intersect("ours", "theirs")) / F.greatest(F.size("ours"), F.size("theirs"))
-    long_word = F.exists("ours", lambda w: (F.length(w) > LONG_WORD) & F.contains(F.col("norm"), w))
-    x = x.withColumn("score", shared + F.when(long_word, LONG_WORD_BONUS).otherwise(0.0))
-    best = F.row_number().over(Window.partitionBy("search_id").orderBy(F.desc("score"), "client_id"))
-    return x.withColumn("_rank", best).filter((F.col("_rank") == 1) & (F.col("score") > LEAST_SCORE)).select("search_id", "search", "client_id", "nom", "score")
+    A score needs a common word. Words that more than `frequent` clients have would pair all with all, so these three ways
+    find the best between them, and none makes more pairs than there are rows times `frequent` or times kinds of names:
+    by a rarer word, each client; by a frequent word alone, the first client of each kind, which is the frequent words
+    of a name and its number of words, as all of a kind then score alike; and where the frequent word is too short for the
+    bonus, each client that shares it and holds the beginning of a long word of the search."""
+    c = F.col
+    named = clients.select(c("id").alias("client_id"), "nom", T.normalized_name(c("nom")).alias("norm")).withColumn("theirs", T.words(c("norm"))).withColumn("n", F.size("theirs"))
+    asked = searches.withColumn("ours", T.words(T.normalized_name(c("search")))).select("search_id", "search", "ours")
+    own, wanted = named.select("client_id", F.explode("theirs").alias("word")), asked.select("search_id", F.explode("ours").alias("word"))
+    hot = own.groupBy("word").agg(F.count("*").alias("_n")).filter(c("_n") > frequent).select("word")
+    rare, common = own.join(hot, "word", "left_anti"), own.join(hot, "word", "left_semi")
+    by_rare = wanted.join(rare, "word").select("search_id", "client_id")
+    kinds = common.groupBy("client_id").agg(F.sort_array(F.collect_set("word")).alias("hot")).join(named.select("client_id", "n"), "client_id").groupBy("hot", "n").agg(F.min("client_id").alias("client_id"))
+    by_kind = wanted.join(kinds.select("client_id", F.explode("hot").alias("word")), "word").select("search_id", "client_id")
+    short = F.length("word") <= LONG_WORD
+    starts = asked.select("search_id", F.explode(F.filter("ours", lambda w: F.length(w) > LONG_WORD)).alias("long")).select("search_id", F.left("long", F.lit(LONG_WORD + 1)).alias("gram"))
+    grams = named.join(common.filter(short).select("client_id").distinct(), "client_id", "left_semi").select("client_id", F.explode("theirs").alias("w")).filter(F.length("w") > LONG_WORD)
+    grams = grams.select("client_id", F.explode(F.sequence(F.lit(1), F.length("w") - LONG_WORD)).alias("i"), "w").select("client_id", F.substring(c("w"), c("i"), F.lit(LONG_WORD + 1)).alias("gram"))
+    by_gram = wanted.filter(short).join(starts, "search_id").join(common.filter(short).join(grams, "client_id"), ["word", "gram"]).select("search_id", "client_id")
+    x = by_rare.unionByName(by_kind).unionByName(by_gram).distinct().join(asked, "search_id").join(named, "client_id")
+    shared = F.size(F.array_intersect("ours", "theirs")) / F.greatest(F.size("ours"), "n")
+    long_word = F.exists("ours", lambda w: (F.length(w) > LONG_WORD) & F.contains(c("norm"), w))
+    x = x.withColumn("score", shared + F.when(long_word, LONG_WORD_BONUS).otherwise(0.0)).filter(c("score") > LEAST_SCORE)
+    best = x.groupBy("search_id").agg(F.max_by(F.struct("search", "client_id", "nom", "score"), F.struct("score", -c("client_id"))).alias("b"))
+    return best.select("search_id", "b.*")
 
 
 def product_by_name(requests: DataFrame, produits: DataFrame) -> DataFrame:
     """row, wanted, produit_id: the first product whose name holds the wanted one, in any case; null if none does.
 
-    The catalogue is a handful of rows and is broadcast; a larger one would go through its words first."""
-    x = requests.join(F.broadcast(produits.select(F.col("id").alias("produit_id"), "type")), F.contains(F.lower("type"), F.lower("wanted")), "left")
-    return x.groupBy("row", "wanted").agg(F.min("produit_id").alias("produit_id"))
+    Distinct wanted names are looked up in the catalogue, and rows join the result by name."""
+    wanted = requests.select(F.lower("wanted").alias("_w")).distinct()
+    found = wanted.join(produits.select(F.col("id").alias("produit_id"), "type"), F.contains(F.lower("type"), F.col("_w"))).groupBy("_w").agg(F.min("produit_id").alias("produit_id"))
+    return requests.join(found, F.lower("wanted") == F.col("_w"), "left").select("row", "wanted", "produit_id")

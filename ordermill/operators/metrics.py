@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import numbers
 from ..functions.clock import Clock
 from ..functions.text import blank
 from ..sources.bridge import Domain
@@ -28,8 +29,9 @@ def count_where(condition: Column) -> Column:
 
 
 def share(part: Column, whole: Column, digits: int = 1) -> Column:
-    """A percentage, 0 where there is nothing."""
-    return F.when(whole > 0, F.round(part * F.lit(100.0) / whole, digits)).otherwise(0.0)
+    """A percentage to one decimal or none, half to even; 0 where there is nothing."""
+    exact = part / whole * F.lit(100.0)
+    return F.when(whole > 0, numbers.rounded(exact) if digits else numbers.whole(exact)).otherwise(0.0)
 
 
 def stats(d: Domain) -> DataFrame:
@@ -230,3 +232,30 @@ def recent(d: Domain, n: int = 20) -> DataFrame:
     x = d.commandes.orderBy(F.desc_nulls_last("created_at"), F.desc("id")).limit(n)
     x = with_client(Domain(d.clients, d.produits, x))
     return x.select("id", "client_nom", "statut", "created_at").orderBy(F.desc_nulls_last("created_at"), F.desc("id"))
+
+
+def unread(notifications: DataFrame) -> DataFrame:
+    """How many notifications (is_read) have not been read."""
+    return notifications.agg(count_where(~F.coalesce("is_read", F.lit(False))).alias("unread"))
+
+
+def dashboard_rates(d: Domain) -> DataFrame:
+    """Validated and coded orders as whole percentages."""
+    x = d.commandes.agg(F.count("*").alias("total"), count_where(is_status("validee")).alias("v"), count_where(~blank(F.col("code_article"))).alias("coded"))
+    return x.select("total", *[share(F.col(c), F.col("total"), 0).cast("int").alias(name) for c, name in (("v", "validated_pct"), ("coded", "coded_pct"))])
+
+
+def revenue_in_thousands(d: Domain) -> DataFrame:
+    """Revenue of each month, in thousands to one decimal."""
+    x = d.commandes.groupBy(F.date_format("created_at", "yyyy-MM").alias("month")).agg(F.round(F.sum("prix_total"), 2).alias("r"))
+    return x.select("month", numbers.rounded(numbers.thousands_of(F.col("r"))).alias("revenue_k"))
+
+
+def any_table_counts(spark: SparkSession, names: list[str] | None = None, database: str | None = None) -> DataFrame:
+    """table_name, n of every table of the session's catalogue, or of those named."""
+    found = names or sorted(t.name for t in spark.catalog.listTables(database))
+    out = None
+    for name in found:
+        one = spark.table(f"{database}.{name}" if database else name).agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return spark.createDataFrame([], "table_name string, n long") if out is None else out

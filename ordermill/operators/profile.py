@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import blank
 from ..sources.bridge import Domain
 from . import metrics, windows
 
@@ -77,9 +78,11 @@ def insights(d: Domain) -> DataFrame:
     return x.select(F.explode(F.array_compact(found)).alias("insight"))
 
 
-def client_buckets(d: Domain, search: str = "", bucket: str = "") -> DataFrame:
-    """Clients whose name, mail or phone holds a text, with an order count in a bucket; 5 and 10 lie in two buckets."""
-    x, low = metrics.clients_with_orders(d), search.lower()
+def client_buckets(d: Domain, search: str = "", bucket: str = "", source: str = "") -> DataFrame:
+    """Clients whose name, mail or phone holds a text, with an order count in a bucket; 5 and 10 lie in two buckets.
+
+    By source: whatsapp has a phone; email has none, or an address beside it."""
+    x, low = metrics.clients_with_orders(d), search.lower().strip()
     holds = F.lit(False)
     for c in ("nom", "email", "telephone"):
         holds = holds | F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(low))
@@ -89,6 +92,11 @@ def client_buckets(d: Domain, search: str = "", bucket: str = "") -> DataFrame:
     if bucket:
         least, most = limits[bucket]
         x = x.filter((F.col("order_count") >= least) & (F.col("order_count") <= most if most is not None else F.lit(True)))
+    phone = ~blank(F.col("telephone"))
+    if source == "whatsapp":
+        x = x.filter(phone)
+    elif source == "email":
+        x = x.filter(~phone | F.contains(F.coalesce("email", F.lit("")), F.lit("@")))
     return x
 
 

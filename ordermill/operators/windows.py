@@ -16,20 +16,31 @@ def frequency(d: Domain) -> DataFrame:
     return x.filter("gap is not null").groupBy("client_id").agg(F.round(F.avg("gap"), 4).alias("frequency"))
 
 
+#: What a client's reference order gives to later ones, beside its product's type.
+REFERENCE = ("nature_produit", "quantite", "unite", "prix_unitaire", "prix_total", "devise")
+
+
+def _there(d: Domain, names: tuple[str, ...]) -> list[str]:
+    return [n for n in names if n in d.commandes.columns]
+
+
 def typical(d: Domain) -> DataFrame:
-    """Each client's newest validated order as its typical one."""
-    newest = F.struct("created_at", "id")
+    """Each client's newest validated order as its typical one: produit_type, nature_produit, quantite, unite."""
+    newest, fields = F.struct("created_at", "id"), _there(d, ("nature_produit", "quantite", "unite"))
     x = d.commandes.filter("statut = 'validee' and client_id is not null and created_at is not null")
-    x = x.groupBy("client_id").agg(F.max_by(F.struct("produit_id", "nature_produit", "quantite"), newest).alias("t")).select("client_id", "t.*")
-    return with_product(Domain(d.clients, d.produits, x)).select("client_id", "produit_type", "nature_produit", "quantite")
+    x = x.groupBy("client_id").agg(F.max_by(F.struct("produit_id", *fields), newest).alias("t")).select("client_id", "t.*")
+    return with_product(Domain(d.clients, d.produits, x)).select("client_id", "produit_type", *fields)
 
 
 def last_reference(d: Domain) -> DataFrame:
-    """The order that fills gaps for a client: the validated order last validated, else the newest one."""
-    valid = (F.col("statut") == "validee").cast("int")
-    order = Window.partitionBy("client_id").orderBy(F.desc("v"), F.when(F.col("v") == 1, F.col("validated_at")).desc_nulls_last(), F.desc_nulls_last("created_at"), F.desc("id"))
-    x = d.commandes.filter("client_id is not null").withColumn("v", valid).withColumn("_n", F.row_number().over(order)).filter("_n = 1")
-    return x.select("client_id", F.col("id").alias("order_id"), "statut", "validated_at", "created_at", "numero_commande", "produit_id", "nature_produit", "quantite", "prix_total")
+    """The order that fills gaps for a client, with its product's type as type_produit: the validated order last validated,
+    else the newest one. An aggregate by client, so that a client with very many orders is combined before the shuffle."""
+    c = F.col
+    valid, never = (c("statut") == "validee").cast("int"), F.to_timestamp_ntz(F.lit("0001-01-01 00:00:00"))
+    first = F.struct(F.coalesce(valid, F.lit(0)), F.coalesce(F.when(valid == 1, c("validated_at")), never), F.coalesce("created_at", never), "id")
+    fields = ("statut", "validated_at", "created_at", "numero_commande", "produit_id", *_there(d, REFERENCE))
+    x = d.commandes.filter("client_id is not null").groupBy("client_id").agg(F.max_by(F.struct(c("id").alias("order_id"), *fields), first).alias("r")).select("client_id", "r.*")
+    return with_product(Domain(d.clients, d.produits, x)).withColumnRenamed("produit_type", "type_produit")
 
 
 def ranked_clients(d: Domain, n: int = 10) -> DataFrame:

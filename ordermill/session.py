@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(name: str = "ordermill", master: str | None = None, **conf: str) -> SparkSession:
@@ -20,3 +20,15 @@ def build_session(name: str = "ordermill", master: str | None = None, **conf: st
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, computed now: in the folder of spark.checkpoint.dir, or persisted where none is set."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is not None:
+        return df.checkpoint()
+    return df.persist()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: that of spark.checkpoint.dir, or else the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")

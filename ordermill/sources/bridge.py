@@ -46,7 +46,7 @@ def commandes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     parts = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")
     x = read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(parts, "p_partkey", "left")
-    x = x.join(F.broadcast(produits(spark, sf_dir).withColumnRenamed("id", "produit_id")), F.col("p_type") == F.col("type"), "left")  # a handful of rows
+    x = x.join(produits(spark, sf_dir).withColumnRenamed("id", "produit_id"), F.col("p_type") == F.col("type"), "left")
     key, size = F.col("o_orderkey"), F.col("p_size")
     grammage = F.when(size % 5 != 0, 40 + 10 * (size % 7)).cast("long")
     status = F.when(F.col("o_orderstatus") == "P", "en_attente").when(F.col("o_orderstatus") == "F", "validee").otherwise("rejetee")
@@ -64,6 +64,11 @@ def commandes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 4 == 0, F.lit(None)).when(key % 4 == 1, F.lit("")).otherwise(F.concat(F.lit("KB"), grammage.cast("string"), F.lit("L"), size.cast("string"))).alias("code_article"),
         grammage.alias("grammage"),
         size.cast("long").alias("laize"),
+        F.when(key % 3 == 0, "Kraft Blanchi").when(key % 3 == 1, F.lit("")).alias("type_papier"),
+        F.when(key % 5 != 0, "US").alias("unite"),
+        F.when(key % 3 != 0, F.col("o_totalprice") / 4).alias("prix_unitaire"),
+        F.when(key % 7 != 0, F.when(key % 2 == 0, "MAD").otherwise("EUR")).alias("devise"),
+        F.when(key % 9 == 0, F.lit("livraison urgente svp")).when(key % 9 == 1, F.lit("")).alias("informations_supplementaires"),
         status.alias("statut"),
         F.when(urgency.isin("1", "2"), "whatsapp").when(urgency.isin("3", "4"), "email").alias("source"),
         F.when(urgency == "1", F.concat(F.lit("Commande URGENTE "), key.cast("string"))).otherwise(F.concat(F.lit("commande "), key.cast("string"))).alias("email_subject"),
@@ -95,6 +100,9 @@ commandes AS (
     quantite, quantite_livree, coalesce(quantite, 0) - coalesce(quantite_livree, 0) AS reste_a_livrer, o_totalprice AS prix_total,
     CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'KB' || (CASE WHEN p_size % 5 <> 0 THEN 40 + 10 * (p_size % 7) END) || 'L' || p_size END AS code_article,
     (CASE WHEN p_size % 5 <> 0 THEN 40 + 10 * (p_size % 7) END)::BIGINT AS grammage, p_size::BIGINT AS laize,
+    CASE o_orderkey % 3 WHEN 0 THEN 'Kraft Blanchi' WHEN 1 THEN '' END AS type_papier, CASE WHEN o_orderkey % 5 <> 0 THEN 'US' END AS unite,
+    CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice / 4 END AS prix_unitaire, CASE WHEN o_orderkey % 7 <> 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'MAD' ELSE 'EUR' END END AS devise,
+    CASE o_orderkey % 9 WHEN 0 THEN 'livraison urgente svp' WHEN 1 THEN '' END AS informations_supplementaires,
     CASE o_orderstatus WHEN 'P' THEN 'en_attente' WHEN 'F' THEN 'validee' ELSE 'rejetee' END AS statut,
     CASE WHEN o_orderpriority[1] IN ('1', '2') THEN 'whatsapp' WHEN o_orderpriority[1] IN ('3', '4') THEN 'email' END AS source,
     CASE WHEN o_orderpriority[1] = '1' THEN 'Commande URGENTE ' ELSE 'commande ' END || o_orderkey AS email_subject,

@@ -1,16 +1,28 @@
-"""Order feeds as Structured Streaming: idempotent ingest, daily counters, alerts and notifications.
+"""Order feeds as Structured Streaming: webhook messages, idempotent ingest, daily counters, alerts and notifications.
 
-State is bounded: duplicates are dropped within a watermark, windows close by it."""
+State is bounded: duplicates are dropped within a watermark, windows close by it, and an order that waits for its validation
+is forgotten when its time is up."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from ..functions import text as T
+from ..functions.clock import Clock
+from ..operators import alerts
+from ..session import shared_folder
+from ..sources.bridge import Domain
+
 LATE = "2 days"
+#: The fields of a webhook message that are used.
+WEBHOOK = "`From` string, `Body` string, `NumMedia` string, `MediaContentType0` string, `MediaUrl0` string, `MessageSid` string"
 
 
 def feed(spark: SparkSession, path: str, schema: StructType, files_each: int = 100) -> DataFrame:
@@ -18,6 +30,22 @@ def feed(spark: SparkSession, path: str, schema: StructType, files_each: int = 1
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_each).parquet(path)
 
 
+def webhook_messages(lines: DataFrame, column: str = "value") -> DataFrame:
+    """sender, phone, body, n_media, media_type, kind, subject, content of messages given as JSON lines.
+
+    A line that is no JSON has nulls; a number of media that is none is 0."""
+    m = F.from_json(F.col(column), WEBHOOK, {"mode": "PERMISSIVE"})
+    x = lines.withColumn("_m", m)
+    sender, body = F.coalesce("_m.From", F.lit("N/A")), F.coalesce("_m.Body", F.lit(""))
+    n = F.coalesce(F.col("_m.NumMedia").try_cast("int"), F.lit(0))
+    none = F.lit(None).cast("string")
+    columns = {
+        "sender": sender, "phone": F.replace(sender, F.lit("whatsapp:"), F.lit("")), "body": body, "n_media": n, "media_type": F.col("_m.MediaContentType0"),
+        "kind": T.media_kind(body, n, F.col("_m.MediaContentType0")), "subject": F.concat(F.lit("WhatsApp - "), sender), "content": T.message_body(body, none, none),
+    }
+    return x.withColumns(columns).drop("_m")
+
+
 def with_event_time(stream: DataFrame, column: str, late: str = LATE) -> DataFrame:
     """Event time as a real timestamp (UTC), which watermarks need."""
     return stream.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, late)
@@ -38,9 +66,65 @@ def notifications(stream: DataFrame, last_id: int, id_: str = "id") -> DataFrame
     return stream.filter(F.col(id_) > last_id)
 
 
-def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
-    """Run a stream over all that is there, into a table of that name or a function of each batch."""
-    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    query = (writer.foreachBatch(each) if each else writer.format("memory").queryName(name)).start()
+def batch_alerts(known: Domain, clock: Clock, **thresholds) -> Callable[[DataFrame], DataFrame]:
+    """A function of a batch of new orders: the alerts about them, a client's orders counted with those known before."""
+
+    def of(batch: DataFrame) -> DataFrame:
+        new = batch.join(known.commandes.select("id"), "id", "left_anti")
+        columns = [c for c in known.commandes.columns if c in new.columns]
+        both = known.commandes.select(*columns).unionByName(new.select(*columns))
+        return alerts.alerts(Domain(known.clients, known.produits, both), clock, **thresholds).join(batch.select(F.col("id").alias("order_id")).distinct(), "order_id", "left_semi")
+
+    return of
+
+
+def overdue(events: DataFrame, hours: int, key: str = "id", time: str = "at", pending: str = "pending") -> DataFrame:
+    """key, since: what has been pending for more than so many hours of event time, once each.
+
+    events (key, time with a watermark, pending): a later event that is not pending takes a key off the list; the watermark
+    is the clock. State holds one time a pending key."""
+
+    def each(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (since,) = state.get
+            state.remove()
+            yield pd.DataFrame({key: [keys[0]], "since": [pd.Timestamp(since, unit="ms")]})
+            return
+        x = pd.concat(list(frames)).sort_values(time, kind="stable")
+        since = state.get[0] if state.exists else None
+        for at, waits in zip(x[time], x[pending], strict=True):
+            since = None if not waits else since if since is not None else int(at.timestamp() * 1000)
+        if since is None:
+            if state.exists:
+                state.remove()
+            return
+        state.update((since,))
+        state.setTimeoutTimestamp(max(since + hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
+
+    kind = dict(events.dtypes)[key]
+    return events.select(key, time, pending).groupBy(key).applyInPandasWithState(each, f"{key} {kind}, since timestamp", "since long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def every(df: DataFrame, hours: float, checkpoint: str, each: Callable[[DataFrame, int], None]):
+    """Start a stream that hands its new rows to a function once in so many hours."""
+    return df.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=f"{int(hours * 3600)} seconds").foreachBatch(each).start()
+
+
+def run_available(df: DataFrame, name: str, checkpoint: str | None = None, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Run a stream over all that is there; its rows (or what `each` makes of a batch) as a table in the shared folder.
+
+    A batch is a folder of its own that a retry overwrites, so that each counts once; nothing passes through the driver."""
+    spark = df.sparkSession
+    root = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    done: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        (each(batch) if each else batch).write.mode("overwrite").parquet(f"{root}/batch-{number}")
+        done.append(number)
+
+    query = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return None if each else df.sparkSession.table(name)
+    batches = [f"{root}/batch-{n}" for n in sorted(set(done))]
+    if not batches:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.parquet(*(batches[-1:] if mode == "complete" else batches))

@@ -12,13 +12,15 @@ named by a hash of the set. Every link between different sets is found (hash col
    how many differing shingles it takes to spoil all; a set for which d can do so also gives each shingle as a signature.
    A pair would be lost only if that held for both, and such sets meet in their shingles.
 3. Sets that share a signature are compared with the smallest of them, exactly. Where that does not join all of a
-   cluster into one component, another star follows, from a set not used yet, STARS in all; of what is not joined then,
-   all pairs are compared that may still be linked by size and by the triangle inequality of the Jaccard distance, in
-   blocks inside of tasks. Bitmaps of the sets rule out most pairs before the sets themselves are moved.
+   cluster into one component, another star follows, from a set not used yet, STARS in all. Of what is not joined then,
+   all pairs are looked at that may still be linked by size and by the triangle inequality of the Jaccard distance, in
+   blocks inside of tasks: the most likely pairs of two components are compared first, and then all that are left.
+   Bitmaps of the sets rule out most pairs before the sets themselves are moved.
 
 Hashes travel as packed numpy arrays by range of the hash. The number of ranges follows the number of hashes, so that a
-range is as many hashes at any size, and so that the 32 bits kept of a hash within its range tell hashes apart equally
-well: two that are not told apart can make a set look able to have a partner, or two sets be compared, but no link."""
+range is as many hashes at any size, and so that the bits kept of a hash within its range tell hashes apart equally well:
+two that are not told apart can make a set look able to have a partner, or two sets be compared, but no link. Of a set's
+name 40 bits are kept while shingles are counted; a link would be lost if those of two linked sets were the same."""
 
 from __future__ import annotations
 
@@ -29,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, as_bytes, materialize, mix, shingles, small_batches, table, word_hashes
+from .common import WORD, as_bytes, materialize, mix, shingles, shuffle_partitions, small_batches, table, word_hashes
 from .components import connected
 
 WIDTH = 5
@@ -83,47 +85,11 @@ def node_rows(docs: DataFrame) -> DataFrame:
     return x.select("doc_id", "text_hash", "s.n_shingles", "s.node")
 
 
-# --- packed hashes by range -------------------------------------------------------------------------------------------
-
-
-def _pack(hashes: np.ndarray, owners: np.ndarray, parts: int, many: np.ndarray | None = None) -> pd.DataFrame:
-    """One row a range of the hashes: how many runs of owners, the owners, the run lengths, the low hash bits."""
-    part = ((hashes >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
-    order = np.lexsort((owners, part))
-    part, owners, low = part[order], owners[order], (hashes & _U(0xFFFFFFFF)).astype(np.uint32)[order]
-    rows = []
-    cuts = np.flatnonzero(np.diff(part)) + 1
-    for a, b in zip(np.append(0, cuts), np.append(cuts, len(part)), strict=True):
-        if b > a:
-            starts = np.append(0, np.flatnonzero(np.diff(owners[a:b])) + 1)
-            runs = np.diff(np.append(starts, b - a)).astype(np.uint32)
-            rows.append((int(part[a]), np.uint32(len(starts)).tobytes() + owners[a:b][starts].tobytes() + runs.tobytes() + low[a:b].tobytes()))
-    return pd.DataFrame(rows, columns=["part", "packed"])
-
-
-def _unpack(packed) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct owners, in order, and all of (hash << 32 | index of its owner), sorted, each once."""
-    owners, runs, hashes = [], [], []
-    for data in packed:
-        n = int(np.frombuffer(data, np.uint32, 1)[0])
-        owners.append(np.frombuffer(data, np.int64, n, 4))
-        runs.append(np.frombuffer(data, np.uint32, n, 4 + 8 * n))
-        hashes.append(np.frombuffer(data, np.uint32, -1, 4 + 12 * n))
-    names, index = np.unique(np.concatenate(owners), return_inverse=True)
-    found = np.concatenate(hashes).astype(np.uint64) << _U(32) | np.repeat(index.astype(np.uint64), np.concatenate(runs))
-    found.sort()
-    return names, found[np.append(True, found[1:] != found[:-1])]
-
-
-def _grouped(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of what _unpack gives: where the groups of equal hashes start, and their sizes."""
-    hashes = found >> _U(32)
-    starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-    return starts, np.diff(np.append(starts, len(found)))
+# --- hashes by range --------------------------------------------------------------------------------------------------
 
 
 def _range_of(values: np.ndarray, ranges: int) -> np.ndarray:
-    """The range of each of some 64-bit hashes."""
+    """The range of each of some 64-bit hashes, by their upper halves."""
     return ((values.astype(np.uint64) >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int32)
 
 
@@ -135,30 +101,44 @@ def _by_range(part: np.ndarray, *columns: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"part": np.array([part[g[0]] for g in groups], np.int32), **{f"c{i}": [c[g].tobytes() for g in groups] for i, c in enumerate(columns)}})
 
 
-def _packed(pairs: Iterator[tuple[int, np.ndarray]], parts: int) -> Iterator[pd.DataFrame]:
-    """Packs (node, hashes), each node once in what is held."""
-    hashes, owners, seen, size = [], [], set(), 0
-    for node, found in pairs:
-        if node in seen or not len(found):
+def _held(pairs: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(owners, hashes) of about HELD of the hashes of (owner, hashes), each owner once in what is held."""
+    hashes, owners, size = [], {}, 0
+    for owner, found in pairs:
+        if owner in owners or not len(found):
             continue
-        seen.add(node)
+        owners[owner] = len(found)
         hashes.append(found)
-        owners.append(np.full(len(found), node, np.int64))
         size += len(found)
         if size >= HELD:
-            yield _pack(np.concatenate(hashes), np.concatenate(owners), parts)
-            hashes, owners, seen, size = [], [], set(), 0
+            yield np.repeat(np.fromiter(owners, np.int64), list(owners.values())), np.concatenate(hashes)
+            hashes, owners, size = [], {}, 0
     if size:
-        yield _pack(np.concatenate(hashes), np.concatenate(owners), parts)
+        yield np.repeat(np.fromiter(owners, np.int64), list(owners.values())), np.concatenate(hashes)
+
+
+def _column(frame: pd.DataFrame, name: str, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in frame[name]])
 
 
 # --- step 1: sets that can have a partner -----------------------------------------------------------------------------
 
 
+#: Bits of a set's name that stand for it while shingles are counted; the rest of 64 are of the shingle within its range.
+OWNER = 40
+
+
+def owner_of(node):
+    """A node, as a column, by the bits that stand for it in shared_shingles."""
+    return node.bitwiseAND(F.lit((1 << OWNER) - 1).cast("long"))
+
+
 def shared_shingles(docs: DataFrame, hash_ranges: int, set_ranges: int) -> DataFrame:
-    """node, shared: for each node with any, how many of its shingles some other set has (or more, never fewer).
+    """owner, shared: for each set with any, how many of its shingles some other set has (or more, never fewer).
 
-    A task counts a range of hashes, and gives one row for each range of nodes; another sums up a range of nodes."""
+    A shingle travels as one number of 64 bits, the last ones of its set's name. A task counts a range of shingles, and
+    gives one row for each range of sets; another sums up a range of sets."""
+    mask = _U((1 << OWNER) - 1)
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def each():
@@ -166,23 +146,23 @@ def shared_shingles(docs: DataFrame, hash_ranges: int, set_ranges: int) -> DataF
                 for _, part in _parts(list(frame["text"])):
                     yield from ((name_of(found), mix(found)) for found in sets_of(part) if len(found))
 
-        yield from _packed(each(), hash_ranges)
+        for owners, hashes in _held(each()):
+            yield _by_range(_range_of(hashes, hash_ranges), hashes << _U(OWNER) | owners.astype(np.uint64) & mask)
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
-        nodes, found = _unpack(frame["packed"])
-        _, sizes = _grouped(found)
-        n = np.bincount((found[np.repeat(sizes > 1, sizes)] & _U(0xFFFFFFFF)).astype(np.int64), minlength=len(nodes))
-        nodes, n = nodes[n > 0], n[n > 0].astype(np.uint32)
-        return _by_range(_range_of(mix(nodes.astype(np.uint64)), set_ranges), nodes, n)
+        found = np.unique(_column(frame, "c0", np.uint64))
+        hashes = found >> _U(OWNER)
+        alike = hashes[1:] == hashes[:-1]
+        owners, n = np.unique(found[np.append(alike, False) | np.append(False, alike)] & mask, return_counts=True)
+        return _by_range(_range_of(owners << _U(64 - OWNER), set_ranges), owners.astype(np.int64), n.astype(np.uint32))
 
     def total(frame: pd.DataFrame) -> pd.DataFrame:
-        nodes, index = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in frame["c0"]]), return_inverse=True)
-        n = np.bincount(index, np.concatenate([np.frombuffer(x, np.uint32) for x in frame["c1"]]), len(nodes))
-        return pd.DataFrame({"node": nodes, "shared": n.astype(np.int64)})
+        owners, index = np.unique(_column(frame, "c0", np.int64), return_inverse=True)
+        return pd.DataFrame({"owner": owners, "shared": np.bincount(index, _column(frame, "c1", np.uint32), len(owners)).astype(np.int64)})
 
-    spread_out = docs.select("text").mapInPandas(spread, "part int, packed binary")
+    spread_out = docs.select("text").mapInPandas(spread, "part int, c0 binary")
     counted = spread_out.groupBy("part").applyInPandas(count, "part int, c0 binary, c1 binary")
-    return counted.groupBy("part").applyInPandas(total, "node long, shared long")
+    return counted.groupBy("part").applyInPandas(total, "owner long, shared long")
 
 
 # --- step 2: signatures -----------------------------------------------------------------------------------------------
@@ -258,24 +238,25 @@ def sharing(sets: DataFrame, hash_ranges: int, set_ranges: int) -> DataFrame:
                 for node, data in zip(frame["node"], frame["found"], strict=True):
                     yield int(node), signatures(np.frombuffer(data, np.uint64))
 
-        yield from _packed(each(), hash_ranges)
+        for owners, hashes in _held(each()):
+            yield _by_range(_range_of(hashes, hash_ranges), owners, hashes.astype(np.uint32))
 
     def stars(frame: pd.DataFrame) -> pd.DataFrame:
-        nodes, found = _unpack(frame["packed"])
-        starts, sizes = _grouped(found)
-        index = (found & _U(0xFFFFFFFF)).astype(np.int64)
-        pivot = np.repeat(index[starts], sizes)  # indices are in the order of nodes
+        nodes, index = np.unique(_column(frame, "c0", np.int64), return_inverse=True)
+        found = np.unique(_column(frame, "c1", np.uint32).astype(np.uint64) << _U(32) | index.astype(np.uint64))
+        hashes, index = found >> _U(32), (found & _U(0xFFFFFFFF)).astype(np.int64)
+        starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+        pivot = np.repeat(index[starts], np.diff(np.append(starts, len(found))))  # indices are in the order of nodes
         other = pivot != index
         pairs = np.unique(pivot[other] << 32 | index[other])
         pivots, others = nodes[pairs >> 32], nodes[pairs & 0xFFFFFFFF]
         return _by_range(_range_of(mix(pivots.astype(np.uint64) ^ mix(others.astype(np.uint64))), set_ranges), pivots, others)
 
     def distinct(frame: pd.DataFrame) -> pd.DataFrame:
-        pairs = np.stack([np.concatenate([np.frombuffer(x, np.int64) for x in frame[c]]) for c in ("c0", "c1")], axis=1)
-        pairs = np.unique(pairs, axis=0)
+        pairs = np.unique(np.stack([_column(frame, c, np.int64) for c in ("c0", "c1")], axis=1), axis=0)
         return pd.DataFrame({"pivot": pairs[:, 0], "node": pairs[:, 1]})
 
-    spread_out = sets.select("node", "found").mapInPandas(spread, "part int, packed binary")
+    spread_out = sets.select("node", "found").mapInPandas(spread, "part int, c0 binary, c1 binary")
     found = spread_out.groupBy("part").applyInPandas(stars, "part int, c0 binary, c1 binary")
     return found.groupBy("part").applyInPandas(distinct, "pivot long, node long")
 
@@ -362,11 +343,19 @@ def links(sets: DataFrame) -> DataFrame:
         new = compared.filter(LINKED).select("a", "b")
         found = new if found is None else found.unionByName(new)
         roots = materialize(joined(roots, new), "roots")
-        # what is not one component yet, without the pivots: these have been compared with all others there
-        star = star.filter("node <> pivot").drop("pivot", "root").join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = star.groupBy("cluster").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("pivot")).filter("x <> y")
-        star = materialize(star.join(open_.select("cluster", "pivot"), "cluster"), "members")
-    return found.unionByName(exactly(materialize(within_clusters(star, done, sets), "maybe"), sets).filter(LINKED).select("a", "b"))
+        star = regrouped(star.filter("node <> pivot"), roots)  # the pivots have been compared with all others there
+    # the most likely link of each two components in each two blocks first: what these join has no more to be compared
+    likely = materialize(exactly(materialize(within_clusters(star, done, sets, True), "likely"), sets).filter(LINKED).select("a", "b"), "new")
+    star = regrouped(star, materialize(joined(roots, likely), "roots"))
+    rest = exactly(materialize(within_clusters(star, done, sets, False), "maybe"), sets).filter(LINKED).select("a", "b")
+    return found.unionByName(likely).unionByName(rest)
+
+
+def regrouped(star: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of the clusters that are not one component yet, with their components and the next pivot."""
+    star = star.drop("pivot", "root").join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = star.groupBy("cluster").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("pivot")).filter("x <> y")
+    return materialize(star.join(open_.select("cluster", "pivot"), "cluster"), "members")
 
 
 def ranges(entries: int, each: int) -> int:
@@ -376,9 +365,10 @@ def ranges(entries: int, each: int) -> int:
 _BLOCK = np.dtype([("node", np.int64), ("root", np.int64), ("n", np.int64), ("least", np.float64), ("most", np.float64), ("size", np.int64)])
 
 
-def within_clusters(star: DataFrame, done: DataFrame, sets: DataFrame) -> DataFrame:
+def within_clusters(star: DataFrame, done: DataFrame, sets: DataFrame, best: bool) -> DataFrame:
     """Distinct pairs (a, b, n_a, n_b) of the members of a cluster that may be linked: in different components, of like
-    sizes, within reach by the distances to the cluster's first pivot, and by the bound from their bitmaps.
+    sizes, within reach by the distances to the cluster's first pivot, and by the bound from their bitmaps. With `best` only
+    the most likely one of each two components in each two blocks.
 
     Members are dealt into blocks of about MEMBERS, those of a large component into blocks of their own. A block is one
     row, and a task compares two blocks, unless both are of one component: what it gives are the pairs that pass and not
@@ -410,27 +400,48 @@ def within_clusters(star: DataFrame, done: DataFrame, sets: DataFrame) -> DataFr
 
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = [p for r in frame.itertuples() for p in _possible(r.members_i, r.bits_i, r.members_j, r.bits_j, r.block_i == r.block_j)]
+            out = [p for r in frame.itertuples() for p in _possible(r.members_i, r.bits_i, r.members_j, r.bits_j, r.block_i == r.block_j, best)]
             yield pd.DataFrame(out, columns=["a", "b", "n_a", "n_b"], dtype=np.int64)
 
+    both = both.repartition(shuffle_partitions(star.sparkSession), "block_i", "block_j")  # few bytes, but much work
     return both.mapInPandas(pairs, "a long, b long, n_a long, n_b long").distinct()
 
 
-def _possible(left: bytes, bits_left: bytes, right: bytes, bits_right: bytes, same: bool) -> Iterator[tuple[int, int, int, int]]:
-    """The pairs of two blocks' members that may be linked, the smaller node first."""
+def _possible(left: bytes, bits_left: bytes, right: bytes, bits_right: bytes, same: bool, best: bool) -> list[tuple[int, int, int, int]]:
+    """The pairs of two blocks' members that may be linked, the smaller node first; with `best` the most likely one for each
+    two components."""
     x, y, reach = np.frombuffer(left, _BLOCK), np.frombuffer(right, _BLOCK), 1 - SIMILARITY / 100 + 1e-9
     a, b = x[:, None], y[None]
     some = (a["root"] != b["root"]) & (100 * np.minimum(a["n"], b["n"]) >= SIMILARITY * np.maximum(a["n"], b["n"])) & (a["least"] - b["most"] <= reach) & (b["least"] - a["most"] <= reach)
     if same:
         some &= a["node"] < b["node"]
     at_x, at_y = np.append(0, np.cumsum(x["size"])), np.append(0, np.cumsum(y["size"]))
-    for p, q in zip(*np.nonzero(some), strict=True):
-        n, m = int(x["n"][p]), int(y["n"][q])
-        shared = most_shared(bits_left[at_x[p] : at_x[p + 1]], n, bits_right[at_y[q] : at_y[q + 1]], m)
-        if 100 * shared >= SIMILARITY * (n + m - shared):
-            one, other = (int(x["node"][p]), n), (int(y["node"][q]), m)
-            (node, n), (far, m) = min(one, other), max(one, other)
-            yield node, far, n, m
+    folded: dict[tuple[int, int], np.ndarray] = {}  # the right bitmaps of one size, at a size
+
+    def right_bits(size: int, rows: np.ndarray, at: int) -> np.ndarray:
+        if (size, at) not in folded:
+            bits = np.stack([np.frombuffer(bits_right[at_y[q] : at_y[q + 1]], np.uint64) for q in rows])
+            folded[size, at] = np.bitwise_or.reduce(bits.reshape(len(rows), -1, at), axis=1) if at < bits.shape[1] else bits
+        return folded[size, at]
+
+    sizes = [(int(size), np.flatnonzero(y["size"] == size)) for size in np.unique(y["size"])]
+    out = []
+    for p in np.flatnonzero(some.any(axis=1)):
+        own, n = np.frombuffer(bits_left[at_x[p] : at_x[p + 1]], np.uint64), int(x["n"][p])
+        for size, rows in sizes:
+            if not some[p, rows].any():
+                continue
+            at = min(len(own), size // 8)
+            theirs, mine = right_bits(size, rows, at), np.bitwise_or.reduce(own.reshape(-1, at), axis=0)
+            shared = np.minimum(n - np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64), y["n"][rows] - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64))
+            good = some[p, rows] & (100 * shared >= SIMILARITY * (n + y["n"][rows] - shared))
+            out += [(-shared[i] / (n + int(y["n"][rows[i]]) - shared[i]), int(p), int(rows[i])) for i in np.flatnonzero(good)]
+    found: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+    for _, p, q in sorted(out):
+        (node, n), (far, m) = sorted([(int(x["node"][p]), int(x["n"][p])), (int(y["node"][q]), int(y["n"][q]))])
+        key = tuple(sorted((int(x["root"][p]), int(y["root"][q])))) if best else (node, far)
+        found.setdefault(key, (node, far, n, m))
+    return list(found.values())
 
 
 def rooted(docs: DataFrame) -> DataFrame:
@@ -447,7 +458,7 @@ def _rooted(docs: DataFrame) -> DataFrame:
     nodes = materialize(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "nodes")
     count, size = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     shared = shared_shingles(docs.filter("doc_id is not null"), ranges(size, RANGE), ranges(count, SETS))
-    able = materialize(nodes.join(shared, "node").filter(f"100 * shared >= {SIMILARITY} * n").select("doc_id"), "able")
+    able = materialize(nodes.withColumn("owner", owner_of(F.col("node"))).join(shared, "owner").filter(f"100 * shared >= {SIMILARITY} * n").select("doc_id"), "able")
 
     def sets_again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

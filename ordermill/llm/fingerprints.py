@@ -1,12 +1,12 @@
 """Operator 2: document fingerprints from closed syncmers [DataFrame functions only].
 
-A k-mer is a run of K words. It is a closed syncmer if, among the runs of S words inside it, the one with the least hash
-is the first or the last. Whether a k-mer is chosen depends on its own words alone, so that equal passages give equal
-anchors wherever they stand. A fingerprint is the SKETCH least hashes of these anchors. Texts of up to SHORT code points or
-of fewer than K words have a second one over anchors of words and characters, as a few words hold hardly a k-mer; two
-texts that both have it are compared by it, all others by their words alone, so that anchors of one kind are never
-weighed against those of another. The likeness of two is the share of the least SKETCH hashes of either that both have,
-an estimate of the Jaccard similarity of the anchors; it is exact where both texts have no more anchors than that.
+A k-mer is a run of K words, the first ones of a text with empty words before them, so that a text of any length has one
+for each word. It is a closed syncmer if, among the runs of S words inside it, the one with the least hash is the first or
+the last. Whether a k-mer is chosen depends on its own words alone, so that equal passages give equal anchors wherever they
+stand. A word of more than LONG characters counts as that many words of one, for texts that do without white space. A
+fingerprint is the SKETCH least hashes of the anchors. The likeness of two is the share of the least SKETCH hashes of either
+that both have, an estimate of the Jaccard similarity of the anchors; it is exact where both texts have no more anchors than
+that.
 
 The next document is found without a global sort in one task: quantiles of doc_id bound the buckets, a copy of the first
 row of each bucket also goes to the bucket before, and a window runs within the bucket."""
@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from .common import materialize, shuffle_partitions, table
 
 K, S = 5, 2
-SHORT = 256
+LONG = 24
 SKETCH = 64
-#: Buckets of doc_id for each shuffle partition, and at most.
-BUCKETS_EACH, BUCKETS_MOST = 4, 1 << 14
+#: Buckets of doc_id for each shuffle partition.
+BUCKETS_EACH = 4
 
 
 def _shift(a: Column, n: int) -> Column:
@@ -34,75 +34,53 @@ def _head(a: Column, n: int) -> Column:
 
 
 def with_syncmers(df: DataFrame, tokens: Column, out: str) -> DataFrame:
-    """df with a column of one hash or null for each run of K tokens, in their order: null where it is no closed
-    syncmer. Fewer than K tokens make one run. Each step is a column of its own, so that none is computed twice."""
+    """df with a column of one hash or null for each token, in their order: null where the k-mer that ends with it is no
+    closed syncmer. Each step is a column of its own, so that none is computed twice."""
     t, h, s, m, w = (f"_{out}_{x}" for x in "thsmw")
     c = F.col
-    df = df.withColumn(t, tokens).withColumn(h, F.transform(c(t), lambda x: F.xxhash64(x)))
+    df = df.withColumn(t, tokens).withColumn(h, F.transform(F.concat(F.array_repeat(F.lit(""), K - 1), c(t)), lambda x: F.xxhash64(x)))
     df = df.withColumn(s, F.zip_with(_head(c(h), 1), _shift(c(h), 1), lambda a, b: F.xxhash64(a, b)))  # S = 2 words
     df = df.withColumn(m, F.zip_with(_head(c(s), 1), _shift(c(s), 1), lambda a, b: F.least(a, b)))
     df = df.withColumn(w, F.zip_with(_head(c(m), 2), _shift(c(m), 2), lambda a, b: F.least(a, b)))  # of the K - S + 1 = 4 runs within
     chosen = F.transform(c(w), lambda x, i: F.when((F.get(c(s), i) == x) | (F.get(c(s), i + K - S) == x), F.xxhash64(F.get(c(s), i), F.get(c(s), i + 2), F.get(c(s), i + 3))))
-    whole = F.when(F.size(c(t)) > 0, F.array(F.xxhash64(F.concat_ws(" ", c(t))))).otherwise(F.array().cast("array<bigint>"))
-    return df.withColumn(out, F.when(F.size(c(t)) < K, whole).otherwise(chosen)).drop(t, h, s, m, w)
+    return df.withColumn(out, chosen).drop(t, h, s, m, w)
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda x: x != "")
-
-
-def _is_short(text: Column) -> Column:
-    return (F.length(text) <= SHORT) | (F.size(words(text)) < K)
-
-
-def characters(text: Column, short: Column) -> Column:
-    return F.filter(F.split(F.when(short, text).otherwise(""), ""), lambda x: x != "")
+    found = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    cut = F.flatten(F.transform(found, lambda x: F.when(F.length(x) > LONG, F.filter(F.split(x, ""), lambda y: y != "")).otherwise(F.array(x))))
+    return F.when(text.rlike(rf"[^\x20\x09-\x0D]{{{LONG + 1}}}"), cut).otherwise(found)
 
 
 def _sketch(hashes: Column) -> Column:
-    anchors = F.transform(F.array_compact(hashes), lambda x: F.shiftrightunsigned(x, 32))
-    return F.slice(F.sort_array(F.array_distinct(anchors)), 1, SKETCH)
+    found = F.transform(F.array_compact(hashes), lambda x: F.shiftrightunsigned(x, 32))
+    return F.slice(F.sort_array(F.array_distinct(found)), 1, SKETCH)
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with out.words and out.all: the least SKETCH anchor hashes of the text column's words, and of its words and
-    characters, as sorted 32-bit numbers; out.all is null for a text that is not short. Words without a syncmer count as
-    one run. Empty text: none."""
-    a, b, s = f"_{out}_words", f"_{out}_characters", f"_{out}_short"
-    df = df.withColumn(s, _is_short(F.col(text)))
-    df = with_syncmers(df, words(F.col(text)), a)
-    df = with_syncmers(df, characters(F.col(text), F.col(s)), b)
-    run = F.when(F.col(text) == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(F.lower(text))))
-    own = F.when(F.exists(a, lambda x: x.isNotNull()), F.col(a)).otherwise(run)
-    both = F.when(F.col(s), _sketch(F.concat(a, b)))
-    return df.withColumn(out, F.struct(_sketch(own).alias("words"), both.alias("all"))).drop(a, b, s)
-
-
-def _alike(a: Column, b: Column) -> Column:
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    both = F.size(F.array_intersect(F.array_intersect(a, b), least))
-    return F.when(F.size(least) == 0, F.lit(1.0)).otherwise(both / F.greatest(F.size(least), F.lit(1)))
+    """df with the least SKETCH anchor hashes of the text column, as sorted 32-bit numbers; none for a text without words."""
+    a = f"_{out}_anchors"
+    return with_syncmers(df, words(F.col(text)), a).withColumn(out, _sketch(F.col(a))).drop(a)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1, by words and characters if both texts are short, else by words. Two empty fingerprints are alike, an empty
-    and another are not."""
-    short = a["all"].isNotNull() & b["all"].isNotNull()
-    return _alike(F.when(short, a["all"]).otherwise(a["words"]), F.when(short, b["all"]).otherwise(b["words"]))
+    """0 to 1. Two empty fingerprints are alike, an empty and another are not."""
+    least = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
+    both = F.size(F.array_intersect(F.array_intersect(a, b), least))
+    return F.when(F.size(least) == 0, F.lit(1.0)).otherwise(both / F.greatest(F.size(least), F.lit(1)))
 
 
 def printed(fingerprint: Column) -> Column:
-    """The hashes of words; of a short text also those of words and characters, after a hyphen."""
-    hexed = lambda hashes: F.array_join(F.transform(hashes, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
-    return F.concat_ws("-", hexed(fingerprint["words"]), hexed(fingerprint["all"]))
+    """The hashes, in hexadecimal."""
+    return F.array_join(F.transform(fingerprint, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """doc_id, position (of the first word, from 0), hash: every closed syncmer of the words of each whole text, for
-    positional matching. Null and empty texts have none."""
+    """doc_id, position (of the first word, from 0), hash: every closed syncmer of K words of each whole text, for
+    positional matching. Null texts and those of fewer words have none."""
     x = with_syncmers(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), words(F.col("text")), "hashes")
-    x = x.select("doc_id", F.posexplode("hashes").alias("position", "hash"))
-    return x.filter(F.col("hash").isNotNull())
+    x = x.select("doc_id", F.posexplode("hashes").alias("position", "hash")).withColumn("position", F.col("position") - (K - 1))
+    return x.filter(F.col("hash").isNotNull() & (F.col("position") >= 0))
 
 
 def _bucket(doc_id: Column, bounds: list[int]) -> Column:
@@ -124,14 +102,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     The order is descending doc_id, rows that repeat a doc_id by a hash of their text. Rows with a null doc_id (_order 2)
     stand outside of it."""
     spark = docs.sparkSession
-    n = min(BUCKETS_MOST, BUCKETS_EACH * shuffle_partitions(spark))
+    n = BUCKETS_EACH * shuffle_partitions(spark)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     fractions = [i / n for i in range(1, n)]
-    bounds = sorted(set(ids.agg(F.percentile_approx("doc_id", fractions, 10 * n).alias("b")).first()["b"] or []))  # at most BUCKETS_MOST numbers
+    bounds = sorted(set(ids.agg(F.percentile_approx("doc_id", fractions, 10 * n).alias("b")).first()["b"] or []))  # fewer than n numbers
     firsts = ids.filter("doc_id is not null").withColumn("bucket", _bucket(F.col("doc_id"), bounds)).groupBy("bucket").agg(F.max("doc_id").alias("first_id"))
     order, everything = Window.orderBy("bucket"), Window.partitionBy()  # a row for each bucket
     firsts = firsts.select("first_id", F.coalesce(F.lead("bucket").over(order), F.min("bucket").over(everything)).alias("_copy"))
-    firsts = materialize(firsts, "firsts")  # BUCKETS_MOST rows at most, so a broadcast is safe
+    firsts = materialize(firsts, "firsts")  # n rows at most, so a broadcast is safe
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     x = x.join(F.broadcast(firsts), F.col("doc_id") == F.col("first_id"), "left").drop("first_id")
     own = F.struct(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -203,24 +204,54 @@ def test_fingerprints_of_awkward_rows(spark, docs):
     check_edits(alone, {1: BASE})
 
 
-def test_near_copies_on_both_sides_of_the_short_limit_are_alike(spark):
+def brute_fingerprint(spark, text):
+    """The same scheme in plain Python: only the hash function is Spark's."""
+    words = [y for x in re.split(r"[\x20\x09-\x0D]+", text.lower()) if x for y in (x if len(x) > fingerprints.LONG else [x])]
+    words = [""] * 4 + words if words else []
+    hashed = dict(spark.createDataFrame([(w,) for w in set(words)], "w string").select("w", F.xxhash64("w")).collect()) if words else {}
+    runs = [(hashed[a], hashed[b]) for a, b in zip(words, words[1:])]
+    of_run = dict(zip(runs, (r[0] for r in spark.createDataFrame([(i, *r) for i, r in enumerate(runs)], "i long, a long, b long").coalesce(1).sortWithinPartitions("i").select(F.xxhash64("a", "b")).collect()))) if runs else {}
+    s = [of_run[r] for r in runs]
+    chosen = [(s[i], s[i + 2], s[i + 3]) for i in range(len(words) - 4) if min(s[i : i + 4]) in (s[i], s[i + 3])]
+    if not chosen:
+        return []
+    got = spark.createDataFrame(chosen, "a long, b long, c long").select(F.xxhash64("a", "b", "c")).collect()
+    return sorted({(r[0] % (1 << 64)) >> 32 for r in got})[: fingerprints.SKETCH]
+
+
+def brute_likeness(a, b):
+    least = sorted({*a, *b})[: fingerprints.SKETCH]
+    return len({*a} & {*b} & {*least}) / len(least) if least else 1.0
+
+
+def test_fingerprints_equal_the_plain_scheme(spark, corpus):
+    texts = [r["text"] or "" for r in corpus.orderBy("doc_id").limit(6).collect()] + ["", " ", "one", "one two", "one two three", "x" * 30, "One two  THREE four\nfive six é ü", "漢字" * 20 + " word"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = {r["i"]: r["f"] for r in fingerprints.with_fingerprint(df, "t", "f").collect()}
+    want = [brute_fingerprint(spark, t) for t in texts]
+    assert [got[i] for i in range(len(texts))] == want
+    pairs = df.select(F.col("i").alias("j"), F.col("t").alias("u")).crossJoin(df)
+    both = fingerprints.with_fingerprint(fingerprints.with_fingerprint(pairs, "t", "x"), "u", "y").select("i", "j", fingerprints.likeness(F.col("x"), F.col("y")).alias("l"), fingerprints.printed(F.col("x")).alias("p")).collect()
+    assert all(r["l"] == brute_likeness(want[r["i"]], want[r["j"]]) and r["p"] == "".join(f"{x:08x}" for x in want[r["i"]]) for r in both)
+
+
+def test_near_copies_of_any_length_are_alike(spark):
     rng = np.random.default_rng(11)
     texts = []
-    for i in range(24):
+    for i in range(40):
         text = ""
-        while len(text) < 240:
+        while len(text) < 60 + 12 * i:
             text += f"{'abcdefghijklmnopqrstuvwxyz'[rng.integers(26)]}{rng.integers(10_000)} "
-        texts.append((i, text.strip(), text + "and five more words here"))
-    assert all(len(a) <= fingerprints.SHORT < len(b) for _, a, b in texts)
+        texts.append((i, text.strip(), text + "and one or two words"))
     unspaced = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 260))
     df = spark.createDataFrame([*texts, (50, unspaced[:250], unspaced)], "id long, a string, b string")
     df = fingerprints.with_fingerprint(fingerprints.with_fingerprint(df, "a", "x"), "b", "y")
     got = {r["id"]: r["likeness"] for r in df.select("id", fingerprints.likeness(F.col("x"), F.col("y")).alias("likeness")).collect()}
-    assert np.mean([got[i] for i, *_ in texts]) > 0.7 and min(got.values()) > 0.4
+    assert np.mean([got[i] for i, *_ in texts]) > 0.75 and min(got.values()) > 0.4
 
 
 def test_texts_without_syncmers_are_not_alike(spark):
-    texts = [f"{a * 60} {b * 60} {c * 60} {d * 60} {e * 60}" for a, b, c, d, e in ("abcde", "fghij", "klmno", "pqrst", "uvwxy", "zabcd")]
+    texts = [f"{a * 60} {b * 60} {c * 60} {d * 60} {e * 60}" for a, b, c, d, e in ("abcde", "fghij", "klmno", "pqrst", "uvwxy", "12345")]
     df = spark.createDataFrame([(a, b) for a in ["", "one two three", *texts] for b in texts if a != b], "a string, b string")
     df = fingerprints.with_fingerprint(fingerprints.with_fingerprint(df, "a", "x"), "b", "y")
     assert {r[0] for r in df.select(fingerprints.likeness(F.col("x"), F.col("y"))).collect()} == {0.0}
@@ -325,28 +356,50 @@ def test_license_retrieval_of_damaged_notices():
 
 
 def brute_top_k(vectors, every=50, k=5):
-    q = {i: np.floor(256 * np.array(v, np.float64)).astype(np.int64) for i, v in vectors}
+    q = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in vectors]
     out = []
-    for i in q:
+    for i, v in q:
         if i % every == 0:
-            best = sorted((-int(q[i] @ q[j]), j) for j in q if j != i)[:k]
+            best = sorted((-sum(a * b for a, b in zip(v, u)), j) for j, u in q if j != i and len(u) == len(v))[:k]
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     return sorted(out)
 
 
 def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(1)
-    vectors = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(400)]
+    vectors = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(300)]
     vectors += [(i, vectors[3][1]) for i in range(400, 460)]  # ties
-    odd = [(1000, None), (1050, [float("nan")] * 8), (1100, [1.0] * 7 + [None]), (1150, [float("inf")] * 8), (None, [1.0] * 8), (1200, [1.0, 2.0]), (1250, [])]
-    df = spark.createDataFrame([(*r, "x", "x") for r in vectors + odd], "vec_id long, embedding array<float>, pivot string, score string")
+    odd = [(1000, None), (1050, [float("nan")] * 8), (1100, [1.0] * 7 + [None]), (1150, [float("inf")] * 8), (None, [1.0] * 8)]
+    short = [(1200, [1.0, 2.0]), (1201, [float(1 << 45), 1.0]), (1202, [-1.0, 1.0]), (1250, []), (1251, []), (1300, [0.0]), (1350, [3.0, -0.001])]
+    df = spark.createDataFrame([(*r, "x", "x") for r in vectors + odd + short], "vec_id long, embedding array<float>, pivot string, score string")
     monkeypatch.setattr(topk, "CHUNK", 8)
     monkeypatch.setattr(topk, "ANNULUS", 32)
-    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df).collect())
-    assert got == brute_top_k(vectors)
+    found = lambda x: sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(x).collect())
+    got = found(df)
+    assert got == brute_top_k(vectors + short)
+    assert any(q == 1200 and r == 1 and v == 1201 for q, r, v, _ in got)
     few = df.filter("vec_id in (0, 1, 50, 100)")
     assert topk.top_k(few).count() == 9
     assert topk.top_k(df.limit(0)).count() == 0 and topk.top_k(few.filter("vec_id = 0")).count() == 0
+    twice = few.unionByName(few.filter("vec_id = 50"))
+    assert sum(r[0] == 0 for r in found(twice)) == 4 and sum(r[0] == 50 for r in found(twice)) == 3
+
+
+def test_top_k_equals_its_sql_where_products_are_wide(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(3)
+    rows_ = [(i, [float(x) for x in rng.integers(-(1 << 18), 1 << 18, 3)]) for i in range(40)] + [(100 + i, [float(rng.integers(1 << 35)), float(rng.integers(8)), 0.0]) for i in range(20)]
+    rows_ += [(150, [float(1 << 44), 1.0]), (151, [1.0, 2.0]), (152, [2.0, 1.0]), (200, []), (201, [])]
+    rows_ = [(i, [x / 4096 if len(v) == 3 and i >= 100 else x for x in v]) for i, v in rows_]
+    df = spark.createDataFrame(rows_, "vec_id long, embedding array<double>")
+    df.coalesce(1).write.parquet(str(tmp_path / "e"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+    want = sorted(con.execute(topk.OP5_SQL).fetchall())
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df).collect()) == want and max(abs(r[3]) for r in want) > 1 << 53
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(spark.createDataFrame([(50, [1e200]), (51, [1e200])], "vec_id long, embedding array<double>"))
 
 
 def test_top_k_of_cells_out_of_distance_order(spark, monkeypatch):

@@ -8,7 +8,9 @@ around it, together with those of its siblings that score well against it or are
 
 from __future__ import annotations
 
+import functools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -30,6 +32,8 @@ _PARAGRAPH = {"p", "pre", "blockquote", "li", "dd", "dt", "td", "th", "h2", "h3"
 #: Start tags that end an open paragraph.
 _ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _ITSELF = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+#: Of a term and its description, or the cells of a table, either ends the other.
+_ALIKE = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
 #: Words of a class or id that speak for what is no article.
 _UNLIKELY = set("""ad ads advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs byline comment comments commentlist
 community cookie cookies consent disqus disclaimer discussion footer footnav gdpr header login masthead menu menubar modal nav navbar navigation newsletter
@@ -45,7 +49,10 @@ _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "score", "likely", "cut")
+    """An element. length, linked and commas are of its whole text, once measured: letters, letters in links, commas; holds
+    is how many article, main and h1 elements it is and has."""
+
+    __slots__ = ("tag", "parent", "children", "score", "likely", "cut", "length", "linked", "commas", "holds")
 
     def __init__(self, tag: str, parent: Node | None, likely: bool = False, cut: str = ""):
         self.tag, self.parent, self.children, self.score, self.likely, self.cut = tag, parent, [], 0.0, likely, cut
@@ -66,7 +73,7 @@ def _judge(tag: str, attributes: str) -> tuple[str, bool]:
             words.update(w.lower() for w in _WORDS.findall(value))
     likely = bool(words & _LIKELY)
     bad = words & _UNLIKELY
-    if not bad or tag in ("html", "body", "article", "main") or likely and bad <= {"header", "tags", "text"}:
+    if not bad or tag in ("html", "body", "main") or likely and bad <= {"header", "tags", "text"}:
         return "", likely
     return "links" if bad <= _LINKS else "names", likely
 
@@ -77,6 +84,20 @@ def parse(html: str, names: bool = True) -> Node:
     root = here = Node("#root", None)
     at = 0
     find = _TOKEN.search
+    opened: Counter = Counter()  # tags from here up
+    inside: list[Counter] = [Counter()]  # the same, since each element that is cut off
+
+    def leave(node: Node) -> Node:
+        """Close what is open up to and with a node."""
+        x = here
+        while x is not node.parent:
+            opened[x.tag] -= 1
+            inside[-1][x.tag] -= 1
+            if x.cut:
+                inside.pop()
+            x = x.parent
+        return x
+
     while True:
         m = find(html, at)
         if m is None:
@@ -94,42 +115,46 @@ def parse(html: str, names: bool = True) -> Node:
         tag, close, attributes = tag.lower(), m[1] or m[4], (m[3] or m[6] or "")
         if close:
             within = tag in _INLINE or tag == "p"  # a stray one inside of a cut part does not end it
-            node = here
-            while node is not root and node.tag != tag and not (within and node.cut):
-                node = node.parent
-            if node.tag == tag:
-                here = node.parent
-                continue
-            if tag in ("article", "main", "body", "html"):  # the part cut off was never closed
+            if (inside[-1] if within else opened)[tag]:
                 node = here
+                while node is not root and node.tag != tag and not (within and node.cut):
+                    node = node.parent
+                if node.tag == tag:
+                    here = leave(node)
+                    continue
+            if tag in ("article", "main", "body", "html"):  # the part cut off was never closed
+                node, outermost = here, None
                 while node is not root:
                     if node.cut:
-                        here = node.parent
+                        outermost = node
                     node = node.parent
+                if outermost is not None:
+                    here = leave(outermost)
             if tag not in _INLINE:
                 here.children.append(Node("br" if tag == "br" else "#break", here))
             continue
         empty = tag in _VOID or attributes.endswith("/") and tag not in _RAW
         if tag in _RAW and not attributes.endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
+            end = _ends(tag).search(html, at)
             at = end.end() if end else len(html)
             continue
         if here.tag == "head" and tag not in ("base", "link", "meta"):
-            here = here.parent
+            here = leave(here)
         if tag in ("html", "body"):
             continue
-        if tag in _ENDS_P:
+        if tag in _ENDS_P and opened["p"]:
             node = here
             while node is not root and (node.tag in _INLINE and not node.cut or node.tag == "p"):
                 if node.tag == "p":
-                    here = node.parent
+                    here = leave(node)
                     break
                 node = node.parent
         if tag in _ITSELF:
-            node = here
+            alike = _ALIKE.get(tag, (tag,))
+            node = here if any(opened[x] for x in alike) else root
             while node is not root and node.tag not in _ITSELF[tag]:
-                if node.tag == tag or tag in ("dt", "dd") and node.tag in ("dt", "dd") or tag in ("td", "th") and node.tag in ("td", "th"):
-                    here = node.parent
+                if node.tag in alike:
+                    here = leave(node)
                     break
                 node = node.parent
         cut, likely = _judge(tag, attributes)
@@ -143,6 +168,40 @@ def parse(html: str, names: bool = True) -> Node:
         here.children.append(node)
         if not empty:
             here = node
+            opened[tag] += 1
+            if cut:
+                inside.append(Counter())
+            inside[-1][tag] += 1
+
+
+@functools.cache
+def _ends(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I)
+
+
+def _measured(root: Node) -> Node:
+    """root, with the measures of every element below, each worked out once, from the bottom up."""
+    order, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack.extend(c for c in x.children if not isinstance(c, str))
+    for x in reversed(order):
+        x.length = x.linked = x.commas = 0
+        holds = [x.tag == "article", x.tag == "main", x.tag == "h1"]
+        for c in x.children:
+            if isinstance(c, str):
+                x.length += len(_SPACE.sub(" ", c).strip())
+                x.commas += c.count(",")
+            else:
+                x.length += c.length
+                x.linked += c.linked
+                x.commas += c.commas
+                holds = [a + b for a, b in zip(holds, c.holds, strict=True)]
+        x.holds = holds
+        if x.tag == "a":
+            x.linked = x.length
+    return root
 
 
 def _pruned(root: Node, names: bool) -> Node:
@@ -155,37 +214,26 @@ def _pruned(root: Node, names: bool) -> Node:
             if not isinstance(c, str):
                 stack.append(c)
                 named = named or c.cut != ""
+    _measured(root)
     if not named or not names:
         return root
-    whole, stack = _holds(root), [root]
+    stack = [root]
     while stack:
         x = stack.pop()
-        x.children = [c for c in x.children if isinstance(c, str) or not c.cut or _is_wrapper(c, whole)]
+        x.children = [c for c in x.children if isinstance(c, str) or not c.cut or _is_wrapper(c, root)]
         stack.extend(c for c in x.children if not isinstance(c, str))
-    return root
+    return _measured(root)
 
 
-def _holds(node: Node) -> tuple[dict[str, int], int]:
-    """How many article, main and h1 elements, and how many letters outside of links."""
-    found, (length, linked, _), stack = dict.fromkeys(("article", "main", "h1"), 0), _lengths(node), [node]
-    while stack:
-        x = stack.pop()
-        if x.tag in found:
-            found[x.tag] += 1
-        stack.extend(c for c in x.children if not isinstance(c, str))
-    return found, length - linked
-
-
-def _is_wrapper(node: Node, whole: tuple[dict[str, int], int]) -> bool:
-    """Whether an element is more than its name says: it holds all of the page's article, main or h1 elements, or most of
+def _is_wrapper(node: Node, root: Node) -> bool:
+    """Whether an element is more than its name says: all of the page's article, main or h1 elements are in it, or most of
     its text if none of these stands outside, or prose where its name is one for links."""
-    (found, letters), (all_found, all_letters) = _holds(node), whole
-    if any(n and n == all_found[tag] for tag, n in found.items()):
+    inside = [n - (node.tag == tag) for n, tag in zip(node.holds, ("article", "main", "h1"), strict=True)]
+    if any(n and n == whole for n, whole in zip(inside, root.holds, strict=True)):
         return True
-    if found == all_found and 2 * letters > all_letters:
+    if node.holds == root.holds and 2 * (node.length - node.linked) > root.length - root.linked:
         return True
-    length, linked, _ = _lengths(node)
-    return node.cut == "links" and length > 80 and linked < 0.25 * length
+    return node.cut == "links" and node.length > 80 and node.linked < 0.25 * node.length
 
 
 def blocks(node: Node, out: list[str]) -> list[str]:
@@ -216,23 +264,6 @@ def blocks(node: Node, out: list[str]) -> list[str]:
     return out
 
 
-def _lengths(node: Node) -> tuple[int, int, int]:
-    """Letters of text, of links among them, and commas."""
-    length = linked = commas = 0
-    stack = [(node, node.tag == "a")]
-    while stack:
-        x, link = stack.pop()
-        for c in x.children:
-            if isinstance(c, str):
-                n = len(_SPACE.sub(" ", c).strip())
-                length += n
-                linked += n * link
-                commas += c.count(",")
-            else:
-                stack.append((c, link or c.tag == "a"))
-    return length, linked, commas
-
-
 def _paragraphs(root: Node) -> list[Node]:
     """Elements that are paragraphs, and others that hold text or inline elements of their own."""
     found, stack = [], [root]
@@ -264,8 +295,7 @@ def _lifted(best: Node) -> Node:
 def _is_section(x: Node | str) -> bool:
     if isinstance(x, str):
         return not x.strip()
-    length, linked, _ = _lengths(x)
-    return length == 0 or (x.tag in ("article", "section", "h1") or x.tag in _PARAGRAPH) and 2 * linked < length
+    return x.length == 0 or (x.tag in ("article", "section", "h1") or x.tag in _PARAGRAPH) and 2 * x.linked < x.length
 
 
 def main_text(html: str | None) -> str:
@@ -281,10 +311,9 @@ def main_text(html: str | None) -> str:
 def _best_text(root: Node) -> str:
     scored: list[Node] = []
     for p in _paragraphs(root):
-        length, linked, commas = _lengths(p)
-        if not length:
+        if not p.length:
             continue
-        points = (1 + commas + min(length / 100, 3)) * (1 - linked / length)
+        points = (1 + p.commas + min(p.length / 100, 3)) * (1 - p.linked / p.length)
         up, part = (p if p.tag not in _PARAGRAPH else p.parent), 1.0
         for level in range(5):
             if up is None:
@@ -299,8 +328,7 @@ def _best_text(root: Node) -> str:
         return "\n".join(blocks(root, []))
     final: dict[int, float] = {}
     for x in scored:
-        length, linked, _ = _lengths(x)
-        final[id(x)] = x.score * (1 - linked / max(1, length))
+        final[id(x)] = x.score * (1 - x.linked / max(1, x.length))
     best = _lifted(max(scored, key=lambda x: final[id(x)]))
     if best.parent is None:
         return "\n".join(blocks(best, []))
@@ -314,8 +342,7 @@ def _best_text(root: Node) -> str:
         elif final.get(id(x), 0.0) >= least:
             keep = True
         elif x.tag in _PARAGRAPH or x.tag == "h1":
-            length, linked, _ = _lengths(x)
-            keep = length > 0 and (x.tag == "h1" or x.tag[0] == "h" and linked == 0 or length > 80 and linked < 0.25 * length or linked == 0 and x.tag == "p")
+            keep = x.length > 0 and (x.tag == "h1" or x.tag[0] == "h" and x.linked == 0 or x.length > 80 and x.linked < 0.25 * x.length or x.linked == 0 and x.tag == "p")
         else:
             keep = False
         if keep:

@@ -13,15 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, letters, table
+from .common import held_out, letters, materialize, table
 
 #: Columns for the n-grams of each length.
 WIDTHS = (512, 2048, 5632)
-#: Documents to learn from, landmarks among them, code points of each, and the ridge.
-SAMPLE, LANDMARKS, SAMPLE_CHARS, RIDGE = 3000, 192, 4000, 1e-2
+#: Documents of each language to learn from, landmarks among them, languages at most (those of most documents), the ridge.
+SAMPLE, LANDMARKS, LANGUAGES, RIDGE = 750, 48, 256, 1e-2
 UNKNOWN = "und"
 _ROWS, _CHARS = 256, 1 << 19
 _BASE = np.concatenate([[0], np.cumsum(WIDTHS)])
@@ -80,28 +80,29 @@ def normed(marks: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit(texts: list[str], langs: list[str]) -> dict:
-    """Landmarks, weights (landmarks by languages) and the languages, from equal shares of each language's texts."""
+def fit(marks: np.ndarray, langs: list[str]) -> dict:
+    """Landmarks, weights (landmarks by languages) and the languages, from presence rows and their languages; the first
+    LANDMARKS rows of each language are landmarks."""
     names = sorted(set(langs))
     if not names:
         return {"names": [], "landmarks": np.zeros((0, int(_BASE[-1])), np.float32), "weights": np.zeros((0, 0), np.float32)}
     by = {name: [i for i, x in enumerate(langs) if x == name] for name in names}
-    chosen = [i for k in range(max(map(len, by.values()))) for name in names for i in by[name][k : k + 1]][:LANDMARKS]
-    marks = normed(presence([texts[i] for i in chosen]))
-    parts = [normed(presence(texts[i : i + _ROWS])) @ marks.T for i in range(0, len(texts), _ROWS)]
-    kernel = np.concatenate(parts).astype(np.float64)
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    landmarks = normed(marks[[i for name in names for i in by[name][:LANDMARKS]]])
+    kernel = np.concatenate([normed(marks[i : i + _ROWS]) @ landmarks.T for i in range(0, len(marks), _ROWS)]).astype(np.float64)
+    values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
     use = values > 1e-6 * values.max()
     white = vectors[:, use] / np.sqrt(values[use])
     mapped = kernel @ white
     goal = np.where(np.array(langs)[:, None] == np.array(names), 1.0, -1.0)
     weight = 1 / np.array([len(by[x]) for x in langs])[:, None]  # each language counts alike
     left = mapped.T @ (mapped * weight) + RIDGE * np.eye(mapped.shape[1])
-    return {"names": names, "landmarks": marks, "weights": (white @ np.linalg.solve(left, mapped.T @ (goal * weight))).astype(np.float32)}
+    return {"names": names, "landmarks": landmarks, "weights": (white @ np.linalg.solve(left, mapped.T @ (goal * weight))).astype(np.float32)}
 
 
-def predict(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    names, scores = [], np.zeros(len(texts))
+def predict(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The best language of each text, its share among all, and how far it leads the second best, which does not depend on
+    how many languages there are."""
+    names, scores, leads = [], np.zeros(len(texts)), np.zeros(len(texts))
     for at in range(0, len(texts), _ROWS):
         part = [x or "" for x in texts[at : at + _ROWS]]
         marks = presence(part)
@@ -113,28 +114,41 @@ def predict(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray
         shares = np.exp(4 * (raw - raw.max(axis=1, keepdims=True)))
         best = raw.argmax(axis=1)
         scores[at : at + len(part)] = np.where(some, 1 / shares.sum(axis=1), 0.0)
+        second = np.partition(raw, -2, axis=1)[:, -2] if raw.shape[1] > 1 else -1.0
+        leads[at : at + len(part)] = np.where(some, raw.max(axis=1) - second, 0.0)
         names += [model["names"][b] if s else UNKNOWN for b, s in zip(best, some, strict=True)]
-    return names, scores
+    return names, scores, leads
 
 
 def train(docs: DataFrame) -> dict:
-    """A model from the SAMPLE documents with the least hashes of doc_id among those that may be learned from."""
+    """A model from SAMPLE documents of each language, those with the least hashes of doc_id among the ones that may be
+    learned from and have letters. Whole texts become rows of bits where they are; only these reach the driver."""
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang"), F.col("text"))
-    ids = x.filter(~held_out(4, 2) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(SAMPLE)
-    found = x.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).withColumn("text", F.substring("text", 1, SAMPLE_CHARS)).join(F.broadcast(ids), "doc_id").collect()
-    found = sorted(found, key=lambda r: (r["h"], r["doc_id"], r["lang"], r["text"]))
-    found = [r for r in found if any(c.isalpha() for c in r["text"])]
-    return fit([r["text"] for r in found], [r["lang"] for r in found])
+    x = x.filter(~held_out(4, 2) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    ids = x.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct()
+    most = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
+    # each task ranks its own rows first and passes on no more than are asked for
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    ids = materialize(ids.join(F.broadcast(most), "lang").withColumn("rank", rank).filter(F.col("rank") <= SAMPLE), "languages")
+
+    @F.pandas_udf("binary")
+    def bits(texts: pd.Series) -> pd.Series:
+        return pd.Series([row.tobytes() for at in range(0, len(texts), _ROWS) for row in np.packbits(presence(list(texts[at : at + _ROWS])), axis=1)])
+
+    found = x.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("lang", "rank").agg(F.min("text").alias("text")).select("lang", "rank", bits("text").alias("bits")).collect()
+    found = sorted(found, key=lambda r: (r["rank"], r["lang"]))
+    marks = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in found), np.uint8).reshape(-1, (int(_BASE[-1]) + 7) // 8), axis=1, count=int(_BASE[-1])).astype(bool)
+    return fit(marks, [r["lang"] for r in found])
 
 
 def language_column(model: dict):
-    """A function of a text column: a struct of lang_pred and score."""
+    """A function of a text column: a struct of lang_pred, score and lead."""
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, lead double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            names, scores = predict(model, list(texts))
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            names, scores, leads = predict(model, list(texts))
+            yield pd.DataFrame({"lang_pred": names, "score": scores, "lead": leads})
 
     return score
 
@@ -149,14 +163,15 @@ def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
     return x.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-#: Texts whose best language scores less are rejected; one of four at random would score a quarter.
-LEAST_SCORE = 0.3
+#: Texts whose best language leads the second best by less are rejected; one that is the language of its landmarks leads
+#: by about 2, one that is like all languages alike by 0.
+LEAST_LEAD = 0.002
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are in some language, with their columns: neither `und` nor below LEAST_SCORE."""
+    """The rows of docs that are in some language, with their columns: neither `und` nor with a lead below LEAST_LEAD."""
     p = language_column(train(docs))(F.col("text"))
-    return docs.filter((p["lang_pred"] != UNKNOWN) & (p["score"] >= LEAST_SCORE))
+    return docs.filter((p["lang_pred"] != UNKNOWN) & (p["lead"] >= LEAST_LEAD))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

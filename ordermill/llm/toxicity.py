@@ -48,7 +48,7 @@ def _forward(x: np.ndarray, starts: np.ndarray, kernels: list[np.ndarray], bias:
     for w, kernel in zip(WIDTHS, kernels, strict=True):
         n = len(x) - w + 1
         z = sum(x[j : j + n] @ kernel[j] for j in range(w))
-        where = np.array([a + z[a : min(b, n)].argmax(axis=0) for a, b in zip(starts, ends, strict=True)])
+        where = np.array([a + z[a : b - w + 1].argmax(axis=0) for a, b in zip(starts, ends, strict=True)])  # no window reaches into the next text
         place.append(where)
         top.append(np.take_along_axis(z, where, axis=0))
     return np.concatenate(top, axis=1) + bias, np.concatenate(place, axis=1)
@@ -61,7 +61,7 @@ def _train(ids: list[np.ndarray], y: np.ndarray, seed: int = 7) -> dict:
         u = np.unique(x)
         texts_with[u] += 1
         toxic_with[u] += label
-    known = texts_with >= min(LEAST_TEXTS, max(1, len(ids) // 20))
+    known = texts_with >= LEAST_TEXTS
     known[_EMPTY] = False
     rate = (y.sum() + 1) / (len(y) + 2)
     odds = np.log((toxic_with + 2 * rate) / (texts_with - toxic_with + 2 * (1 - rate)) * (1 - rate) / rate)
@@ -121,7 +121,7 @@ def _train(ids: list[np.ndarray], y: np.ndarray, seed: int = 7) -> dict:
 def logits(model: dict, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     if len(starts) == 0:
         return np.zeros(0)
-    top = []
+    top, ends = [], np.append(starts[1:], len(ids))
     for w, tables in zip(WIDTHS, model["tables"], strict=True):
         n = len(ids) - w + 1
         z = tables[0][ids[:n, 0]]
@@ -129,6 +129,8 @@ def logits(model: dict, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         for j in range(1, w):
             z += tables[j][ids[j : j + n, 0]]
             z += tables[j][ids[j : j + n, 1]]
+        for j in range(1, w):
+            z[ends[:-1] - j] = -np.inf  # windows that reach into the next text
         top.append(np.maximum.reduceat(z, starts, axis=0))
     return np.maximum(np.concatenate(top, axis=1) + model["bias"], 0) @ model["out"] + model["c"]
 

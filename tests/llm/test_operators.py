@@ -150,6 +150,95 @@ def test_main_text_of_wrappers_with_unlikely_names(opening, closing):
     assert html.main_text(f"<article><h1>T</h1><p>{WORDS}</p><div class='share'><a href=x>Share</a></div></article>").split("\n") == ["T", WORDS]
 
 
+def plain_scores(html_text):
+    """Tree scoring in its plain form, over Python's own parser: points of paragraphs to their ancestors, the best of these."""
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.nodes = [("root", None, [])], []
+
+        def handle_starttag(self, tag, attributes):
+            node = (tag, dict(attributes).get("id"), [])
+            self.open[-1][2].append(node)
+            self.open.append(node)
+
+        def handle_endtag(self, tag):
+            self.open.pop()
+
+        def handle_data(self, data):
+            self.open[-1][2].append(data)
+
+    tree = Tree()
+    tree.feed(html_text)
+    scores = Counter()
+
+    def text(node, links=None):
+        return "".join(c if isinstance(c, str) and links in (None, node[0] == "a") else "" if isinstance(c, str) else text(c, None if links and c[0] == "a" else links) for c in node[2])
+
+    def walk(node, above):
+        if node[0] == "p":
+            whole = text(node)
+            points = (1 + whole.count(",") + min(len(whole) / 100, 3)) * (1 - len(text(node, True)) / max(1, len(whole)))
+            part = 1.0
+            for level, x in enumerate(above[::-1][:5]):
+                scores[x[1] or x[0]] += points * part
+                part = 0.5 if level == 0 else part * 0.4
+        for c in node[2]:
+            if not isinstance(c, str):
+                walk(c, [*above, node])
+
+    def discounted(node):
+        name = node[1] or node[0]
+        scores[name] *= 1 - len(text(node, True)) / max(1, len(text(node)))
+        for c in node[2]:
+            if not isinstance(c, str) and c[0] == "div":
+                discounted(c)
+
+    walk(tree.open[0], [])
+    discounted(tree.open[0])
+    return scores
+
+
+def test_best_container_is_that_of_the_plain_scheme():
+    """Among boxes of random paragraphs, the one with most points wins by itself where the others are far behind."""
+    rng, won = np.random.default_rng(9), 0
+    for _ in range(60):
+        boxes = []
+        for b in range(4):
+            n = int(rng.integers(1, 9))
+            ps = "".join(f"<p>{'word, ' * int(rng.integers(0, 6))}box{b} " + "text " * int(rng.integers(3, 60)) + (f"<a href=x>{'link ' * int(rng.integers(1, 80))}</a>" if rng.random() < 0.3 else "") + "</p>" for _ in range(n))
+            boxes.append(f"<div id=b{b}>{ps}</div>")
+        page = f"<div id=wrap1>{boxes[0]}</div><div id=wrap2>{boxes[1]}</div><div id=wrap3><div id=deep>{boxes[2]}</div></div><div id=wrap4>{boxes[3]}</div>"
+        scores = plain_scores(page)
+        best, second = sorted((f"b{b}" for b in range(4)), key=lambda x: -scores[x])[:2]
+        if scores[best] < 1.05 * scores[second]:
+            continue
+        text = html.main_text(page)
+        assert f"box{best[1]}" in text
+        others = [scores[f"wrap{i + 1}"] for i in range(4) if f"b{i}" != best]
+        won += text.count("box") == text.count(f"box{best[1]}") and max(others) < scores[best]
+    assert won > 10
+
+
+COMMENT = "<article class='comment'><p>I disagree, with, all, of this, strongly and at some length, as readers of such pages do.</p></article>"
+
+
+@pytest.mark.parametrize("page", [f"<article><p>{WORDS}</p><p>{WORDS}</p></article>{COMMENT}", f"<div id=story><p>{WORDS}</p><p>{WORDS}</p></div>{COMMENT}", f"<article class='post has-comments'><p>{WORDS}</p><p>{WORDS}</p>{COMMENT}{COMMENT}</article>"])
+def test_comments_in_articles_of_their_own_are_cut(page):
+    assert html.main_text(page).split("\n") == [WORDS, WORDS]
+
+
+@pytest.mark.parametrize("page", ["<div>x " * 50_000, "<p>x</b> " * 50_000, "<b>" * 50_000 + "<hr>" * 50_000, "<ul><li>x" * 50_000, "<b>x<div class=ad>" + "<div>" * 50_000 + "y</b>" * 50_000])
+def test_deep_pages_take_time_by_their_length(page):
+    import time
+
+    began = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - began < 5
+
+
 def test_extraction_of_tables(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "x"), (3, "v", "<p>" + "word " * 50_000, "x")], "page_id long, url string, html string, text string")
     got = rows(html.extract_main_text(pages))
@@ -296,6 +385,106 @@ def test_toxicity_is_calibrated_on_all_rows(monkeypatch):
     assert seen == [4160] * 5 + [5200]
 
 
+def test_toxicity_scores_are_those_of_a_plain_forward_pass():
+    rng = np.random.default_rng(2)
+    texts = ["", None, "one two three four", "nasty words, and NASTY ones " * 20, "été über 12 a-b"]
+    words = [f"w{chr(97 + i)}" for i in range(20)]
+    model = toxicity.fit([(" ".join(rng.choice([*words, *(["nasty"] if i % 3 == 0 else [])], 12)), int(i % 3 == 0), "xy"[i % 2]) for i in range(200)])
+    for text, got in zip(texts, toxicity.scores(model, texts), strict=True):
+        ids, _ = toxicity.word_ids([text or ""])
+        z = model["c"]
+        for w, tables in enumerate(model["tables"], 1):
+            for f in range(toxicity.FILTERS):
+                top = max(sum(float(tables[j][ids[i + j, 0], f]) + float(tables[j][ids[i + j, 1], f]) for j in range(w)) for i in range(len(ids) - w + 1))
+                k = (w - 1) * toxicity.FILTERS + f
+                z += max(top + model["bias"][k], 0) * model["out"][k]
+        lang = np.argmax([sum(float(model["words"][i, g]) for i in ids[:, 0]) for g in range(2)])
+        z += math.log(0.7 / 0.3) - model["shift"][lang]
+        assert got == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+
+
+def test_samples_are_whole_texts_in_the_order_of_hashes(spark):
+    from ordermill.llm import learning
+
+    docs = spark.createDataFrame([(i, "x" * 10, "en") for i in range(50)] + [(7, "a", "en"), (None, "y", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    got = learning.labelled_sample(docs, labels, "toxic", F.lit(True))
+    assert len(got) == 50 and sorted({len(t) for t, *_ in got}) == [1, 10]
+    assert learning.labelled_sample(docs, labels, "toxic", F.lit(True), chars=95) == got[:9] or len(learning.labelled_sample(docs, labels, "toxic", F.lit(True), chars=95)) in (9, 10)
+    assert len(learning.labelled_sample(docs, labels, "toxic", F.lit(True), rows=5)) <= 5
+
+
+def plain_features(text):
+    """The shares of quality.features one by one."""
+    data, out = (text or "").encode(), [0.0] * 19
+    kinds = Counter(int(quality._KIND[b]) for b in data)
+    words = [re.sub("[A-Z]", lambda c: c[0].lower(), w) for w in WORD.findall(text or "")]
+    n, m = max(1, len(data)), max(1, len(words))
+    for k in range(9):
+        out[k] = kinds[k] / n
+    out[9], out[10] = kinds[2] / max(1, kinds[1] + kinds[2]), (kinds[7] + kinds[8]) / m
+    if words:
+        runs = [tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+        out[11], out[12], out[13] = sum(a == b for a, b in zip(words, words[1:])) / m, 1 - len(set(words)) / m, max(Counter(words).values()) / (m + 20)
+        out[14], out[17], out[18] = 1 - len(set(runs)) / len(runs), math.log1p(len(words)) / 10, min(1.0, n / m / 20)
+    lines = data.split(b"\n")
+    out[15], out[16] = 1 - len(set(lines)) / len(lines), min(1.0, len(lines) / m)
+    return np.array(out)
+
+
+def test_quality_is_that_of_plain_features_and_weights(corpus):
+    texts = [r["text"] for r in corpus.limit(30).collect()] + [None, "", " ", "a", "A a a\nA a a\n| ! é 1"]
+    x = np.array([plain_features(t) for t in texts])
+    x = np.concatenate([x, np.sqrt(np.abs(x)), x > 0.05], axis=1)
+    assert np.allclose(quality.features(texts), x)
+    y = np.arange(len(texts)) % 3 > 0
+    model = quality.fit(x, y.astype(int))
+    for row, got in zip(x, quality.scores(model, texts), strict=True):
+        s = sum(min(8, max(-8, (v - c) / u)) * w for v, c, u, w in zip(row, model["centre"], model["scale"], model["weights"], strict=True))
+        assert got == pytest.approx(1 / (1 + math.exp(-min(30, max(-30, (s - model["cut"]) / model["unit"])))))
+
+
+def test_quality_weights_are_at_the_minimum_of_the_pairs_loss():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    y = (x @ [2.0, -1.0, 0.0] + rng.normal(size=300) > 0).astype(int)
+    model = quality.fit(x, y)
+    z = (x - model["centre"]) / model["scale"]
+    draw = np.random.default_rng(5)
+    d = np.clip(z[draw.choice(np.flatnonzero(y == 1), quality.PAIRS)] - z[draw.choice(np.flatnonzero(y == 0), quality.PAIRS)], -8, 8)
+    loss = lambda w: np.mean(np.log1p(np.exp(-(d @ w)))) + quality.RIDGE / 2 * w @ w
+    assert all(loss(model["weights"]) <= loss(model["weights"] + step) + 1e-9 for step in 0.01 * rng.normal(size=(20, 3)))
+
+
+def test_language_is_that_of_a_plain_kernel():
+    def grams(text):
+        codes = common.letters(f" {text} ")
+        codes = [int(c) for i, c in enumerate(codes) if c or i == 0 or codes[i - 1]]
+        return [{tuple(codes[i : i + n]) for i in range(len(codes) - n + 1) if any(codes[i : i + n])} for n in (1, 2, 3)]
+
+    texts = ["the quick brown fox and the dog", "der schnelle braune Fuchs und der Hund", "a b", "the end"]
+    sets, marks = [grams(t) for t in texts], language.normed(language.presence(texts))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            want = sum(len(x & y) / math.sqrt(max(1, len(x)) * max(1, len(y))) for x, y in zip(a, b, strict=True))
+            assert float(marks[i] @ marks[j]) == pytest.approx(want, abs=0.15)  # n-grams are hashed into columns
+    langs = ["en", "de"] * 8
+    model = language.fit(language.presence([texts[0] + f" {'x' * i}" if i % 2 == 0 else texts[1] + f" {'y' * i}" for i in range(16)]), langs)
+    names, scores, leads = language.predict(model, [*texts, None, "12"])
+    raw = (language.normed(language.presence(texts)) @ model["landmarks"].T) @ model["weights"]
+    assert names[:2] == ["en", "de"] and names[4:] == ["und", "und"] and list(scores[4:]) == [0, 0]
+    assert np.allclose(scores[:4], [1 / sum(math.exp(4 * (v - max(r))) for v in r) for r in raw]) and np.allclose(leads[:4], [abs(r[0] - r[1]) for r in raw])
+
+
+def test_rare_languages_are_learned(spark):
+    words = {"aa": "ka la ma na pa ra", "bb": "sto bra tri vlo", "cc": "oui euh aie", "dd": "xyz zyx qqq"}
+    rng = np.random.default_rng(6)
+    rows_ = [(i, " ".join(rng.choice(words[g].split(), 12)), g) for i, g in enumerate(["aa"] * 2500 + ["bb"] * 30 + ["cc"] * 12 + ["dd"] * 8)]
+    got = language.identify(spark.createDataFrame(rows_, "doc_id long, text string, lang string")).collect()
+    want = {i: g for i, _, g in rows_}
+    assert np.mean([r["lang_pred"] == want[r["doc_id"]] for r in got]) > 0.99
+
+
 def test_quality(spark, docs, labels):
     got = rows(quality.score_quality(docs, labels))
     assert len(got) == len(ROWS) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)

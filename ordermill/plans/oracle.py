@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.codes import GRAMMAGE_PATTERNS, GRAMMAGES, PAPERS, SUPPLIERS, WIDTH_PATTERNS, WIDTHS
 from ..functions.text import REORDER_PHRASES
-from ..sources.bridge import BRIDGE_SQL
+from ..sources.bridge import BRIDGE_SQL, COLUMNS
 
 NOW = "TIMESTAMP '2001-08-01 00:00:00'"
 TODAY = "DATE '2001-08-01'"
@@ -144,8 +144,11 @@ _DOMAIN: dict[str, str] = {
     "j3_orders_products": "SELECT c.id, p.type AS produit_type, quantite FROM commandes c LEFT JOIN produits p ON p.id = produit_id WHERE statut = 'en_attente'",
     "j9_client_counts": "SELECT id, client_id, n AS client_orders FROM (SELECT c.*, (SELECT count(*) FROM commandes x WHERE x.client_id = c.client_id) AS n FROM commandes c) WHERE n <= 3",
     "j10_fuzzy": """SELECT search_id, client_id, nom, round(score, 6) AS score FROM (
-      SELECT search_id, client_id, nom, 2 / 3.0::DOUBLE + 0.3::DOUBLE AS score FROM (SELECT id AS search_id, right(nom, 9) AS w FROM clients) JOIN (SELECT id AS client_id, 'Client ' || right(nom, 9) AS nom, right(nom, 9) AS w FROM clients) USING (w))
-      QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY client_id) = 1""",
+      SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY score DESC, client_id) AS n FROM (
+        SELECT search_id, client_id, nom, len(list_intersect(sw, cw)) / greatest(len(sw), len(cw))::DOUBLE + CASE WHEN len(list_filter(sw, lambda w: length(w) > 3 AND contains(norm, w))) > 0 THEN 0.3::DOUBLE ELSE 0 END AS score
+        FROM (SELECT id AS search_id, list_distinct(string_split(replace(replace(lower('CLIENT. ' || right(nom, 9) || '-ete'), '.', ''), '-', ' '), ' ')) AS sw FROM clients) s
+        JOIN (SELECT id AS client_id, 'Client ' || right(nom, 9) AS nom, lower('Client ' || right(nom, 9)) AS norm, string_split(lower('Client ' || right(nom, 9)), ' ') AS cw FROM clients) c ON len(list_intersect(sw, cw)) > 0)
+      WHERE score > 0.3) WHERE n = 1""",
     "j11_processed_semi": f"SELECT row, email_id FROM ({_INCOMING}) i WHERE email_id IN (SELECT email_id FROM commandes)",
     "j12_new_orders_anti": f"SELECT row, numero_commande, email_id FROM ({_NEW})",
     "j14_product_by_name": "SELECT a.id AS row, lower(a.type[1:4]) AS wanted, min(b.id) AS produit_id FROM produits a LEFT JOIN produits b ON contains(lower(b.type), lower(a.type[1:4])) GROUP BY 1, 2",
@@ -254,11 +257,8 @@ ORACLE: dict[str, str] = {name: BRIDGE_SQL + sql for name, sql in _DOMAIN.items(
 _JSON = {
     "clients": "{'id': id, 'nom': nom, 'email': email, 'telephone': telephone}",
     "produits": "{'id': id, 'type': type}",
-    "commandes": "{" + ", ".join(f"'{c}': {c}" for c in (
-        "id", "client_id", "produit_id", "numero_commande", "nature_produit", "quantite", "quantite_livree", "reste_a_livrer", "prix_total", "code_article", "grammage", "laize", "type_papier", "unite", "prix_unitaire",
-        "devise", "informations_supplementaires", "statut", "source", "email_subject", "email_id", "confiance", "created_at", "validated_at",
-    )) + "}",
-}
+    "commandes": "{" + ", ".join(f"'{c}': {c}" for c in COLUMNS) + "}",
+}
 _CLIENT_COUNTS = "SELECT cl.id, nom, email, telephone, count(c.id) AS order_count FROM clients cl LEFT JOIN commandes c ON client_id = cl.id GROUP BY ALL"
 _MORE: dict[str, str] = {
     "s4_catalogue_counts": "SELECT 'ordermill_clients' AS table_name, count(*) AS n FROM clients UNION ALL SELECT 'ordermill_produits', count(*) FROM produits UNION ALL SELECT 'ordermill_commandes', count(*) FROM commandes",

@@ -27,6 +27,11 @@ def _on(f: Callable[[Domain], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(domain(spark, sf_dir))
 
 
+def _orders(f: Callable[[Domain], DataFrame]) -> Query:
+    """A query that needs neither order lines nor parts."""
+    return lambda spark, sf_dir: f(domain(spark, sf_dir, lines=False))
+
+
 def _text(d: Domain) -> DataFrame:
     """Descriptions of articles, from the orders' fields."""
     paper = F.when(F.col("id") % 3 == 0, "kraft blanchi").when(F.col("id") % 3 == 1, "Kraft écru mondi").otherwise("sachet")
@@ -230,53 +235,53 @@ def _alerts(d: Domain) -> DataFrame:
 
 c = F.col
 QUERIES: dict[str, Query] = {
-    "a1_stats": _on(metrics.stats),
-    "a2_clients_with_orders": _on(metrics.clients_with_orders),
+    "a1_stats": _orders(metrics.stats),
+    "a2_clients_with_orders": _orders(metrics.clients_with_orders),
     "a3_top_clients": _on(metrics.top_clients),
     "a4_top_products": _on(metrics.top_products),
-    "a6_revenue": _on(lambda d: metrics.sum_and_mean(d, "prix_total", "total_revenue", "avg_order_value")),
+    "a6_revenue": _orders(lambda d: metrics.sum_and_mean(d, "prix_total", "total_revenue", "avg_order_value")),
     "a7_quantity": _on(lambda d: metrics.sum_and_mean(d, "quantite", "total_quantity", "avg_quantity")),
     "a8_orders_by_product": _on(metrics.orders_by_product),
-    "a9_by_status": _on(metrics.by_status),
+    "a9_by_status": _orders(metrics.by_status),
     "a10_top_clients_revenue": _on(metrics.top_clients_by_orders),
-    "a11_daily_30d": _on(lambda d: metrics.daily_counts(d, CLOCK)),
-    "a12_monthly": _on(metrics.monthly),
-    "a13_trend": _on(lambda d: metrics.trend(d, CLOCK)),
-    "a14_trend_zero_filled": _on(lambda d: metrics.trend_filled(d, CLOCK)),
-    "a15_channel_split": _on(metrics.channel_split),
+    "a11_daily_30d": _orders(lambda d: metrics.daily_counts(d, CLOCK)),
+    "a12_monthly": _orders(metrics.monthly),
+    "a13_trend": _orders(lambda d: metrics.trend(d, CLOCK)),
+    "a14_trend_zero_filled": _orders(lambda d: metrics.trend_filled(d, CLOCK)),
+    "a15_channel_split": _orders(metrics.channel_split),
     "a16_weekly_volume": _on(lambda d: metrics.daily_volume(d, CLOCK)),
-    "a17_source_validation": _on(metrics.channel_validation),
+    "a17_source_validation": _orders(metrics.channel_validation),
     "a18_processing_hours": _on(metrics.processing_hours),
     "a19_product_revenue": _on(metrics.product_revenue),
-    "a20_segments": _on(lambda d: metrics.segments(d, 12, 6)),
-    "a21_kpis": _on(metrics.kpis),
+    "a20_segments": _orders(lambda d: metrics.segments(d, 12, 6)),
+    "a21_kpis": _orders(metrics.kpis),
     "a22_client_share": _on(metrics.client_share),
     "a23_erp_stats": _on(metrics.erp_stats),
     "a24_top_codes": _on(metrics.top_codes),
-    "a25_channel_page": _on(lambda d: metrics.channel_page(d, CLOCK)),
+    "a25_channel_page": _orders(lambda d: metrics.channel_page(d, CLOCK)),
     "a26_avg_qty_nonzero": _on(metrics.mean_quantity),
     "a27_favourites": _on(lambda d: profile.favourites(d, 3)),
     "a29_quantity_baseline": _on(metrics.quantity_baseline),
     "a30_unit_price": _on(metrics.unit_price),
-    "a31_newest_id": _on(metrics.newest_id),
-    "a32_table_counts": _on(metrics.table_counts),
-    "a33_channel_clients": _on(metrics.channel_clients),
+    "a31_newest_id": _orders(metrics.newest_id),
+    "a32_table_counts": _orders(metrics.table_counts),
+    "a33_channel_clients": _orders(metrics.channel_clients),
     "a34_alerts_by_severity": _on(lambda d: alerts.by_severity(_alerts(d))),
     "j1_order_detail": _on(lambda d: joins.order_view(Domain(d.clients, d.produits, d.commandes.filter("id = 1"))).select("id", "client_nom", "client_email", "client_telephone", "produit_type", "quantite", "statut")),
     "j2_orders_joined": _on(lambda d: joins.order_view(d).select("id", "client_nom", "produit_type", "statut", "quantite", "created_at")),
     "j3_orders_products": _on(lambda d: joins.with_product(d).filter("statut = 'en_attente'").select("id", "produit_type", "quantite")),
-    "j9_client_counts": _on(lambda d: joins.client_order_counts(d.commandes).filter("client_orders <= 3").select("id", "client_id", "client_orders")),
+    "j9_client_counts": _orders(lambda d: joins.client_order_counts(d.commandes).filter("client_orders <= 3").select("id", "client_id", "client_orders")),
     "j10_fuzzy": _on(_fuzzy),
     "j11_processed_semi": _on(lambda d: joins.processed(d.commandes, incoming(d)).select("row", "email_id")),
     "j12_new_orders_anti": _on(lambda d: joins.unprocessed(d.commandes, incoming(d)).select("row", "numero_commande", "email_id")),
     "j14_product_by_name": _on(lambda d: joins.product_by_name(d.produits.select(c("id").alias("row"), F.lower(F.substring("type", 1, 4)).alias("wanted")), d.produits)),
-    "w1_frequency": _on(windows.frequency),
+    "w1_frequency": _orders(windows.frequency),
     "w2_typical": _on(windows.typical),
-    "w3_first_last": _on(windows.first_and_last),
+    "w3_first_last": _orders(windows.first_and_last),
     "w4_last_valid": _on(lambda d: windows.last_reference(d).select("client_id", "order_id", "statut", "created_at")),
-    "w5_ranked": _on(windows.ranked_clients),
-    "l1_recent": _on(metrics.recent),
-    "l6_last_months_ascending": _on(lambda d: metrics.monthly(d, 6, newest_first=False)),
+    "w5_ranked": _orders(windows.ranked_clients),
+    "l1_recent": _orders(metrics.recent),
+    "l6_last_months_ascending": _orders(lambda d: metrics.monthly(d, 6, newest_first=False)),
     "u1_alerts": _on(_alerts),
     "u3_codes": lambda spark, sf_dir: codes.standard_codes(spark),
     "t1_code_generate": _on(lambda d: _text(d).select("id", codes.article_code(c("paper"), c("grammage"), c("laize"), F.when(c("id") % 2 == 0, "Nordic")).alias("code"))),
@@ -289,21 +294,21 @@ QUERIES: dict[str, Query] = {
     "t11_prediction": _on(lambda d: profile.predictions(d, 200000, 50000)),
     "t12_anomalies": _on(profile.anomalies),
     "t13_insights": _on(profile.insights),
-    "p1_by_id": _on(lambda d: d.commandes.filter("id = 7").select("id", "client_id", "statut", "prix_total")),
-    "p2_by_status": _on(lambda d: d.commandes.filter(export.filters("en_attente")).select("id", "client_id", "created_at")),
+    "p1_by_id": _orders(lambda d: d.commandes.filter("id = 7").select("id", "client_id", "statut", "prix_total")),
+    "p2_by_status": _orders(lambda d: d.commandes.filter(export.filters("en_attente")).select("id", "client_id", "created_at")),
     "p6_preferences": _on(lambda d: profile.client_preferences(d, "CUSTOMER#000000001").select("client_id", "nom", "total_orders", "total_spent")),
-    "p8_urgent": _on(lambda d: d.commandes.filter(c("email_subject").ilike("%urgent%") & (c("statut") == "en_attente")).select("id", "email_subject")),
+    "p8_urgent": _orders(lambda d: d.commandes.filter(c("email_subject").ilike("%urgent%") & (c("statut") == "en_attente")).select("id", "email_subject")),
     "p9_high_quantity": _on(lambda d: d.commandes.filter((c("quantite") > HIGH) & (c("statut") == "en_attente")).select("id", "quantite")),
-    "p11_stale": _on(lambda d: d.commandes.filter((c("statut") == "en_attente") & (CLOCK.hours_since(c("created_at")) > OLD * 365)).select("id", F.floor(CLOCK.hours_since(c("created_at"))).alias("hours"))),
-    "p12_filtered_export": _on(lambda d: d.commandes.filter(export.filters("validee", None, "1997-01-01", "1997-06-30")).select("id", "statut", "created_at")),
+    "p11_stale": _orders(lambda d: d.commandes.filter((c("statut") == "en_attente") & (CLOCK.hours_since(c("created_at")) > OLD * 365)).select("id", F.floor(CLOCK.hours_since(c("created_at"))).alias("hours"))),
+    "p12_filtered_export": _orders(lambda d: d.commandes.filter(export.filters("validee", None, "1997-01-01", "1997-06-30")).select("id", "statut", "created_at")),
     "p13_blank": _on(lambda d: d.commandes.agg(metrics.count_where(~T.blank(c("code_article"))).alias("coded"), metrics.count_where(T.blank(c("code_article"))).alias("blank"))),
-    "p19_client_buckets": _on(lambda d: profile.client_buckets(d, "customer", "5-10").select("id", "nom", "order_count")),
+    "p19_client_buckets": _orders(lambda d: profile.client_buckets(d, "customer", "5-10").select("id", "nom", "order_count")),
     "f1_client_code": _on(lambda d: d.clients.select("id", T.client_code(c("id") * 97).alias("code"))),
     "f2_fallback": _on(lambda d: d.commandes.select("id", T.filled(c("code_article"), c("numero_commande"), F.concat(F.lit("CMD-"), c("id").cast("string"))).alias("shown"))),
     "f4_normalized": _on(lambda d: d.clients.select("id", T.normalized_name(F.concat(F.lit("Société M'hamid-Café. "), c("nom"))).alias("norm"))),
     "f7_phone": _on(lambda d: d.clients.select("id", T.international(F.concat(F.lit("whatsapp:"), F.coalesce("telephone", F.lit("06 12 34")))).alias("phone"), T.channel_address(F.coalesce("telephone", F.lit("212"))).alias("address"))),
     "f10_media": lambda spark, sf_dir: _messages(spark, sf_dir).select("event_id", T.media_kind(c("body"), c("n_media"), c("media_type")).alias("kind"), T.audio_extension(c("media_type")).alias("extension")),
-    "f14_source": _on(lambda d: d.commandes.select("id", T.resolved_source(c("source"), F.when(c("id") % 2 == 0, F.concat(F.lit("WhatsApp "), "email_subject")).otherwise(c("email_subject"))).alias("source"))),
+    "f14_source": _orders(lambda d: d.commandes.select("id", T.resolved_source(c("source"), F.when(c("id") % 2 == 0, F.concat(F.lit("WhatsApp "), "email_subject")).otherwise(c("email_subject"))).alias("source"))),
     "f17_shortened": _on(lambda d: d.commandes.select("id", T.shortened(c("nature_produit"), 10).alias("shown"))),
     "m1_resolve_clients": _on(lambda d: ingest.resolve_clients(d.clients, _requests(d))),
     "m2_new_orders": _on(lambda d: ingest.new_orders(d, incoming(d)).select("row", "id", "client_id", "code_client", "produit_id", "numero_commande", "ligne_commande", "site_vente", "quantite", "quantite_livree", "reste_a_livrer", "quantite_facturee", "unite", "devise", "commercial", "source", "email_id", "statut")),
@@ -317,14 +322,14 @@ QUERIES: dict[str, Query] = {
     "k4_json_counts": _on(lambda d: export.as_json(d.produits).select("json")),
     "k7_retention": _on(lambda d: _expired(_backups(d))),
     "k1_flat_export": _on(export.flat_rows),
-    "k14_audit": _on(lambda d: ingest.audit("UPDATE", "commandes", d.commandes, "Statut modifié")),
+    "k14_audit": _orders(lambda d: ingest.audit("UPDATE", "commandes", d.commandes, "Statut modifié")),
     "s6_newest_mails": lambda spark, sf_dir: inbox.newest(read(spark, sf_dir, "events").select("event_id", "event_type"), 5, "event_id"),
     "s7_unseen": lambda spark, sf_dir: inbox.unseen(read(spark, sf_dir, "events").select("event_id", F.when(c("event_id") % 3 != 0, c("event_id") % 2 == 0).alias("seen"))).select("event_id"),
-    "l4_log_tail": _on(lambda d: inbox.newest(ingest.audit("CREATE", "commandes", d.commandes, ""), 50, "record_id").select("record_id", "action")),
-    "l5_clients_recent": _on(lambda d: inbox.sorted_clients(metrics.clients_with_orders(d), "recent").select("id", "nom", "order_count")),
+    "l4_log_tail": _orders(lambda d: inbox.newest(ingest.audit("CREATE", "commandes", d.commandes, ""), 50, "record_id").select("record_id", "action")),
+    "l5_clients_recent": _orders(lambda d: inbox.sorted_clients(metrics.clients_with_orders(d), "recent").select("id", "nom", "order_count")),
     "d10_time_ago": lambda spark, sf_dir: read(spark, sf_dir, "events").select("event_id", T.time_ago(c("event_id") * 37).alias("shown")),
     "d11_next_slot": lambda spark, sf_dir: read(spark, sf_dir, "events").select("event_id", inbox.next_slot(Clock("2001-08-31 22:10:00"), c("event_id") % 12 + 1).alias("at")),
-    "n10_thousands": _on(lambda d: d.commandes.select("id", inbox.thousands(c("id") * 1000 + 0.4).alias("shown"))),
+    "n10_thousands": _orders(lambda d: d.commandes.select("id", inbox.thousands(c("id") * 1000 + 0.4).alias("shown"))),
     "p14_routable": _on(lambda d: d.clients.agg(metrics.count_where(T.routable(c("email"))).alias("routable"))),
     "p15_complete_fields": _on(lambda d: d.commandes.filter("code_article is not null and grammage is not null and laize is not null").select("id", "code_article")),
     "p16_generic_names": _on(lambda d: d.clients.select("id", T.generic_name(F.when(c("id") % 3 == 0, F.concat(F.lit("Client WhatsApp "), "nom")).otherwise(c("nom"))).alias("is_generic"))),
@@ -352,21 +357,21 @@ QUERIES |= {
     "u4_seeded": lambda spark, sf_dir: ingest.seeded(domain(spark, sf_dir).produits, spark.createDataFrame([(1, "Sachets fond plat"), (9001, "Sachets fond plat"), (9002, "Sac fond carré sans poignées"), (9002, "Sac fond carré avec poignées plates"), (9003, "Sac fond carré avec poignées torsadées")], "id long, type string")),
     "a35_dashboard_rates": _on(metrics.dashboard_rates),
     "a36_unread": lambda spark, sf_dir: metrics.unread(read(spark, sf_dir, "events").select(F.when(c("event_id") % 3 != 0, c("event_id") % 2 == 0).alias("is_read"))),
-    "n12_revenue_k": _on(metrics.revenue_in_thousands),
-    "n3_rounded": _on(lambda d: d.commandes.select("id", numbers.rounded(c("id") / F.lit(80.0)).alias("one"), numbers.whole(c("id") / F.lit(2.0)).alias("none"))),
-    "d8_iso_times": _on(lambda d: _iso(d).select("id", iso_time(c("text")).alias("at"))),
-    "d12_slices": _on(lambda d: d.commandes.select("id", day_shown(c("created_at")).alias("day"), minute_shown(c("created_at")).alias("minute"), month_day_shown(F.to_date("created_at")).alias("month_day"))),
+    "n12_revenue_k": _orders(metrics.revenue_in_thousands),
+    "n3_rounded": _orders(lambda d: d.commandes.select("id", numbers.rounded(c("id") / F.lit(80.0)).alias("one"), numbers.whole(c("id") / F.lit(2.0)).alias("none"))),
+    "d8_iso_times": _orders(lambda d: _iso(d).select("id", iso_time(c("text")).alias("at"))),
+    "d12_slices": _orders(lambda d: d.commandes.select("id", day_shown(c("created_at")).alias("day"), minute_shown(c("created_at")).alias("minute"), month_day_shown(F.to_date("created_at")).alias("month_day"))),
     "f6_phone_in": _on(lambda d: d.clients.select("id", T.phone_in(F.concat("nom", F.lit(" tel "), F.coalesce("telephone", F.lit("?")))).alias("phone"), T.phone_tail(F.concat("nom", F.coalesce("telephone", F.lit("")))).alias("tail"))),
-    "f12_file_kind": _on(lambda d: d.commandes.select("id", T.file_kind(F.concat(F.lit("Piece."), F.element_at(F.array(*map(F.lit, ("PDF", "jpg", "csv", "docx", "txt", "webp"))), (c("id") % 6 + 1).cast("int")))).alias("kind"))),
-    "f15_shown": _on(lambda d: d.commandes.select("id", T.order_number(c("numero_commande"), c("id")).alias("number"), T.delivery_shown(F.when(c("id") % 3 == 0, "None").when(c("id") % 3 == 1, "2001-08-09")).alias("delivery"))),
-    "f16_answers": _on(_answers),
+    "f12_file_kind": _orders(lambda d: d.commandes.select("id", T.file_kind(F.concat(F.lit("Piece."), F.element_at(F.array(*map(F.lit, ("PDF", "jpg", "csv", "docx", "txt", "webp"))), (c("id") % 6 + 1).cast("int")))).alias("kind"))),
+    "f15_shown": _orders(lambda d: d.commandes.select("id", T.order_number(c("numero_commande"), c("id")).alias("number"), T.delivery_shown(F.when(c("id") % 3 == 0, "None").when(c("id") % 3 == 1, "2001-08-09")).alias("delivery"))),
+    "f16_answers": _orders(_answers),
     "f18_labels": _on(lambda d: d.commandes.select("id", T.status_label(c("statut")).alias("status"), T.source_label(c("source")).alias("channel"), T.initial(c("nature_produit")).alias("initial"))),
-    "f20_headers": _on(lambda d: d.commandes.select("id", inbox.decoded_header(c("email_subject")).alias("subject"))),
+    "f20_headers": _orders(lambda d: d.commandes.select("id", inbox.decoded_header(c("email_subject")).alias("subject"))),
     "f21_prompt": _on(lambda d: d.commandes.select("id", T.prompt_part(c("nature_produit"), 12).alias("part"))),
     "f22_mail_content": _on(lambda d: d.commandes.select("id", F.md5(T.mail_content(c("email_subject"), c("source"), day_shown(c("created_at")), c("nature_produit"), F.when(c("id") % 2 == 0, F.array(F.struct(F.lit("a.txt").alias("filename"), c("devise").alias("text")))).otherwise(F.array().cast("array<struct<filename:string,text:string>>"))).cast("binary")).alias("content_md5"))),
-    "p19_client_source": _on(lambda d: profile.client_buckets(d, source="email").select("id", "nom", "order_count")),
-    "p19_whatsapp_clients": _on(lambda d: profile.client_buckets(d, bucket="1-5", source="whatsapp").select("id", "nom", "order_count")),
-    "l5_clients_name": _on(lambda d: inbox.sorted_clients(metrics.clients_with_orders(d), "name").select("id", "nom", "order_count")),
-    "l5_clients_orders_desc": _on(lambda d: inbox.sorted_clients(metrics.clients_with_orders(d), "orders_desc").select("id", "nom", "order_count")),
-    "l5_clients_orders_asc": _on(lambda d: inbox.sorted_clients(metrics.clients_with_orders(d), "orders_asc").select("id", "nom", "order_count")),
+    "p19_client_source": _orders(lambda d: profile.client_buckets(d, source="email").select("id", "nom", "order_count")),
+    "p19_whatsapp_clients": _orders(lambda d: profile.client_buckets(d, bucket="1-5", source="whatsapp").select("id", "nom", "order_count")),
+    "l5_clients_name": _orders(lambda d: inbox.sorted_clients(metrics.clients_with_orders(d), "name").select("id", "nom", "order_count")),
+    "l5_clients_orders_desc": _orders(lambda d: inbox.sorted_clients(metrics.clients_with_orders(d), "orders_desc").select("id", "nom", "order_count")),
+    "l5_clients_orders_asc": _orders(lambda d: inbox.sorted_clients(metrics.clients_with_orders(d), "orders_asc").select("id", "nom", "order_count")),
 }

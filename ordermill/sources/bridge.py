@@ -37,50 +37,64 @@ def produits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return types.select(F.row_number().over(Window.orderBy("type")).cast("long").alias("id"), "type")
 
 
-def commandes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+def commandes(spark: SparkSession, sf_dir: str, lines: bool = True) -> DataFrame:
+    """Orders; without `lines` only the columns that need neither order lines nor parts, and no join."""
+    key, urgency = F.col("o_orderkey"), F.substring("o_orderpriority", 1, 1)
+    status = F.when(F.col("o_orderstatus") == "P", "en_attente").when(F.col("o_orderstatus") == "F", "validee").otherwise("rejetee")
+    own = {
+        "id": key,
+        "client_id": F.col("o_custkey"),
+        "numero_commande": F.when(key % 10 != 0, F.concat(F.lit("BC-"), F.lpad(key.cast("string"), 8, "0"))),
+        "prix_total": F.col("o_totalprice"),
+        "type_papier": F.when(key % 3 == 0, "Kraft Blanchi").when(key % 3 == 1, F.lit("")),
+        "unite": F.when(key % 5 != 0, "US"),
+        "prix_unitaire": F.when(key % 3 != 0, F.col("o_totalprice") / 4),
+        "devise": F.when(key % 7 != 0, F.when(key % 2 == 0, "MAD").otherwise("EUR")),
+        "informations_supplementaires": F.when(key % 9 == 0, F.lit("livraison urgente svp")).when(key % 9 == 1, F.lit("")),
+        "statut": status,
+        "source": F.when(urgency.isin("1", "2"), "whatsapp").when(urgency.isin("3", "4"), "email"),
+        "email_subject": F.when(urgency == "1", F.concat(F.lit("Commande URGENTE "), key.cast("string"))).otherwise(F.concat(F.lit("commande "), key.cast("string"))),
+        "email_id": F.concat(F.lit("mail-"), key.cast("string")),
+        "confiance": 40 + key % 61,
+        "created_at": F.col("o_orderdate"),
+    }
+    orders = read(spark, sf_dir, "orders")
+    if not lines:
+        return orders.select(*[c.alias(name) for name, c in own.items()])
+    size = F.col("p_size")
+    grammage = F.when(size % 5 != 0, 40 + 10 * (size % 7)).cast("long")
+    own |= {
+        "produit_id": F.col("produit_id"),
+        "nature_produit": F.col("p_name"),
+        "quantite": F.col("quantite"),
+        "quantite_livree": F.col("quantite_livree"),
+        "reste_a_livrer": F.coalesce("quantite", F.lit(0.0)) - F.coalesce("quantite_livree", F.lit(0.0)),
+        "code_article": F.when(key % 4 == 0, F.lit(None)).when(key % 4 == 1, F.lit("")).otherwise(F.concat(F.lit("KB"), grammage.cast("string"), F.lit("L"), size.cast("string"))),
+        "grammage": grammage,
+        "laize": size.cast("long"),
+        "validated_at": F.when(F.col("o_orderstatus") == "F", F.col("shipped")),
+    }
+    each = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.sum("l_quantity").alias("quantite"),
         F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).otherwise(0.0)).alias("quantite_livree"),
         F.min("l_partkey").alias("p_partkey"),
         F.max("l_shipdate").alias("shipped"),
     )
     parts = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")
-    x = read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(parts, "p_partkey", "left")
+    x = orders.join(each, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(parts, "p_partkey", "left")
     x = x.join(produits(spark, sf_dir).withColumnRenamed("id", "produit_id"), F.col("p_type") == F.col("type"), "left")
-    key, size = F.col("o_orderkey"), F.col("p_size")
-    grammage = F.when(size % 5 != 0, 40 + 10 * (size % 7)).cast("long")
-    status = F.when(F.col("o_orderstatus") == "P", "en_attente").when(F.col("o_orderstatus") == "F", "validee").otherwise("rejetee")
-    urgency = F.substring("o_orderpriority", 1, 1)
-    return x.select(
-        key.alias("id"),
-        F.col("o_custkey").alias("client_id"),
-        "produit_id",
-        F.when(key % 10 != 0, F.concat(F.lit("BC-"), F.lpad(key.cast("string"), 8, "0"))).alias("numero_commande"),
-        F.col("p_name").alias("nature_produit"),
-        "quantite",
-        "quantite_livree",
-        (F.coalesce("quantite", F.lit(0.0)) - F.coalesce("quantite_livree", F.lit(0.0))).alias("reste_a_livrer"),
-        F.col("o_totalprice").alias("prix_total"),
-        F.when(key % 4 == 0, F.lit(None)).when(key % 4 == 1, F.lit("")).otherwise(F.concat(F.lit("KB"), grammage.cast("string"), F.lit("L"), size.cast("string"))).alias("code_article"),
-        grammage.alias("grammage"),
-        size.cast("long").alias("laize"),
-        F.when(key % 3 == 0, "Kraft Blanchi").when(key % 3 == 1, F.lit("")).alias("type_papier"),
-        F.when(key % 5 != 0, "US").alias("unite"),
-        F.when(key % 3 != 0, F.col("o_totalprice") / 4).alias("prix_unitaire"),
-        F.when(key % 7 != 0, F.when(key % 2 == 0, "MAD").otherwise("EUR")).alias("devise"),
-        F.when(key % 9 == 0, F.lit("livraison urgente svp")).when(key % 9 == 1, F.lit("")).alias("informations_supplementaires"),
-        status.alias("statut"),
-        F.when(urgency.isin("1", "2"), "whatsapp").when(urgency.isin("3", "4"), "email").alias("source"),
-        F.when(urgency == "1", F.concat(F.lit("Commande URGENTE "), key.cast("string"))).otherwise(F.concat(F.lit("commande "), key.cast("string"))).alias("email_subject"),
-        F.concat(F.lit("mail-"), key.cast("string")).alias("email_id"),
-        (40 + key % 61).alias("confiance"),
-        F.col("o_orderdate").alias("created_at"),
-        F.when(F.col("o_orderstatus") == "F", F.col("shipped")).alias("validated_at"),
-    )
+    return x.select(*[own[name].alias(name) for name in COLUMNS])
+
+
+#: The columns of orders, in their order.
+COLUMNS = (
+    "id", "client_id", "produit_id", "numero_commande", "nature_produit", "quantite", "quantite_livree", "reste_a_livrer", "prix_total", "code_article", "grammage", "laize", "type_papier", "unite", "prix_unitaire", "devise",
+    "informations_supplementaires", "statut", "source", "email_subject", "email_id", "confiance", "created_at", "validated_at",
+)
 
 
-def domain(spark: SparkSession, sf_dir: str) -> Domain:
-    return Domain(clients(spark, sf_dir), produits(spark, sf_dir), commandes(spark, sf_dir))
+def domain(spark: SparkSession, sf_dir: str, lines: bool = True) -> Domain:
+    return Domain(clients(spark, sf_dir), produits(spark, sf_dir), commandes(spark, sf_dir, lines))
 
 
 #: The same tables as common table expressions, for DuckDB.

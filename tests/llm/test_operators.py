@@ -527,6 +527,45 @@ def test_licenses(spark, docs, corpus):
     assert got == want and want
 
 
+def plain_scan(text):
+    """Containment of every template in plain Python: words, runs of five, stretches of a template's runs."""
+    words = re.findall(r"[0-9a-z\x80-\U0010FFFF]+", (text or "").lower())
+    runs = [tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+    best = {}
+    for name, notices in licenses.TEMPLATES.items():
+        for notice in notices:
+            w = re.findall(r"[0-9a-z\x80-\U0010FFFF]+", notice.lower())
+            own = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+            stretch = []
+            for i in [i for i, r in enumerate(runs) if r in own] + [len(runs) + 10**9]:
+                if stretch and i - stretch[-1] > len(own):
+                    share = len({runs[j] for j in stretch}) / len(own)
+                    if share >= 0.75:
+                        key, found = (name, stretch[0]), (stretch[-1] - stretch[0] + 5, share)
+                        best[key] = max(best.get(key, found), found)
+                    stretch = []
+                stretch.append(i)
+    return sorted((*k, *v) for k, v in best.items())
+
+
+def test_licenses_equal_plain_containment(spark, corpus):
+    texts = {r["doc_id"]: r["text"] for r in corpus.collect()}
+    rng = np.random.default_rng(8)
+    notices = [n for group in licenses.TEMPLATES.values() for n in group]
+    for i in range(60):
+        words = " ".join(f"w{x}" for x in rng.integers(0, 99, int(rng.integers(0, 60)))).split()
+        for n in rng.choice(len(notices), 2):
+            w = notices[n].split()
+            a = int(rng.integers(0, 1 + len(w) // 3))
+            words += [*w[a : len(w) - int(rng.integers(0, 1 + len(w) // 6))], *(f"v{x}" for x in rng.integers(0, 99, int(rng.integers(0, 40))))]
+        texts[10**6 + i] = " ".join(words)
+    got = defaultdict(list)
+    for r in licenses.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        got[r["doc_id"]].append((r["license"], r["start_word"], r["n_words"], r["containment"]))
+    want = {d: found for d, t in texts.items() if (found := plain_scan(t))}
+    assert {d: sorted(x) for d, x in got.items()} == want and len(want) > 30
+
+
 def test_license_retrieval_of_damaged_notices():
     scanner, rng = licenses.Scanner(), np.random.default_rng(3)
     texts, want = [], []

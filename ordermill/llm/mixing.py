@@ -2,8 +2,8 @@
 
 Each document draws an exponential key -ln(u) / w, where u comes from a hash of its doc_id and w is its quality weight.
 Within a source the documents sorted by key are taken, after whole epochs, up to the source's budget. The prefix sums
-are two-level: keys fall into BUCKETS ordered buckets a source, bucket totals are summed up by source, and a window runs
-within (source, bucket) only, so that a source with a third of all rows is spread over many tasks."""
+are two-level: keys fall into ordered buckets of about IN_BUCKET documents, bucket totals are summed up by source, and a
+window runs within (source, bucket) only, so that a source with a third of all rows is spread over many tasks."""
 
 from __future__ import annotations
 
@@ -15,7 +15,8 @@ from .common import WORD, materialize, table
 WEIGHTS = (5, 2, 1)
 #: No document is repeated more often, and no target is above so many times its source.
 MOST = 3
-BUCKETS = 1024
+#: Documents of a source in a bucket, about: a source has as many buckets as that takes.
+IN_BUCKET = 2_000
 #: Characters that speak against a text, for the default weight.
 JUNK = "#$%&*!|<>{}[]~^_=+@0123456789"
 
@@ -27,9 +28,9 @@ def quality(text: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.25), F.lit(1.0) - F.lit(4.0) * junk / F.nullif(n, F.lit(0))), F.lit(0.25))
 
 
-def draw(doc_id: Column) -> Column:
-    """A number between 0 and 1 from the doc_id alone, so that reruns agree."""
-    digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 13)
+def draw(doc_id: Column, text: Column) -> Column:
+    """A number between 0 and 1 from the doc_id alone, so that reruns agree; without a doc_id from the text."""
+    digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.concat(F.lit("t"), F.md5(text.cast("binary"))), F.lit("")).cast("binary")), 1, 13)
     return (F.conv(digits, 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
@@ -54,7 +55,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, weight: Col
 
     taken is a whole number of times the size, 0 to MOST: a source's whole epochs, and once more for the documents that
     come first by key, up to the budget left; the document that crosses it is in if at least half of it fits. A null
-    text has no words, a null source is a source, which is last. A null doc_id draws like one fixed id. Rows that repeat
+    text has no words, a null source is a source, which is last. A null doc_id draws by its text. Rows that repeat
     each count; rows alike in all columns may change places. An empty table gives no rows. row_key adds a column of that
     name to tell rows by."""
     text = F.col("text")
@@ -63,13 +64,16 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, weight: Col
         F.col("source"),
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("skey"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        (-F.log(draw(F.col("doc_id"))) / (quality(text) if weight is None else weight)).alias("key"),
+        (-F.log(draw(F.col("doc_id"), text)) / (quality(text) if weight is None else weight)).alias("key"),
         *([] if row_key is None else [row_key.alias("row_key")]),
     )
-    base = base.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
     base = materialize(base, "sized")
+    sizes = materialize(base.groupBy("skey").agg(F.max("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("documents")), "sources")
+    buckets = F.greatest(F.ceil(F.col("documents") / IN_BUCKET), F.lit(1))  # keys are at most 4 times as far apart as for weight 1
+    base = base.join(sizes.select("skey", buckets.alias("buckets")), "skey")
+    base = base.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")), F.col("buckets") - 1).cast("long")).drop("buckets")
     sums = base.groupBy("skey", "bucket").agg(F.sum("size").alias("words"))
-    sizes = base.groupBy("skey").agg(F.max("source").alias("source"), F.sum("size").alias("source_size"))
+    sizes = sizes.drop("documents")
     first = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("before", F.coalesce(F.sum("words").over(first), F.lit(0))).join(targets(sizes, weights), "skey")
     within = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -98,7 +102,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    -ln((('0x' || substring(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+    -ln((('0x' || substring(md5(coalesce(doc_id::VARCHAR, 't' || md5(text), '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
     / coalesce(greatest(0.25::DOUBLE, 1.0::DOUBLE - 4.0::DOUBLE * (length(text) - length(translate(text, '#$%&*!|<>{}[]~^_=+@0123456789', ''))) / nullif(length(text), 0)), 0.25::DOUBLE) AS key
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),

@@ -23,9 +23,9 @@ from .common import materialize, small_batches, table
 
 CAPACITY = 2048
 #: Distinct words whose ids a worker remembers, and the longest that it does: this bounds what it holds.
-REMEMBERED, REMEMBERED_CHARS = 50_000, 64
+REMEMBERED, REMEMBERED_CHARS = 200_000, 32
 #: Pieces of a length in a part that is ranked by itself: a length has as many parts as that takes.
-RANKED = 100_000
+RANKED = 2_000
 #: Code points of an odd text that are tokenized at once, where it has places to cut.
 CHUNK = 1 << 15
 _ODD_SPACE = [chr(c) for c in (*range(0x09, 0x0A), *range(0x0B, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]

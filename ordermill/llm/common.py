@@ -36,20 +36,38 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where it is unset."""
+    """The folder that spark.checkpoint.dir names; one in the warehouse, which a cluster shares too, only where it is unset."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate")
     return context.getCheckpointDir()
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are materialized inside go when it ends, but for those that `keep` hands on to what is around."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            _remove(spark, path)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: it cuts lineage, survives lost executors, and lets
-    Spark plan with its true size. The table goes when the session's process ends."""
+    Spark plan with its true size. The table goes with the scratch that it is made in, or when the process ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    outer = _SCRATCH[: -1 if keep else None]
+    if outer:
+        outer[-1].append(path)
+    else:
+        atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -14,6 +14,12 @@ def connected(links: DataFrame) -> DataFrame:
     Alternates large and small stars (Kiveris et al. 2014): each id's neighbours are joined to the smallest one, until
     nothing changes. A step keeps the number of links and aggregates by partial minima, so that an id with very many links is
     only a key of a join, which Spark can split; the number of steps grows with the logarithm of the longest path."""
+    with scratch(links.sparkSession):
+        edges = materialize(_settled(links), "settled", keep=True)
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+
+
+def _settled(links: DataFrame) -> DataFrame:
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     edges = materialize(edges, "links")
     while True:
@@ -29,5 +35,4 @@ def connected(links: DataFrame) -> DataFrame:
         edges = after
         both = after.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(after.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         if both.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1").isEmpty():
-            break
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+            return edges

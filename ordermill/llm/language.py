@@ -163,9 +163,9 @@ def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
     return x.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-#: Texts whose best language leads the second best by less are rejected; one that is the language of its landmarks leads
-#: by about 2, one that is like all languages alike by 0.
-LEAST_LEAD = 0.002
+#: Texts whose best language leads the second best by less are rejected: one in the language of its landmarks leads by
+#: about 2, one of which the model can tell nothing by 0.
+LEAST_LEAD = 1e-6
 
 
 def with_language(docs: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, as_bytes, materialize, mix, shingles, shuffle_partitions, small_batches, table, word_hashes
+from .common import WORD, as_bytes, materialize, mix, scratch, shingles, shuffle_partitions, small_batches, table, word_hashes
 from .components import connected
 
 WIDTH = 5
@@ -354,8 +354,9 @@ def links(sets: DataFrame) -> DataFrame:
 def regrouped(star: DataFrame, roots: DataFrame) -> DataFrame:
     """The members of the clusters that are not one component yet, with their components and the next pivot."""
     star = star.drop("pivot", "root").join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    star = materialize(star, "members")
     open_ = star.groupBy("cluster").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("pivot")).filter("x <> y")
-    return materialize(star.join(open_.select("cluster", "pivot"), "cluster"), "members")
+    return star.join(materialize(open_.select("cluster", "pivot"), "open"), "cluster")
 
 
 def ranges(entries: int, each: int) -> int:
@@ -466,9 +467,10 @@ def _rooted(docs: DataFrame) -> DataFrame:
                 found = [x for x in sets_of(part) if len(x)]
                 yield pd.DataFrame({"node": np.array([name_of(x) for x in found], np.int64), "n": np.array([len(x) for x in found], np.int64), "bits": [sketch(x) for x in found], "found": [x.tobytes() for x in found]})
 
-    sets = docs.join(able, "doc_id", "left_semi").select("text").mapInPandas(sets_again, "node long, n long, bits binary, found binary")
-    sets = materialize(sets.dropDuplicates(["node"]), "sets")
-    roots = materialize(connected(links(sets)), "roots")
+    with scratch(docs.sparkSession):
+        sets = docs.join(able, "doc_id", "left_semi").select("text").mapInPandas(sets_again, "node long, n long, bits binary, found binary")
+        sets = materialize(sets.dropDuplicates(["node"]), "sets")
+        roots = materialize(connected(links(sets)), "roots", keep=True)
     nodes = nodes.join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     nodes = nodes.join(least, "root").select("node", "root", "component_id")

@@ -22,8 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship_code(spark: SparkSession) -> None:
-    """Give the executors this package, once a context: they need not have the repository on their path."""
+#: Rows and bytes in an Arrow batch, where a row may hold a long text or two large sets.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def prepare(spark: SparkSession) -> None:
+    """Give the executors this package, once a context: they need not have the repository on their path. Larger Arrow
+    batches of the session come down to BATCHES, as results are computed after their operator has returned."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= int(BATCHES[rows]):
+        for name, value in BATCHES.items():
+            spark.conf.set(name, value)
     context = spark.sparkContext
     if getattr(context, "_ordermill_shipped", False):
         return
@@ -80,10 +89,6 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-#: Rows and bytes in an Arrow batch, where a row may hold a long text or two large sets.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
-
-
 @contextlib.contextmanager
 def small_batches(spark: SparkSession):
     """What runs inside gets batches within BATCHES from Spark; the session's own settings come back after."""

@@ -22,6 +22,8 @@ from .common import held_out, letters, materialize, table
 WIDTHS = (512, 2048, 5632)
 #: Documents of each language to learn from, landmarks among them, languages at most (those of most documents), the ridge.
 SAMPLE, LANDMARKS, LANGUAGES, RIDGE = 750, 48, 256, 1e-2
+#: Parts of a language that are ranked by themselves first.
+PARTS = 64
 UNKNOWN = "und"
 _ROWS, _CHARS = 256, 1 << 19
 _BASE = np.concatenate([[0], np.cumsum(WIDTHS)])
@@ -127,9 +129,11 @@ def train(docs: DataFrame) -> dict:
     x = x.filter(~held_out(4, 2) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
     ids = x.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct()
     most = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
-    # each task ranks its own rows first and passes on no more than are asked for
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = materialize(ids.join(F.broadcast(most), "lang").withColumn("rank", rank).filter(F.col("rank") <= SAMPLE), "languages")
+    # each task ranks its own rows first and passes on no more than are asked for; then so do PARTS parts of a language
+    rank = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy("h", "doc_id"))
+    ids = ids.join(F.broadcast(most), "lang").withColumn("part", F.pmod("h", F.lit(PARTS)))
+    ids = ids.withColumn("rank", rank("part")).filter(F.col("rank") <= SAMPLE).withColumn("rank", rank()).filter(F.col("rank") <= SAMPLE)
+    ids = materialize(ids.drop("part"), "languages")
 
     @F.pandas_udf("binary")
     def bits(texts: pd.Series) -> pd.Series:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import fingerprints, html, language, licenses, mixing, ngram_join, packing, quality, topk, toxicity
-from .common import ship_code
+from .common import prepare
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def _shipped(query: Query) -> Query:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_code(spark)
+        prepare(spark)
         return query(spark, sf_dir)
 
     return run

@@ -22,6 +22,8 @@ from .learning import labelled_sample
 
 BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE, DECAY = 8, 64, 0.02, 1e-5
+#: Thresholds are calibrated on scores out of so many folds.
+FOLDS = 3
 #: A word must be in so many training texts to have an embedding.
 LEAST_TEXTS = 3
 THRESHOLD = 0.7
@@ -69,14 +71,14 @@ def _train(ids: list[np.ndarray], y: np.ndarray, seed: int = 7) -> dict:
     row = np.zeros(_EMPTY + 1, np.int32)
     row[known] = np.arange(1, len(known) + 1)
     ids = [row[x] for x in ids]
-    e = rng.normal(0, 0.1, (len(known) + 1, SIZE))
+    e = rng.normal(0, 0.1, (len(known) + 1, SIZE)).astype(np.float32)
     e[1:, 0] = odds[known] / 3
     e[0] = 0
-    kernels = [rng.normal(0, 0.2, (w, SIZE, FILTERS)) for w in WIDTHS]
+    kernels = [rng.normal(0, 0.2, (w, SIZE, FILTERS)).astype(np.float32) for w in WIDTHS]
     for k in kernels:
         k[:, 0, 0] = 1 / len(k)
-    out = np.full(FILTERS * len(WIDTHS), 0.1)
-    params = [e, *kernels, np.zeros(len(out)), out, np.array([np.log(rate / (1 - rate))])]
+    out = np.full(FILTERS * len(WIDTHS), 0.1, np.float32)
+    params = [e, *kernels, np.zeros_like(out), out, np.array([np.log(rate / (1 - rate))], np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
     for _ in range(EPOCHS):
@@ -89,7 +91,7 @@ def _train(ids: list[np.ndarray], y: np.ndarray, seed: int = 7) -> dict:
             x = e[flat[:, 0]] + e[flat[:, 1]]
             top, place = _forward(x, starts, kernels, bias)
             h = np.maximum(top, 0)
-            d = (1 / (1 + np.exp(-np.clip(h @ out + c, -30, 30))) - y[some]) / len(some)
+            d = ((1 / (1 + np.exp(-np.clip(h @ out + c, -30, 30))) - y[some]) / len(some)).astype(np.float32)
             dh = d[:, None] * out * (top > 0)
             de, dk = np.zeros_like(e), []
             for i, (w, kernel) in enumerate(zip(WIDTHS, kernels, strict=True)):
@@ -153,7 +155,7 @@ def _threshold(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(rows: list[tuple[str, int, str | None]]) -> dict:
-    """Learns from four fifths of (text, label, lang), calibrates the thresholds on the rest, by turns, then learns from all."""
+    """Learns from (text, label, lang) without a fold, calibrates the thresholds on it, by turns, then learns from all."""
     texts, y = [r[0] for r in rows], np.array([float(r[1]) for r in rows])
     if len(rows) == 0 or y.min() == y.max():
         constant = float(y[0]) if len(y) else 0.0
@@ -166,9 +168,9 @@ def fit(rows: list[tuple[str, int, str | None]]) -> dict:
             np.add.at(words[:, names.index(r[2])], x[:-_PAD, 0], 1)
     words = np.log((words + 0.05) / (words.sum(axis=0) + 0.05 * BUCKETS))
     words[_EMPTY] = 0
-    fold = np.arange(len(rows)) % 5
+    fold = np.arange(len(rows)) % FOLDS
     out_of_fold = np.zeros(len(rows))
-    for k in range(5):
+    for k in range(FOLDS):
         part = _train([x for x, f in zip(ids, fold, strict=True) if f != k], y[fold != k])
         for i in np.flatnonzero(fold == k):
             out_of_fold[i] = logits(part, ids[i], np.array([0]))[0]

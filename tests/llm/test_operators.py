@@ -381,8 +381,8 @@ def test_toxicity_is_learned():
 def test_toxicity_is_calibrated_on_all_rows(monkeypatch):
     seen, train = [], toxicity._train
     monkeypatch.setattr(toxicity, "_train", lambda ids, y: seen.append(len(ids)) or train(ids[:60], y[:60]))
-    toxicity.fit([(f"word{i % 50} " + "nasty" * (i % 4 == 0), int(i % 4 == 0), "xx") for i in range(5200)])
-    assert seen == [4160] * 5 + [5200]
+    toxicity.fit([(f"word{i % 50} " + "nasty" * (i % 4 == 0), int(i % 4 == 0), "xx") for i in range(5250)])
+    assert seen == [3500] * 3 + [5250]
 
 
 def test_toxicity_scores_are_those_of_a_plain_forward_pass():

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from pathlib import Path
@@ -102,6 +104,13 @@ def small_batches(spark: SparkSession):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+def release() -> None:
+    """Give what the C library holds of freed memory back to the system, where it can: after training, on the driver."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def held_out(divisor: int, remainder: int):
     """crc32 of the doc_id as text has this remainder. A null doc_id is not held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == remainder, F.lit(False))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, letters, materialize, table
+from .common import held_out, letters, materialize, release, table
 
 #: Columns for the n-grams of each length.
 WIDTHS = (512, 2048, 5632)
@@ -142,7 +142,9 @@ def train(docs: DataFrame) -> dict:
     found = x.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("lang", "rank").agg(F.min("text").alias("text")).select("lang", "rank", bits("text").alias("bits")).collect()
     found = sorted(found, key=lambda r: (r["rank"], r["lang"]))
     marks = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in found), np.uint8).reshape(-1, (int(_BASE[-1]) + 7) // 8), axis=1, count=int(_BASE[-1])).astype(bool)
-    return fit(marks, [r["lang"] for r in found])
+    model = fit(marks, [r["lang"] for r in found])
+    release()
+    return model
 
 
 def language_column(model: dict):

@@ -46,7 +46,7 @@ HELD, RANGE, SETS = 2_000_000, 1 << 18, 1 << 13
 #: Signatures for each shingle of a set, about.
 EACH = 4
 #: Stars before the pairs that are left are compared in blocks, and members of a cluster in a block.
-STARS, MEMBERS = 3, 256
+STARS, MEMBERS = 1, 256
 _U = np.uint64
 
 

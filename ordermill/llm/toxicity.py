@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, letter_words, table
+from .common import held_out, letter_words, release, table
 from .learning import labelled_sample
 
 BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
@@ -155,21 +155,27 @@ def _threshold(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(rows: list[tuple[str, int, str | None]]) -> dict:
-    """Learns from (text, label, lang) without a fold, calibrates the thresholds on it, by turns, then learns from all."""
+    """Learns from (text, label, lang) without a fold, calibrates the thresholds on it, by turns, then learns from all.
+
+    The list is emptied on the way."""
     texts, y = [r[0] for r in rows], np.array([float(r[1]) for r in rows])
     if len(rows) == 0 or y.min() == y.max():
         constant = float(y[0]) if len(y) else 0.0
         return {"constant": 0.99 if constant else 0.01}
     ids = [word_ids([t])[0] for t in texts]
-    names = sorted({r[2] for r in rows if r[2] is not None})
+    langs = [r[2] for r in rows]
+    n = len(rows)
+    rows.clear()  # the words are all that is needed of the texts
+    del texts
+    names = sorted({x for x in langs if x is not None})
     words = np.zeros((_EMPTY + 1, max(1, len(names))))
-    for x, r in zip(ids, rows, strict=True):
-        if r[2] is not None:
-            np.add.at(words[:, names.index(r[2])], x[:-_PAD, 0], 1)
+    for x, lang in zip(ids, langs, strict=True):
+        if lang is not None:
+            np.add.at(words[:, names.index(lang)], x[:-_PAD, 0], 1)
     words = np.log((words + 0.05) / (words.sum(axis=0) + 0.05 * BUCKETS))
     words[_EMPTY] = 0
-    fold = np.arange(len(rows)) % FOLDS
-    out_of_fold = np.zeros(len(rows))
+    fold = np.arange(n) % FOLDS
+    out_of_fold = np.zeros(n)
     for k in range(FOLDS):
         part = _train([x for x, f in zip(ids, fold, strict=True) if f != k], y[fold != k])
         for i in np.flatnonzero(fold == k):
@@ -216,7 +222,9 @@ def score_column(model: dict):
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
-    return fit(labelled_sample(docs, labels, "toxic", ~held_out(3, 1)))
+    model = fit(labelled_sample(docs, labels, "toxic", ~held_out(3, 1)))
+    release()
+    return model
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, model: dict | None = None) -> DataFrame:

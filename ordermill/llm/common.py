@@ -8,6 +8,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -105,12 +106,22 @@ def small_batches(spark: SparkSession):
 
 
 def release() -> None:
-    """Give what the C library holds of freed memory back to the system, where it can: after training, on the driver."""
+    """Give what the allocators hold of freed memory back to the system, where they can: after training on the driver, and
+    after each task of a Python worker, as workers live on from stage to stage."""
+    import pyarrow
+
     gc.collect()
+    pyarrow.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def releasing(batches: Iterator) -> Iterator:
+    """The batches, and after the last of them release()."""
+    yield from batches
+    release()
+
+
 def held_out(divisor: int, remainder: int):
     """crc32 of the doc_id as text has this remainder. A null doc_id is not held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == remainder, F.lit(False))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import releasing, table
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|\s(hidden)(?=[\s/>]|\Z)", re.I)
@@ -353,7 +353,7 @@ def _best_text(root: Node) -> str:
 def text_column():
     @F.pandas_udf("string")
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for pages in batches:
+        for pages in releasing(batches):
             yield pages.map(main_text, na_action=None) if len(pages) else pd.Series([], dtype=object)
 
     return extract

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, letters, materialize, release, table
+from .common import held_out, letters, materialize, release, releasing, table
 
 #: Columns for the n-grams of each length.
 WIDTHS = (512, 2048, 5632)
@@ -152,7 +152,7 @@ def language_column(model: dict):
 
     @F.pandas_udf("lang_pred string, score double, lead double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in releasing(batches):
             names, scores, leads = predict(model, list(texts))
             yield pd.DataFrame({"lang_pred": names, "score": scores, "lead": leads})
 

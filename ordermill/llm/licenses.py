@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, table
+from .common import mix, releasing, table
 
 WIDTH, CONTAINED, BANDS = 5, 75, 44
 _U = np.uint64
@@ -192,7 +192,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None
     @F.pandas_udf("array<struct<license: string, start_word: bigint, n_words: bigint, containment: double>>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         names = ("license", "start_word", "n_words", "containment")
-        for texts in batches:
+        for texts in releasing(batches):
             rows = [x for i in range(0, len(texts), 400) for x in scanner.scan(list(texts[i : i + 400]))]
             yield pd.Series([[dict(zip(names, m, strict=True)) for m in x] for x in rows], dtype=object)
 

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, as_bytes, materialize, mix, scratch, shingles, shuffle_partitions, small_batches, table, word_hashes
+from .common import WORD, as_bytes, materialize, mix, releasing, scratch, shingles, shuffle_partitions, small_batches, table, word_hashes
 from .components import connected
 
 WIDTH = 5
@@ -77,7 +77,7 @@ def node_rows(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("n_shingles long, node long")
     def names(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in releasing(batches):
             found = [(len(x), name_of(x) if len(x) else None) for _, part in _parts(list(texts)) for x in sets_of(part)]
             yield pd.DataFrame({"n_shingles": [n for n, _ in found], "node": pd.array([x for _, x in found], "Int64")})
 
@@ -142,7 +142,7 @@ def shared_shingles(docs: DataFrame, hash_ranges: int, set_ranges: int) -> DataF
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def each():
-            for frame in frames:
+            for frame in releasing(frames):
                 for _, part in _parts(list(frame["text"])):
                     yield from ((name_of(found), mix(found)) for found in sets_of(part) if len(found))
 
@@ -234,7 +234,7 @@ def sharing(sets: DataFrame, hash_ranges: int, set_ranges: int) -> DataFrame:
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def each():
-            for frame in frames:
+            for frame in releasing(frames):
                 for node, data in zip(frame["node"], frame["found"], strict=True):
                     yield int(node), signatures(np.frombuffer(data, np.uint64))
 
@@ -462,7 +462,7 @@ def _rooted(docs: DataFrame) -> DataFrame:
     able = materialize(nodes.withColumn("owner", owner_of(F.col("node"))).join(shared, "owner").filter(f"100 * shared >= {SIMILARITY} * n").select("doc_id"), "able")
 
     def sets_again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in releasing(frames):
             for _, part in _parts(list(frame["text"])):
                 found = [x for x in sets_of(part) if len(x)]
                 yield pd.DataFrame({"node": np.array([name_of(x) for x in found], np.int64), "n": np.array([len(x) for x in found], np.int64), "bits": [sketch(x) for x in found], "found": [x.tobytes() for x in found]})

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table
+from .common import materialize, releasing, small_batches, table
 
 CAPACITY = 2048
 #: Distinct words whose ids a worker remembers, and the longest that it does: this bounds what it holds.
@@ -143,7 +143,7 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
 
     def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = _ids(path)
-        for frame in frames:
+        for frame in releasing(frames):
             rows = []
             for doc, missing, text in zip(frame["doc_id"], frame["missing"], frame["text"], strict=True):
                 data = ids.of(text or "") + b"\0\0\0\0"

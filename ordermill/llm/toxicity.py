@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, letter_words, release, table
+from .common import held_out, letter_words, release, releasing, table
 from .learning import labelled_sample
 
 BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
@@ -215,7 +215,7 @@ def score_column(model: dict):
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in releasing(batches):
             yield pd.Series(np.concatenate([scores(model, part) for part in _parts(list(texts))] or [np.zeros(0)]))
 
     return score

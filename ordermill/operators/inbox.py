@@ -63,6 +63,28 @@ def text_files(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("txt"
     return x.select("path", F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.lit("")).alias("text"))
 
 
+def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path, text of the PDF attachments of a folder, pages joined by line ends; a file that cannot be read, or any where no
+    reader for PDF is installed, has an empty text."""
+
+    @F.pandas_udf("string")
+    def read(contents: pd.Series) -> pd.Series:
+        import io
+
+        def one(content):
+            try:
+                from pypdf import PdfReader
+
+                return "\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages)
+            except Exception:  # whatever a broken file or a missing reader raises
+                return ""
+
+        return contents.map(one).astype(object)
+
+    x = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(folder)
+    return x.select("path", read("content").alias("text"))
+
+
 def decoded_header(header: Column) -> Column:
     """A mail header without RFC 2047 encodings (first part only, as the domain reads it); needs Python's mail parser."""
     @F.pandas_udf("string")

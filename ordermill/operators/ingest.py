@@ -24,7 +24,7 @@ FILLABLE = ("type_produit", "nature_produit", "quantite", "unite", "prix_unitair
 
 
 def requested_name(nom: Column, email: Column, telephone: Column) -> Column:
-    return F.when(T.blank(F.trim(F.coalesce(nom, F.lit("")))), F.coalesce(F.nullif(email, F.lit("")), F.nullif(telephone, F.lit("")), F.lit("Client Inconnu"))).otherwise(nom)
+    return F.when(T.blank(T.trimmed(F.coalesce(nom, F.lit("")))), F.coalesce(F.nullif(email, F.lit("")), F.nullif(telephone, F.lit("")), F.lit("Client Inconnu"))).otherwise(nom)
 
 
 def _requested(requests: DataFrame) -> DataFrame:

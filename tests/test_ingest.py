@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import unicodedata
 
 import pytest
@@ -183,6 +184,7 @@ def test_files_come_back(spark, tmp_path):
     (tmp_path / "b.csv").write_bytes(b"\xff\xfe\x00")
     (tmp_path / "c.pdf").write_bytes(b"x")
     assert {r["path"].rsplit("/", 1)[1]: r["text"] for r in inbox.text_files(spark, str(tmp_path)).collect()} == {"a.txt": "été", "b.csv": ""}
+    assert [r["text"] for r in inbox.pdf_files(spark, str(tmp_path)).collect()] == [""]
     for name in ("backup_20010801_000000.db", "backup_20010802_000000.db.gz", "backup_x.txt", "other.db", "backup_odd.db"):
         (tmp_path / name).write_bytes(b"xx")
     listed = export.list_folder(spark, str(tmp_path))
@@ -199,3 +201,40 @@ def test_mail_headers_and_unread(spark):
     x = spark.createDataFrame([("=?utf-8?b?w6l0w6k=?=",), ("plain",), (None,), ("=?nope?b?w6l0w6k=?=",)], "h string")
     assert [r[0] for r in x.select(inbox.decoded_header(F.col("h"))).collect()] == ["été", "plain", None, "=?nope?b?w6l0w6k=?="]
     assert metrics.unread(spark.createDataFrame([(True,), (False,), (None,)], "is_read boolean")).first()[0] == 2
+
+
+def test_streams_restart_where_they_stopped(spark, tmp_path):
+    """A schedule hands on new rows alone; a stream run again over the same checkpoint adds nothing."""
+    from ordermill.streaming import feeds
+
+    x = spark.createDataFrame([(i, i % 3 == 0) for i in range(9)], "id long, odd boolean")
+    x.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = lambda: feeds.feed(spark, str(tmp_path / "in"), x.schema)
+    point = str(tmp_path / "point")
+    assert feeds.run_available(feeds.notifications(stream(), 5), "n", point).count() == 3
+    assert feeds.run_available(feeds.notifications(stream(), 5), "n", point).count() == 0
+    seen = []
+    query = feeds.every(stream(), 1, str(tmp_path / "other"), lambda batch, n: seen.append((n, batch.count())))
+    until = time.monotonic() + 60
+    while not seen and time.monotonic() < until:  # the next turn would be in an hour
+        time.sleep(0.2)
+    query.stop()
+    assert seen == [(0, 9)]
+
+
+def test_orders_are_overdue_once_unless_validated(spark, tmp_path):
+    from ordermill.streaming import feeds
+
+    rows = [(1, "2001-01-01 00:00:00", True), (2, "2001-01-01 00:00:00", True), (2, "2001-01-01 05:00:00", False), (3, "2001-01-03 12:00:00", True), (4, "2001-01-01 10:00:00", True), (9, "2001-01-04 00:00:00", False)]
+    x = spark.createDataFrame(rows, "id long, at string, pending boolean").withColumn("at", F.col("at").cast("timestamp"))
+    x.coalesce(1).write.parquet(str(tmp_path / "in"))
+    found = feeds.run_available(feeds.overdue(feeds.feed(spark, str(tmp_path / "in"), x.schema).withWatermark("at", "0 seconds"), 24), "o", str(tmp_path / "point"))
+    assert sorted((r["id"], str(r["since"])) for r in found.collect()) == [(1, "2001-01-01 00:00:00"), (4, "2001-01-01 10:00:00")]
+
+
+def test_webhook_lines_that_are_no_json(spark):
+    from ordermill.streaming import feeds
+
+    lines = spark.createDataFrame([('{"From": "whatsapp:+1", "Body": "hi", "NumMedia": "x"}',), ("not json",), (None,)], "value string")
+    got = [(r["sender"], r["phone"], r["n_media"], r["kind"], r["content"]) for r in feeds.webhook_messages(lines).collect()]
+    assert got == [("whatsapp:+1", "+1", 0, "text", "Message: hi"), ("N/A", "N/A", 0, "unknown", ""), ("N/A", "N/A", 0, "unknown", "")]

@@ -219,6 +219,16 @@ def order_number(number: Column, id_: Column) -> Column:
     return filled(number, F.concat(F.lit("CMD-"), id_.cast("string")))
 
 
+def product_shown(kind: Column, description: Column) -> Column:
+    """The product's type, or else what the order says it is, or N/A."""
+    return filled(kind, filled(description, F.lit("N/A")))
+
+
+def amount_shown(quantity: Column, unit: Column) -> Column:
+    """A quantity with its unit; N/A where there is none, and no unit where none is given."""
+    return F.concat(F.coalesce(quantity.cast("string"), F.lit("N/A")), F.when(blank(unit), F.lit("")).otherwise(F.concat(F.lit(" "), unit)))
+
+
 def delivery_shown(date: Column) -> Column:
     """A delivery date, or that it is to be confirmed where there is none (or one written out as None)."""
     return F.when(blank(date) | (date == "None"), F.lit("À confirmer")).otherwise(date)

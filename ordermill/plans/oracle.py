@@ -289,6 +289,7 @@ _MORE: dict[str, str] = {
     "f6_phone_in": "SELECT id, CASE WHEN telephone IS NOT NULL THEN telephone END AS phone, coalesce(telephone, nom) AS tail FROM clients",
     "f12_file_kind": "SELECT id, ['pdf', 'image', 'text', 'other', 'text', 'image'][id % 6 + 1] AS kind FROM commandes",
     "f15_shown": "SELECT id, coalesce(numero_commande, 'CMD-' || id) AS number, CASE WHEN id % 3 = 1 THEN '2001-08-09' ELSE 'À confirmer' END AS delivery FROM commandes",
+    "f15_product": "SELECT c.id, coalesce(CASE WHEN c.id % 3 <> 0 THEN type END, nature_produit, 'N/A') AS product, coalesce(quantite::BIGINT::VARCHAR, 'N/A') || coalesce(' ' || unite, '') AS amount FROM commandes c LEFT JOIN produits p ON p.id = produit_id",
     "f16_answers": "SELECT id, CASE WHEN id % 4 <> 3 THEN id % 2 = 0 END AS is_reorder, CASE WHEN id % 4 <> 3 THEN 'C' || id END AS client_name, CASE WHEN id % 4 <> 3 THEN id % 100 END AS confidence FROM commandes",
     "f18_labels": "SELECT id, CASE statut WHEN 'en_attente' THEN '⏳ Attente' WHEN 'validee' THEN '✅ Validée' ELSE '❌ Rejetée' END AS status, CASE WHEN source = 'whatsapp' THEN '📱 WhatsApp' ELSE '📧 Email' END AS channel, upper(nature_produit[1]) AS initial FROM commandes",
     "f20_headers": "SELECT id, email_subject AS subject FROM commandes",

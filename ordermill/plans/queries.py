@@ -364,6 +364,7 @@ QUERIES |= {
     "f6_phone_in": _on(lambda d: d.clients.select("id", T.phone_in(F.concat("nom", F.lit(" tel "), F.coalesce("telephone", F.lit("?")))).alias("phone"), T.phone_tail(F.concat("nom", F.coalesce("telephone", F.lit("")))).alias("tail"))),
     "f12_file_kind": _orders(lambda d: d.commandes.select("id", T.file_kind(F.concat(F.lit("Piece."), F.element_at(F.array(*map(F.lit, ("PDF", "jpg", "csv", "docx", "txt", "webp"))), (c("id") % 6 + 1).cast("int")))).alias("kind"))),
     "f15_shown": _orders(lambda d: d.commandes.select("id", T.order_number(c("numero_commande"), c("id")).alias("number"), T.delivery_shown(F.when(c("id") % 3 == 0, "None").when(c("id") % 3 == 1, "2001-08-09")).alias("delivery"))),
+    "f15_product": _on(lambda d: joins.with_product(d).select("id", T.product_shown(F.when(c("id") % 3 != 0, c("produit_type")), c("nature_produit")).alias("product"), T.amount_shown(c("quantite").cast("long"), c("unite")).alias("amount"))),
     "f16_answers": _orders(_answers),
     "f18_labels": _on(lambda d: d.commandes.select("id", T.status_label(c("statut")).alias("status"), T.source_label(c("source")).alias("channel"), T.initial(c("nature_produit")).alias("initial"))),
     "f20_headers": _orders(lambda d: d.commandes.select("id", inbox.decoded_header(c("email_subject")).alias("subject"))),

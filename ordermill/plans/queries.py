@@ -4,7 +4,6 @@ Thresholds are scaled to the data at hand; the operators' defaults are the real
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from ..functions import codes, numbers
 from ..functions import text as T
 from ..functions.clock import Clock, day_shown, iso_time, minute_shown, month_day_shown
 from ..operators import alerts, export, inbox, ingest, joins, metrics, profile, windows
-from ..session import shared_folder
+from ..session import own_folder
 from ..sources.bridge import Domain, domain, read
 from ..streaming import feeds
 
@@ -194,21 +193,21 @@ def catalogue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clients as they come back from a compressed snapshot."""
-    d, folder = domain(spark, sf_dir), f"{shared_folder(spark)}/backups-{uuid.uuid4().hex}"
+    d, folder = domain(spark, sf_dir), own_folder(spark, "backups")
     export.snapshot({"clients": d.clients, "produits": d.produits}, folder, "20010801_000000", compress=True)
     return export.restore(spark, folder, "backup_20010801_000000", {"clients": d.clients, "produits": d.produits}, "20010801_000001")["clients"]
 
 
 def csv_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products through CSV files that begin with a byte order mark."""
-    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    folder = own_folder(spark, "csv")
     export.write_csv(domain(spark, sf_dir).produits, folder, mark=True)
     return spark.read.option("header", True).csv(folder).toDF("id", "type").select(F.col("id").cast("long").alias("id"), "type")
 
 
 def history_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The backup history after three backups."""
-    folder = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    folder = own_folder(spark, "history")
     for i in range(1, 4):
         export.append_history(spark, folder, f"backup_2001080{i}_000000.db", 1000 * i, f"2001-08-0{i}T00:00:00", "orders.db")
     return spark.read.schema("filename string, size long, date string, db_path string").json(f"{folder}/backup_history.json")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,3 +36,17 @@ def cut(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A folder that driver and executors share: that of spark.checkpoint.dir, or else the warehouse."""
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes when the process ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):  # the session may have ended already; the folder is the cluster's to clean
+            jvm = spark.sparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+    atexit.register(remove)
+    return path

@@ -5,7 +5,6 @@ is forgotten when its time is up."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,7 +16,7 @@ from pyspark.sql.types import StructType
 from ..functions import text as T
 from ..functions.clock import Clock
 from ..operators import alerts
-from ..session import shared_folder
+from ..session import own_folder
 from ..sources.bridge import Domain
 
 LATE = "2 days"
@@ -115,7 +114,7 @@ def run_available(df: DataFrame, name: str, checkpoint: str | None = None, mode:
 
     A batch is a folder of its own that a retry overwrites, so that each counts once; nothing passes through the driver."""
     spark = df.sparkSession
-    root = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    root = own_folder(spark, name)
     done: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:

@@ -10,10 +10,15 @@ from .joins import with_product
 
 
 def frequency(d: Domain) -> DataFrame:
-    """client_id, frequency: mean whole days between successive orders; clients with two dated orders or more."""
-    before = F.lag("created_at").over(Window.partitionBy("client_id").orderBy("created_at", "id"))
-    x = d.commandes.filter("created_at is not null and client_id is not null").select("client_id", F.timestamp_diff("DAY", before, F.col("created_at")).alias("gap"))
-    return x.filter("gap is not null").groupBy("client_id").agg(F.round(F.avg("gap"), 4).alias("frequency"))
+    """client_id, frequency: mean whole days between successive orders; clients with two dated orders or more.
+
+    Between two orders of one day no whole day lies, so that orders are aggregated by day first: the window runs over a
+    client's days, however many orders these have."""
+    x = d.commandes.filter("created_at is not null and client_id is not null")
+    x = x.groupBy("client_id", F.to_date("created_at").alias("day")).agg(F.min("created_at").alias("first"), F.max("created_at").alias("last"), F.count("*").alias("n"))
+    before = F.lag("last").over(Window.partitionBy("client_id").orderBy("day"))
+    x = x.select("client_id", "n", F.timestamp_diff("DAY", before, F.col("first")).alias("gap")).groupBy("client_id").agg(F.sum("n").alias("n"), F.coalesce(F.sum("gap"), F.lit(0)).alias("days"))
+    return x.filter("n > 1").select("client_id", F.round(F.col("days") / (F.col("n") - 1), 4).alias("frequency"))
 
 
 #: What a client's reference order gives to later ones, beside its product's type.

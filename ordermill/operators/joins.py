@@ -86,8 +86,9 @@ def fuzzy_match(searches: DataFrame, clients: DataFrame, frequent: int = FREQUEN
     of a name and its number of words, as all of a kind then score alike; and where the frequent word is too short for the
     bonus, each client that shares it and holds the beginning of a long word of the search."""
     c = F.col
-    named = clients.select(c("id").alias("client_id"), "nom", T.normalized_name(c("nom")).alias("norm")).withColumn("theirs", T.words(c("norm"))).withColumn("n", F.size("theirs"))
-    asked = searches.withColumn("ours", T.words(T.normalized_name(c("search")))).select("search_id", "search", "ours")
+    # names are folded and split once, not in each of the ways
+    named = cut(clients.select(c("id").alias("client_id"), "nom", T.normalized_name(c("nom")).alias("norm")).withColumn("theirs", T.words(c("norm")))).withColumn("n", F.size("theirs"))
+    asked = cut(searches.select("search_id", "search", T.words(T.normalized_name(c("search"))).alias("ours")))
     own, wanted = named.select("client_id", F.explode("theirs").alias("word")), asked.select("search_id", F.explode("ours").alias("word"))
     hot = own.groupBy("word").agg(F.count("*").alias("_n")).filter(c("_n") > frequent).select("word")
     rare, common = own.join(hot, "word", "left_anti"), own.join(hot, "word", "left_semi")

@@ -77,31 +77,41 @@ def batch_alerts(known: Domain, clock: Clock, **thresholds) -> Callable[[DataFra
     return of
 
 
-def overdue(events: DataFrame, hours: int, key: str = "id", time: str = "at", pending: str = "pending") -> DataFrame:
+def overdue(events: DataFrame, hours: int, key: str = "id", time: str = "at", pending: str = "pending", groups: int = 1024) -> DataFrame:
     """key, since: what has been pending for more than so many hours of event time, once each.
 
     events (key, time with a watermark, pending): a later event that is not pending takes a key off the list; the watermark
-    is the clock. State holds one time a pending key."""
+    is the clock. State holds one time a pending key. Keys share `groups` groups of state by their hash, as each group costs
+    a call of Python; null keys have their own."""
+    wait = int(hours * 3_600_000)
 
     def each(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (since,) = state.get
+        waiting = dict(zip(*state.get, strict=True)) if state.exists else {}
+        clock = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            x = pd.concat(list(frames)).sort_values("_at", kind="stable")
+            names = [None] * len(x) if keys[0] < 0 else x[key].tolist()
+            for name, at, waits in zip(names, x["_at"].tolist(), x["_waits"].tolist(), strict=True):
+                if waits:
+                    waiting.setdefault(name, at)
+                else:
+                    waiting.pop(name, None)
+        due = [name for name, at in waiting.items() if at + wait * 1000 < clock * 1000] if clock else []
+        if due:
+            yield pd.DataFrame({key: due, "since": [waiting.pop(name) for name in due]})
+        if waiting:
+            state.update((list(waiting), list(waiting.values())))
+            state.setTimeoutTimestamp(max(min(waiting.values()) // 1000 + wait, clock + 1))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({key: [keys[0]], "since": [pd.Timestamp(since, unit="ms")]})
-            return
-        x = pd.concat(list(frames)).sort_values(time, kind="stable")
-        since = state.get[0] if state.exists else None
-        for at, waits in zip(x[time], x[pending], strict=True):
-            since = None if not waits else since if since is not None else int(at.timestamp() * 1000)
-        if since is None:
-            if state.exists:
-                state.remove()
-            return
-        state.update((since,))
-        state.setTimeoutTimestamp(max(since + hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
 
     kind = dict(events.dtypes)[key]
-    return events.select(key, time, pending).groupBy(key).applyInPandasWithState(each, f"{key} {kind}, since timestamp", "since long", "append", GroupStateTimeout.EventTimeTimeout)
+    waits = F.coalesce(F.col(pending), F.lit(False))
+    group = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(key), F.lit(groups)))
+    at = F.coalesce(F.unix_micros(F.col(time).cast("timestamp")), F.lit((1 << 63) - 1))  # an event without a time comes last, and nothing waits from it
+    x = events.filter(F.col(time).isNotNull() | ~waits).select(key, time, at.alias("_at"), waits.alias("_waits"), group.alias("_group"))
+    found = x.groupBy("_group").applyInPandasWithState(each, f"{key} {kind}, since long", f"names array<{kind}>, since array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(key, F.timestamp_micros("since").alias("since"))
 
 
 def every(df: DataFrame, hours: float, checkpoint: str, each: Callable[[DataFrame, int], None]):

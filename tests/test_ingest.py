@@ -232,6 +232,26 @@ def test_orders_are_overdue_once_unless_validated(spark, tmp_path):
     assert sorted((r["id"], str(r["since"])) for r in found.collect()) == [(1, "2001-01-01 00:00:00"), (4, "2001-01-01 10:00:00")]
 
 
+def test_overdue_orders_share_groups_of_state(spark, tmp_path):
+    """Many keys, as if their events came one by one, with exact times; Python and the state deal with groups of keys."""
+    from ordermill.streaming import feeds
+
+    start, hour = 978_307_200_000_000, 3_600_000_000  # 2001-01-01
+    events = [(k if k % 100 else None, start + b * 10 * hour + (k * 7 + b) % 10 * hour + k % 1000, (k + b) % 5 != 0) for b in range(5) for k in range(1500)]
+    x = spark.createDataFrame([*events, (1, None, True), (1501, None, True)], "id long, us long, pending boolean").select("id", F.timestamp_micros("us").alias("at"), "pending")
+    x.coalesce(1).write.parquet(str(tmp_path / "in"))
+    done = []
+    found = feeds.overdue(feeds.feed(spark, str(tmp_path / "in"), x.schema).withWatermark("at", "0 seconds"), 24, groups=64)
+    query = found.writeStream.trigger(availableNow=True).foreachBatch(lambda batch, n: done.extend((r["id"], r["us"]) for r in batch.select("id", F.unix_micros("since").alias("us")).collect())).start()
+    query.awaitTermination()
+    waiting, last = {}, max(e[1] for e in events) // 1000
+    for name, at, pending in sorted(events, key=lambda e: e[1]):
+        waiting.setdefault(name, at) if pending else waiting.pop(name, None)
+    want = {(name, at) for name, at in waiting.items() if at + 24 * hour < last * 1000}
+    assert len(want) > 400 and set(done) == want and len(done) == len(want)
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 65
+
+
 def test_webhook_lines_that_are_no_json(spark):
     from ordermill.streaming import feeds
 

@@ -24,10 +24,15 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, learnable, row
     return found.groupBy("doc_id").agg(F.min("h").alias("h"), F.min("y").alias("y"), F.min(F.struct("text", "lang")).alias("t")).select("doc_id", "h", "y", "t.lang", "t.text")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable, rows: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[tuple[str, int, str | None]]:
-    """(text, label, lang) of labelled_rows in the order of h, as far as all texts up to there have `chars` code points."""
+def sample_rows(docs: DataFrame, labels: DataFrame, label: str, learnable, rows: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """The labelled_rows, in the order of h, as far as all texts up to there have `chars` code points."""
     found = materialize(labelled_rows(docs, labels, label, learnable, rows), "sample")
     upto = F.sum("n").over(Window.orderBy("h", "doc_id"))  # `rows` rows at most
     fit = found.select("doc_id", "h", F.length("text").alias("n")).select("doc_id", upto.alias("upto")).filter(F.col("upto") <= chars).select("doc_id")
-    some = found.join(F.broadcast(fit), "doc_id", "left_semi")
+    return found.join(F.broadcast(fit), "doc_id", "left_semi")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable, rows: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[tuple[str, int, str | None]]:
+    """(text, label, lang) of sample_rows in the order of h."""
+    some = sample_rows(docs, labels, label, learnable, rows, chars)
     return [(r["text"], r["y"], r["lang"]) for r in sorted(some.collect(), key=lambda r: (r["h"], r["doc_id"]))]

@@ -10,6 +10,7 @@ training texts, and the logit is shifted so that each language's threshold is a
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, letter_words, release, releasing, table
-from .learning import labelled_sample
+from .learning import sample_rows
 
 BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE, DECAY = 8, 64, 0.02, 1e-5
@@ -190,7 +191,33 @@ def fit(rows: list[tuple[str, int, str | None]]) -> dict:
     return model | {"shift": shift}
 
 
+def packed(model: dict) -> dict:
+    """A model whose tables are without the rows of words that were not met, which are all alike."""
+    if "constant" in model or "rows" in model:
+        return model
+    flat = np.concatenate([table for tables in model["tables"] for table in tables], axis=1)
+    rows = np.flatnonzero(flat.any(axis=1))
+    usual = model["words"].min(axis=0)
+    met = np.flatnonzero((model["words"] != usual).any(axis=1))
+    return model | {"rows": rows, "tables": flat[rows], "words": (usual, met, model["words"][met])}
+
+
+def unpacked(model: dict) -> dict:
+    if "rows" not in model:
+        return model
+    flat = np.zeros((_EMPTY + 1, model["tables"].shape[1]), np.float32)
+    flat[model["rows"]] = model["tables"]
+    columns = iter(np.split(flat, sum(WIDTHS), axis=1))
+    usual, met, some = model["words"]
+    words = np.tile(usual, (_EMPTY + 1, 1))
+    words[met] = some
+    full = model | {"tables": [[np.ascontiguousarray(next(columns)) for _ in range(w)] for w in WIDTHS], "words": words}
+    del full["rows"]
+    return full
+
+
 def scores(model: dict, texts: list[str | None]) -> np.ndarray:
+    model = unpacked(model)
     if "constant" in model:
         return np.full(len(texts), model["constant"])
     ids, starts = word_ids([x or "" for x in texts])
@@ -211,20 +238,29 @@ def _parts(texts: list[str | None], most: int = 1 << 20) -> Iterator[list[str |
 
 
 def score_column(model: dict):
-    """A function of a text column: its score."""
+    """A function of a text column: its score. The model travels packed."""
+    small = packed(model)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        full = unpacked(small)
         for texts in releasing(batches):
-            yield pd.Series(np.concatenate([scores(model, part) for part in _parts(list(texts))] or [np.zeros(0)]))
+            yield pd.Series(np.concatenate([scores(full, part) for part in _parts(list(texts))] or [np.zeros(0)]))
 
     return score
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
-    model = fit(labelled_sample(docs, labels, "toxic", ~held_out(3, 1)))
-    release()
-    return model
+    """The packed model, learned in a task: the driver holds neither texts nor tables of words."""
+
+    def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted((r for x in frames for r in zip(x["h"], x["doc_id"], x["text"], x["y"], x["lang"], strict=True)), key=lambda r: r[:2])
+        rows = [r[2:] for r in rows]
+        yield pd.DataFrame({"model": [pickle.dumps(packed(fit(rows)))]})
+        release()
+
+    found = sample_rows(docs, labels, "toxic", ~held_out(3, 1)).coalesce(1).mapInPandas(learn, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit([])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, model: dict | None = None) -> DataFrame:

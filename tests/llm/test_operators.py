@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -403,6 +404,23 @@ def test_toxicity_scores_are_those_of_a_plain_forward_pass():
         assert got == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
 
 
+def test_toxicity_is_learned_in_a_task_and_travels_small(spark, monkeypatch):
+    import pickle
+
+    from ordermill.llm import learning
+
+    docs, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
+    want = toxicity.fit(learning.labelled_sample(docs, labels, "toxic", ~common.held_out(3, 1)))
+    monkeypatch.setattr(toxicity, "fit", lambda rows, real=toxicity.fit, here=os.getpid(): real(rows) if os.getpid() != here else pytest.fail("learned on the driver"))
+    got = toxicity.train(docs, labels)
+    assert len(pickle.dumps(got)) < len(pickle.dumps(want)) / 4
+    full = toxicity.unpacked(toxicity.packed(want))
+    assert all((a == b).all() for x, y in zip(full["tables"], want["tables"], strict=True) for a, b in zip(x, y, strict=True))
+    assert (full["words"] == want["words"]).all() and (full["shift"] == want["shift"]).all() and toxicity.packed(got) is got
+    texts = [r["text"] for r in docs.limit(100).collect()]
+    assert np.abs(toxicity.scores(got, texts) - toxicity.scores(want, texts)).mean() < 0.01  # sums of 32 bits come in another order
+
+
 def test_samples_are_whole_texts_in_the_order_of_hashes(spark):
     from ordermill.llm import learning
 

@@ -1,4 +1,4 @@
-"""Bounded training samples for the classifiers."""
+"""Bounded training samples for the toxicity classifier."""
 
 from __future__ import annotations
 

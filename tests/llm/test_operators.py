@@ -503,6 +503,35 @@ def test_rare_languages_are_learned(spark):
     assert np.mean([r["lang_pred"] == want[r["doc_id"]] for r in got]) > 0.99
 
 
+def test_quality_is_learned_from_all_labels(spark, monkeypatch):
+    """More rows than any sample, with pairs, weights and threshold as worked out from all of them at hand."""
+    monkeypatch.setattr(quality, "PAIRS", 300)
+    monkeypatch.setattr(quality, "RANKED", 50)
+    monkeypatch.setattr(quality, "FEW", 20)
+    rng = np.random.default_rng(3)
+    y = (rng.random(9001) < 0.8).astype(int)
+    x = rng.random((9001, 19)) * 0.2 + 0.05 * y[:, None] * (np.arange(19) < 3)
+    found = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(3, [9.0] * 19), (None, [9.0] * 19)], "doc_id long, x array<double>").repartition(3)
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)] + [(None, 1), (2, None), (99999, 0)], "doc_id long, quality int")
+    learned = np.array([i for i in range(9001) if zlib.crc32(str(i).encode()) % 3 != 1])
+    x, y = quality.widened(x[learned]), y[learned]
+    counts = {k: int((y == k).sum()) for k in (0, 1)}
+    table = spark.createDataFrame([(int(i), int(k), v[:19].tolist()) for i, k, v in zip(learned, y, x, strict=True)], "doc_id long, y int, x array<double>")
+    both = [(tuple(r["good"]), tuple(r["bad"])) for r in quality.pairs(table, counts).collect()]
+    good, bad = ({tuple(v[:19]) for v in x[y == k]} for k in (1, 0))
+    assert len(both) == counts[1] and {g for g, _ in both} == good and {b for _, b in both} == bad
+    model = quality.train(found, labels)
+    assert np.allclose(model["centre"], x.mean(axis=0)) and np.allclose(model["scale"], x.std(axis=0) + 1e-6)
+    d = np.clip((quality.widened(np.array([g for g, _ in both])) - quality.widened(np.array([b for _, b in both]))) / model["scale"], -8, 8)
+    want = quality._minimum(57, len(d), lambda w: quality._slopes(d, w))
+    assert np.allclose(model["weights"], want, atol=1e-6)
+    s = np.clip((x - model["centre"]) / model["scale"], -8, 8) @ model["weights"]
+    assert model["cut"] == pytest.approx(np.quantile(s, (y == 0).mean())) and model["unit"] == pytest.approx(s.std() / 2)
+    assert quality.nth(spark.createDataFrame([(1.0,)] * 50 + [(2.0,)] * 50, "s double"), 49) == 1.0 and quality.nth(spark.createDataFrame([(1.0,)] * 50 + [(2.0,)] * 50, "s double"), 50) == 2.0
+    few = spark.createDataFrame([(i, int(i == 4), [0.1 * i] * 19) for i in range(9)], "doc_id long, y int, x array<double>")
+    assert quality.pairs(few, {0: 8, 1: 1}).count() == 38 * 8 and quality.pairs(few, {0: 8, 1: 1}).distinct().count() == 8
+
+
 def test_quality(spark, docs, labels):
     got = rows(quality.score_quality(docs, labels))
     assert len(got) == len(ROWS) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)

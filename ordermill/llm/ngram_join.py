@@ -352,11 +352,12 @@ def links(sets: DataFrame) -> DataFrame:
 
 
 def regrouped(star: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members of the clusters that are not one component yet, with their components and the next pivot."""
+    """The members of the clusters that are not one component yet, with their components and the next pivot, as a table: they
+    are read several times, and each time would join anew."""
     star = star.drop("pivot", "root").join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     star = materialize(star, "members")
     open_ = star.groupBy("cluster").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("pivot")).filter("x <> y")
-    return star.join(materialize(open_.select("cluster", "pivot"), "open"), "cluster")
+    return materialize(star.join(open_.select("cluster", "pivot"), "cluster"), "open")
 
 
 def ranges(entries: int, each: int) -> int:

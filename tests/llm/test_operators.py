@@ -773,6 +773,48 @@ def test_join_of_near_copies_about_the_limit(spark, monkeypatch, stars, members)
     assert got == brute_components(pairs)
 
 
+def rows_made(spark, first: int, keys: str) -> list[int]:
+    """Rows out of each inner join by these keys alone, in the SQL executions from `first` on."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, found = spark._jsparkSession.sharedState().statusStore(), []
+    runs = store.executionsList()
+    for run in (runs.apply(i).executionId() for i in range(runs.size())):
+        if run < first:
+            continue
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if re.fullmatch(rf"\w+Join {keys}, {keys}, Inner(, Build\w+)?(, false)?", re.sub(r"#\d+L?", "", node.desc())):
+                metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                counts = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+                found += [int(x.get().replace(",", "")) for x in counts if x.isDefined()]
+    return found
+
+
+def test_members_of_open_clusters_are_joined_once(spark, monkeypatch):
+    """A large group of near copies, some of them out of reach of the others: once before and once after the likeliest links."""
+    rng = np.random.default_rng(8)
+    pairs = []
+    for n in range(300):
+        x = [f"w{i}" for i in range(100)]
+        for _ in range(int(rng.integers(0, 7))):
+            x[int(rng.integers(0, len(x)))] = f"v{rng.integers(300)}"
+        pairs.append((n, " ".join(x)))
+    members = []
+
+    def sharing(*args):
+        found = common.materialize(sharing_before(*args), "sharing")
+        members.append(found.count())
+        return found
+
+    sharing_before = ngram_join.sharing
+    monkeypatch.setattr(ngram_join, "sharing", sharing)
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    first = max((runs.apply(i).executionId() for i in range(runs.size())), default=-1) + 1
+    assert result(ngram_join.jaccard_components(spark.createDataFrame(pairs, "doc_id long, text string"))) == brute_components(pairs)
+    made = rows_made(spark, first, r"\[cluster\]")
+    assert len(made) == 2 and 0 < sum(made) <= 2 * members[0]
+
+
 def test_join_over_the_corpus(spark, corpus):
     assert result(ngram_join.op9_ngram_jaccard_join(spark, SF)) == brute_components([(r["doc_id"], r["text"]) for r in corpus.collect()])
 
